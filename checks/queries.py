@@ -13,7 +13,7 @@ from shoptrail.functions import datetimes, json, numbers, predicates, strings
 from shoptrail.functions.aggregates import group_concat_distinct
 from shoptrail.operators import ads, categories, pages, products, sampling, sessions
 from shoptrail.params import TaskParams
-from shoptrail.session import configure, new_folder
+from shoptrail.session import configure, materialize, new_folder
 from shoptrail.sinks.keyed import upsert
 from shoptrail.sources import tables, warehouse
 from shoptrail.streaming import ads as stream
@@ -101,21 +101,29 @@ class Shop:
     def detail(self) -> DataFrame:
         return sessions.session_detail(self.actions, self.kept_sessions)
 
+    @cached_property
+    def kept_table(self) -> DataFrame:
+        """The kept sessions, written once for queries that use them more than once."""
+        return materialize(self.kept_sessions, "sessions")
+
+    @cached_property
+    def detail_table(self) -> DataFrame:
+        """Their actions, written once for queries that use them more than once."""
+        return materialize(self.detail, "session-detail")
+
     @cached_property
     def extracted(self) -> DataFrame:
-        return sampling.random_extract_session(self.kept_sessions, TASK_ID, SEED)
+        return sampling.random_extract_session(self.kept_table, TASK_ID, SEED)
 
     @cached_property
     def category_counts(self) -> DataFrame:
         return categories.category_counts(self.detail)
 
-    @cached_property
-    def top_categories(self) -> DataFrame:
-        return categories.top10_category(self.category_counts, TASK_ID)
-
     @cached_property
     def top_sessions(self) -> DataFrame:
-        return categories.top10_category_session(self.detail, self.top_categories, TASK_ID)
+        detail = self.detail_table
+        top = categories.top10_category(categories.category_counts(detail), TASK_ID)
+        return categories.top10_category_session(detail, top, TASK_ID)
 
     @cached_property
     def page_views(self) -> DataFrame:
@@ -219,7 +227,8 @@ def random_extract_session(shop: Shop) -> DataFrame:
 
 @query
 def random_extract_detail(shop: Shop) -> DataFrame:
-    detail = sampling.random_extract_detail(shop.extracted, shop.detail)
+    detail = sessions.session_detail(shop.actions, shop.kept_table)
+    detail = sampling.random_extract_detail(shop.extracted, detail)
     return sessions.as_session_detail(detail, TASK_ID)
 
 
@@ -250,7 +259,7 @@ def category_counts(shop: Shop) -> DataFrame:
 
 @query
 def top10_category(shop: Shop) -> DataFrame:
-    return shop.top_categories
+    return categories.top10_category(shop.category_counts, TASK_ID)
 
 
 @query
@@ -265,7 +274,7 @@ def top10_category_session(shop: Shop) -> DataFrame:
 
 @query
 def top10_session_detail(shop: Shop) -> DataFrame:
-    detail = categories.top10_session_detail(shop.top_sessions, shop.detail)
+    detail = categories.top10_session_detail(shop.top_sessions, shop.detail_table)
     return sessions.as_session_detail(detail, TASK_ID)
 
 

@@ -66,11 +66,13 @@ def start_ad_stat(
     """
     clicks = ads.drop_blacklisted(ads.parse_ad_log(log), blacklist)
     stat = ads.ad_stat(clicks, late_by)
+    # The stream runs in a session without adaptive execution; the ranking is a batch job.
+    spark = log.sparkSession
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         write_changes(batch, stat_path, batch_id, spread_by=["province"])
         if top3_path is not None:
-            changes = read_changes(batch.sparkSession, stat_path, stat.schema)
+            changes = read_changes(spark, stat_path, stat.schema)
             touched = changes.where(F.col("batch_id") == batch_id)
             update_province_top3(changes, touched, top3_path)
 

@@ -1,0 +1,38 @@
+"""Small rows and plan text for the tests."""
+
+from shoptrail import schemas
+
+_ACTION = [field.name for field in schemas.USER_VISIT_ACTION.fields]
+
+
+def action(session_id, page_id=1, time="10:00:00", **values):
+    """One action; unnamed columns are NULL."""
+    date = values.pop("date", "2024-01-01")
+    row = dict.fromkeys(_ACTION) | {
+        "date": date, "user_id": 1, "session_id": session_id, "page_id": page_id,
+        "action_time": f"{date} {time}", "city_id": 1,
+    } | values
+    return tuple(row[name] for name in _ACTION)
+
+
+def actions(spark, *rows):
+    return spark.createDataFrame(list(rows), schemas.USER_VISIT_ACTION)
+
+
+def rows(df):
+    return sorted((tuple(row) for row in df.collect()), key=repr)
+
+
+def dicts(df):
+    return [row.asDict() for row in df.collect()]
+
+
+def plan(df):
+    """The physical plan as text."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def final_plan(df):
+    """The plan as it was run, after adaptive changes."""
+    df.collect()
+    return plan(df).split("Initial Plan")[0]
