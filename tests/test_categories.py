@@ -1,0 +1,70 @@
+from pyspark.sql import functions as F
+
+from shoptrail.operators import categories
+from tests.helpers import action, actions, dicts, plan, rows
+
+
+def shop(spark):
+    return actions(
+        spark,
+        action("a", click_category_id=21),
+        action("a", click_category_id=1),
+        action("b", click_category_id=1),
+        action("b", order_category_ids="1,,2"),
+        action("b", order_category_ids="2,1"),
+        action("c", pay_category_ids="3"),
+        action("c", pay_category_ids="21,21"),
+        action("c"),
+    )
+
+
+def test_counts_per_kind(spark):
+    df = shop(spark)
+    assert rows(categories.category_click_count(df)) == [(1, 2), (21, 1)]
+    assert rows(categories.category_order_count(df)) == [(1, 2), (2, 2)]
+    assert rows(categories.category_pay_count(df)) == [(21, 2), (3, 1)]
+    assert rows(categories.distinct_categories(df)) == [(1,), (2,), (21,), (3,)]
+
+
+def test_counts_in_one_pass_equal_the_joined_counts(spark):
+    df = shop(spark)
+    joined = categories.distinct_categories(df)
+    for part in (categories.category_click_count(df), categories.category_order_count(df),
+                 categories.category_pay_count(df)):
+        joined = joined.join(part, "category_id", "left")
+    joined = joined.fillna(0)
+    assert rows(categories.category_counts(df)) == rows(joined)
+    assert plan(categories.category_counts(df)).count("Exchange hashpartitioning") == 1
+
+
+def test_top_categories_order_and_ties(spark):
+    counts = spark.createDataFrame(
+        [(5, 1, 9, 9), (4, 2, 0, 0), (3, 2, 1, 0), (2, 2, 1, 1), (1, 2, 1, 1)],
+        "category_id long, click_count long, order_count long, pay_count long",
+    )
+    got = [r["category_id"] for r in dicts(categories.top10_category(counts, 1, 4))]
+    assert got == [1, 2, 3, 4]
+
+
+def test_top_sessions_and_their_actions(spark):
+    df = actions(
+        spark,
+        *[action("a", click_category_id=1)] * 3,
+        *[action("a", click_category_id=2)],
+        *[action("b", click_category_id=1)] * 2,
+        *[action("c", click_category_id=1)] * 2,
+        *[action("d", click_category_id=3)] * 9,
+    )
+    top = spark.createDataFrame([(1,), (2,)], "category_id long")
+    got = categories.top10_category_session(df, top, 8, n=2)
+    assert rows(got) == [(8, 1, "a", 3), (8, 1, "b", 2), (8, 2, "a", 1)]
+    assert "row_number(), 2, Partial" in plan(got)
+    detail = categories.top10_session_detail(got, df)
+    counted = rows(detail.groupBy("session_id").agg(F.count("*")))
+    assert counted == [("a", 8), ("b", 2)]  # a leads two categories
+
+
+def test_category_session_counts(spark):
+    assert rows(categories.category_session_counts(shop(spark))) == [
+        (1, "a", 1), (1, "b", 1), (21, "a", 1),
+    ]
