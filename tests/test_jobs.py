@@ -1,0 +1,79 @@
+"""The whole jobs on the smallest tables, against the queries."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from checks.queries import QUERIES, Shop
+from shoptrail import schemas
+from shoptrail.plans import area_products, page_conversion, session_analysis
+from shoptrail.sources import warehouse
+from tests.helpers import rows
+
+SF_DIR = "/root/testdata/sf0.001"
+PARAM = (
+    '{"startDate":["2024-01-01"],"endDate":["2024-01-31"],"startAge":["5"],"endAge":["50"],'
+    '"professionals":["professional0,professional1,professional2,professional4,professional5,'
+    'professional6,professional7,professional9"],'
+    '"keywords":["kw0,kw1,kw2,kw3,kw5,kw7,kw8,kw9"],"targetPageFlow":["1,2,3,4"]}'
+)
+
+
+@pytest.fixture(scope="module")
+def shop(spark):
+    return Shop(spark, SF_DIR)
+
+
+@pytest.fixture(scope="module")
+def tasks(spark):
+    row = (1, "t", None, None, None, "session", "created", PARAM)
+    return spark.createDataFrame([row, (2, *row[1:7], '{"startDate":["2024-01-01"]}')],
+                                 schemas.TASK)
+
+
+def stored(spark, path, columns):
+    return spark.read.parquet(str(path)).withColumn("task_id", F.col("task_id").cast("long")
+                                                    ).select(*columns)
+
+
+def test_session_job(spark, shop, tasks, tmp_path):
+    for _ in range(2):  # a second run replaces the first
+        session_analysis.run(shop.all_actions, shop.users, tasks, 1, str(tmp_path), seed=7)
+    for name, query in (
+        ("session_aggr_stat", "session_aggr_stat"),
+        ("session_random_extract", "random_extract_session"),
+        ("top10_category", "top10_category"),
+        ("top10_category_session", "top10_category_session"),
+    ):
+        expected = QUERIES[query](spark, SF_DIR)
+        assert rows(stored(spark, tmp_path / name, expected.columns)) == rows(expected), name
+    extracted = QUERIES["random_extract_detail"](spark, SF_DIR)
+    top = QUERIES["top10_session_detail"](spark, SF_DIR)
+    detail = stored(spark, tmp_path / "session_detail", schemas.SESSION_DETAIL)
+    assert rows(detail) == rows(extracted.unionByName(top))
+
+
+def test_page_job(spark, shop, tasks, tmp_path):
+    page_conversion.run(shop.all_actions, tasks, 1, str(tmp_path), tie=("event_id",))
+    expected = QUERIES["page_split_convert_rate"](spark, SF_DIR)
+    got = stored(spark, tmp_path / "page_split_convert_rate", expected.columns)
+    assert rows(got) == rows(expected)
+
+
+def test_page_job_without_flow(shop, tasks, tmp_path):
+    with pytest.raises(ValueError, match="no page flow"):
+        page_conversion.run(shop.all_actions, tasks, 2, str(tmp_path))
+
+
+def test_area_job(spark, shop, tasks, tmp_path):
+    area_products.run(shop.all_actions, shop.cities, shop.products, tasks, 1, str(tmp_path))
+    expected = QUERIES["area_top3_product"](spark, SF_DIR)
+    got = stored(spark, tmp_path / "area_top3_product", expected.columns)
+    assert rows(got) == rows(expected)
+
+
+def test_missing_task(spark, shop, tasks, tmp_path):
+    with pytest.raises(LookupError):
+        area_products.run(
+            shop.all_actions, shop.cities, warehouse.product_info(spark, SF_DIR), tasks, 99,
+            str(tmp_path),
+        )
