@@ -372,28 +372,27 @@ def province_ad_count(shop: Shop) -> DataFrame:
     return ads.province_ad_count(ads.ad_stat(shop.allowed_clicks))
 
 
-def _changed_keys(clicks: DataFrame) -> DataFrame:
-    """Whether a key has clicks since the stored statistics were taken."""
-    return clicks.withColumn("is_new", F.col("ts") >= F.to_timestamp(F.lit(UPDATE_FROM)))
+def _stored_and_current(clicks: DataFrame, count, keys) -> DataFrame:
+    """Counts taken at UPDATE_FROM, with the keys clicked since brought up to date."""
+    keys, since = list(keys), F.col("ts") >= F.to_timestamp(F.lit(UPDATE_FROM))
+    stored = count(clicks.where(~since))
+    fresh = count(clicks.where(since))
+    before = stored.withColumnRenamed("click_count", "before")
+    total = F.col("click_count") + F.coalesce("before", F.lit(0))
+    current = fresh.join(before, keys, "left").select(*keys, total.alias("click_count"))
+    return upsert(stored, current, keys)
 
 
 @query
 def upsert_ad_stat(shop: Shop) -> DataFrame:
-    clicks = _changed_keys(shop.allowed_clicks)
-    stored = ads.ad_stat(clicks.where(~F.col("is_new")))
-    touched = ads.ad_stat(clicks.where(F.col("is_new"))).select(*schemas.AD_STAT_KEYS)
-    current = ads.ad_stat(clicks).join(touched, list(schemas.AD_STAT_KEYS), "left_semi")
-    return upsert(stored, current, schemas.AD_STAT_KEYS)
+    return _stored_and_current(shop.allowed_clicks, ads.ad_stat, schemas.AD_STAT_KEYS)
 
 
 @query
 def upsert_ad_click_trend(shop: Shop) -> DataFrame:
-    keys = list(schemas.AD_CLICK_TREND_KEYS)
-    clicks = _changed_keys(shop.ad_clicks)
-    stored = ads.ad_click_trend(clicks.where(~F.col("is_new")))
-    touched = ads.ad_click_trend(clicks.where(F.col("is_new"))).select(*keys)
-    current = ads.ad_click_trend(clicks).join(touched, keys, "left_semi")
-    return upsert(stored, current, keys)
+    return _stored_and_current(
+        shop.ad_clicks, ads.ad_click_trend, schemas.AD_CLICK_TREND_KEYS
+    )
 
 
 # Streams
