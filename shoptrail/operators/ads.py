@@ -41,18 +41,13 @@ def ad_stat(clicks: DataFrame, late_by: str | None = None) -> DataFrame:
     are closed, and clicks that come later still are no longer counted.
     """
     if late_by is None:
-        counted = clicks.groupBy(
-            format_date_key(F.col("ts")).alias("date"), "province", "city", "ad_id"
-        ).count()
-        return counted.withColumnRenamed("count", "click_count")
-    day = F.window("ts", "1 day")
-    counted = (
-        clicks.withWatermark("ts", late_by)
-        .groupBy(day.alias("day"), "province", "city", "ad_id")
-        .count()
-    )
+        day, start = F.to_date("ts"), F.col("day")
+    else:
+        clicks = clicks.withWatermark("ts", late_by)
+        day, start = F.window("ts", "1 day"), F.col("day.start")
+    counted = clicks.groupBy(day.alias("day"), "province", "city", "ad_id").count()
     return counted.select(
-        format_date_key(F.col("day.start")).alias("date"), "province", "city", "ad_id",
+        format_date_key(start).alias("date"), "province", "city", "ad_id",
         F.col("count").alias("click_count"),
     )
 

@@ -9,7 +9,8 @@ from shoptrail import schemas
 from shoptrail.functions.datetimes import parse_time
 from shoptrail.functions.numbers import ratio
 
-SLOT_SECONDS = 3600
+# A task sorts this many rows with ease.
+HOT_SESSION_ROWS = 1_000_000
 
 
 def flow_splits(flow: Sequence[int]) -> list[str]:
@@ -22,39 +23,54 @@ def start_page_pv(actions: DataFrame, flow: Sequence[int]) -> DataFrame:
 
 
 def page_views(
-    actions: DataFrame, tie: Sequence[str] = ("page_id",), slot_seconds: int = SLOT_SECONDS
+    actions: DataFrame, tie: Sequence[str] = ("page_id",), hot_rows: int = HOT_SESSION_ROWS
 ) -> DataFrame:
     """Every action with the page seen just before it in its session (NULL for the first).
 
-    Sessions are cut into time slots, so that a session of any length spreads over many tasks.
-    Inside a slot the previous page is a lag; the first view of a slot takes the last page of
-    the session's slot before, found among the slots' end rows only.
+    Sessions of more than ``hot_rows`` actions are cut into seconds, so that one of any length
+    spreads over many tasks. Inside a second the previous page is a lag; the first view of a
+    second takes the last page of the session's second before, found among the end rows only.
+
+    There is at most one such session per ``hot_rows`` actions of the log, which keeps their
+    list small enough to broadcast. Where there is none its branch is skipped at run time.
     """
-    order = ["action_ts", *[c for c in tie if c != "page_id"], "page_id"]
-    ts = parse_time(F.col("action_time"))
-    views = actions.select("session_id", "action_time", "page_id", ts.alias("action_ts"),
-                           *[c for c in tie if c != "page_id"])
-    views = views.withColumn(
-        "slot", F.floor(F.unix_seconds("action_ts") / F.lit(slot_seconds))
+    ties = list(dict.fromkeys([*tie, "page_id"]))
+    order = ["action_ts", *ties]
+    views = actions.select(
+        "session_id", "action_time", *ties, parse_time(F.col("action_time")).alias("action_ts")
     )
-    in_slot = Window.partitionBy("session_id", "slot").orderBy(*order)
-    marked = views.withColumns(
-        {
-            "place": F.row_number().over(in_slot),
-            "prev_page": F.lag("page_id").over(in_slot),
-            "is_last": F.lead(F.lit(True), 1, False).over(in_slot) == F.lit(False),
-        }
+    hot = F.broadcast(
+        actions.groupBy("session_id").agg(F.count("*").alias("views"))
+        .where(F.col("views") > hot_rows).select("session_id")
     )
     wanted = ["session_id", "action_time", "page_id", "prev_page"]
-    inside = marked.where(F.col("place") > 1).select(*wanted)
-    across_slots = Window.partitionBy("session_id").orderBy(*order)
+    in_session = Window.partitionBy("session_id").orderBy(*order)
+    in_second = Window.partitionBy("session_id", "second").orderBy(*order)
+
+    short = views.join(hot, "session_id", "left_anti").withColumn(
+        "prev_page", F.lag("page_id").over(in_session)
+    )
+    long = (
+        views.join(hot, "session_id", "left_semi")
+        .withColumn("second", F.unix_seconds("action_ts"))
+        .withColumns(
+            {
+                "place": F.row_number().over(in_second),
+                "prev_page": F.lag("page_id").over(in_second),
+                "is_last": F.lead(F.lit(True)).over(in_second).isNull(),
+            }
+        )
+    )
     starts = (
-        marked.where((F.col("place") == 1) | F.col("is_last"))
-        .withColumn("prev_page", F.lag("page_id").over(across_slots))
+        long.where((F.col("place") == 1) | F.col("is_last"))
+        .withColumn("prev_page", F.lag("page_id").over(in_session))
         .where(F.col("place") == 1)
-        .select(*wanted)
     )
-    return inside.unionByName(starts)
+    return (
+        short.select(*wanted)
+        .unionByName(long.where(F.col("place") > 1).select(*wanted))
+        .unionByName(starts.select(*wanted))
+    )
 
 
 def page_split_match(views: DataFrame, flow: Sequence[int]) -> DataFrame:

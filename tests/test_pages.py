@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 
 from shoptrail.operators import pages
-from tests.helpers import action, actions, dicts, rows
+from tests.helpers import action, actions, dicts, final_plan, rows
 
 
 def views_of(spark, *page_times, session="a"):
@@ -31,23 +31,29 @@ def brute_force(rows_in):
     return sorted(pairs, key=repr)
 
 
-@pytest.mark.parametrize("slot_seconds", [7, 3600, 10**9])
-def test_page_views_equal_brute_force_for_any_slot(spark, slot_seconds):
-    draw = random.Random(slot_seconds)
+@pytest.mark.parametrize("hot_rows", [0, 74, 500, 10**9])
+def test_page_views_equal_brute_force_for_any_hot_limit(spark, hot_rows):
+    draw = random.Random(hot_rows)
     # One session holds a third of the views; times repeat, so the tie breaker matters.
     given = [
         ("hot" if draw.random() < 0.33 else f"s{draw.randint(0, 40)}", draw.randint(0, 5),
-         draw.randint(0, 20_000), tie)
+         draw.randint(0, 900), tie)
         for tie in range(3000)
     ]
     table = spark.createDataFrame(given, "session_id string, page_id long, s long, tie long")
     table = table.selectExpr(
         "*", "date_format(timestamp_seconds(1704067200 + s), 'yyyy-MM-dd H:mm:ss') AS action_time"
     )
-    got = pages.page_views(table, tie=("tie",), slot_seconds=slot_seconds)
+    got = pages.page_views(table, tie=("tie",), hot_rows=hot_rows)
     assert rows(got.select("session_id", "page_id", "prev_page")) == brute_force(given)
 
 
+def test_no_long_session_costs_one_window_only(spark):
+    df = views_of(spark, (1, "1:00:00"), (2, "1:00:01"))
+    assert final_plan(pages.page_views(df)).count("Window [") == 1
+    assert final_plan(pages.page_views(df, hot_rows=1)).count("Window [") > 1
+
+
 def test_only_flow_steps_match(spark):
     df = views_of(spark, (1, "1:00:00"), (2, "1:00:01"), (4, "1:00:02"), (2, "1:00:03"),
                   (3, "1:00:04"))
