@@ -99,16 +99,16 @@ class Shop:
 
     @cached_property
     def detail(self) -> DataFrame:
-        return sessions.session_detail(self.actions, self.kept_sessions)
+        return sessions.session_detail(self.actions, self.kept_table)
 
     @cached_property
     def kept_table(self) -> DataFrame:
-        """The kept sessions, written once for queries that use them more than once."""
+        """The kept sessions, stored for the detail join and for queries that use them twice."""
         return materialize(self.kept_sessions, "sessions")
 
     @cached_property
     def detail_table(self) -> DataFrame:
-        """Their actions, written once for queries that use them more than once."""
+        """Their actions, stored for queries that use them more than once."""
         return materialize(self.detail, "session-detail")
 
     @cached_property
@@ -227,8 +227,7 @@ def random_extract_session(shop: Shop) -> DataFrame:
 
 @query
 def random_extract_detail(shop: Shop) -> DataFrame:
-    detail = sessions.session_detail(shop.actions, shop.kept_table)
-    detail = sampling.random_extract_detail(shop.extracted, detail)
+    detail = sampling.random_extract_detail(shop.extracted, shop.detail)
     return sessions.as_session_detail(detail, TASK_ID)
 
 
@@ -372,27 +371,25 @@ def province_ad_count(shop: Shop) -> DataFrame:
     return ads.province_ad_count(ads.ad_stat(shop.allowed_clicks))
 
 
-def _stored_and_current(clicks: DataFrame, count, keys) -> DataFrame:
-    """Counts taken at UPDATE_FROM, with the keys clicked since brought up to date."""
+def _upserted(clicks: DataFrame, count, keys) -> DataFrame:
+    """Stored counts as of UPDATE_FROM, brought up to date with the clicks since."""
     keys, since = list(keys), F.col("ts") >= F.to_timestamp(F.lit(UPDATE_FROM))
-    stored = count(clicks.where(~since))
-    fresh = count(clicks.where(since))
+    stored = materialize(count(clicks.where(~since)), "stored")
     before = stored.withColumnRenamed("click_count", "before")
     total = F.col("click_count") + F.coalesce("before", F.lit(0))
-    current = fresh.join(before, keys, "left").select(*keys, total.alias("click_count"))
+    fresh = count(clicks.where(since)).join(before, keys, "left")
+    current = materialize(fresh.select(*keys, total.alias("click_count")), "current")
     return upsert(stored, current, keys)
 
 
 @query
 def upsert_ad_stat(shop: Shop) -> DataFrame:
-    return _stored_and_current(shop.allowed_clicks, ads.ad_stat, schemas.AD_STAT_KEYS)
+    return _upserted(shop.allowed_clicks, ads.ad_stat, schemas.AD_STAT_KEYS)
 
 
 @query
 def upsert_ad_click_trend(shop: Shop) -> DataFrame:
-    return _stored_and_current(
-        shop.ad_clicks, ads.ad_click_trend, schemas.AD_CLICK_TREND_KEYS
-    )
+    return _upserted(shop.ad_clicks, ads.ad_click_trend, schemas.AD_CLICK_TREND_KEYS)
 
 
 # Streams

@@ -94,9 +94,10 @@ def ad_click_trend_last_hour(trend: DataFrame, minutes: int = C.TREND_MINUTES) -
     """The trend of the last ``minutes`` minutes before the newest one."""
     timed = trend_minute(trend)
     newest = timed.agg(F.max("minute_start")).scalar()
-    return timed.where(
-        F.col("minute_start") > newest - F.lit(timedelta(minutes=minutes))
-    ).drop("minute_start")
+    start = newest - F.lit(timedelta(minutes=minutes))
+    # The condition on the date follows from the other one and prunes folders by date.
+    recent = (F.col("date") >= format_date(start)) & (F.col("minute_start") > start)
+    return timed.where(recent).drop("minute_start")
 
 
 def ad_click_panes(clicks: DataFrame, slide: str, late_by: str | None = None) -> DataFrame:

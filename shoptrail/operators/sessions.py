@@ -62,7 +62,11 @@ def session_filter(full_sessions: DataFrame, params: TaskParams) -> DataFrame:
 
 
 def session_detail(actions: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Actions of the kept sessions."""
+    """Actions of the kept sessions.
+
+    Pass stored sessions (see ``materialize``): Spark splits a hot session only where both
+    sides are shuffled for the join, not where one still holds the layout of its aggregation.
+    """
     return actions.join(sessions.select("session_id"), "session_id", "left_semi")
 
 
