@@ -1,6 +1,11 @@
-"""Keyed tables that change over time."""
+"""Keyed tables that change over time.
 
-from collections.abc import Sequence
+A change table holds, per micro-batch, the new values of the keys that changed. Its folders are
+``date=…/batch_id=…``; the column ``version`` tells which value of a key is the newest, so a row
+may occur twice without harm. Few folders per day are kept: ``compact`` merges them.
+"""
+
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -8,9 +13,16 @@ from pyspark.sql import types as T
 
 from shoptrail.sinks.tables import replace_groups
 
+MAX_FOLDERS_PER_DAY = 50
+
+_BOOKKEEPING = {"version", "batch_id"}
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` plus the rows of ``old`` with other keys."""
+    """Rows of ``new`` plus the rows of ``old`` with other keys.
+
+    ``new`` is read twice: pass a stored table or a persisted batch.
+    """
     kept = old.join(new.select(*keys), list(keys), "left_anti")
     return kept.select(*new.columns).unionByName(new)
 
@@ -21,32 +33,98 @@ def write_changes(
     """Record the changed rows of one micro-batch under its date and batch id.
 
     A repeated batch replaces its own folders and touches no other, so nothing is lost or
-    counted twice. Parquet files cannot be updated in place; ``latest`` resolves the keys.
+    counted twice.
     """
-    rows = changes.withColumn("batch_id", F.lit(batch_id).cast("long"))
+    number = F.lit(batch_id).cast("long")
+    rows = changes.withColumns({"version": number, "batch_id": number})
     if spread_by:
         rows = rows.repartition("date", *spread_by)
     replace_groups(rows, path, "date", "batch_id")
 
 
-def read_changes(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All recorded changes, with the columns of ``schema`` and ``batch_id``."""
-    layout = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    return spark.read.schema(layout).parquet(path)
+def read_changes(
+    spark: SparkSession, path: str, schema: T.StructType, days: Iterable[str] | None = None
+) -> DataFrame:
+    """All recorded changes with the columns of ``schema``, ``version`` and ``batch_id``.
+
+    With ``days`` only the folders of these days are listed and read.
+    """
+    bookkeeping = [T.StructField(name, T.LongType()) for name in ("version", "batch_id")]
+    reader = spark.read.schema(T.StructType([*schema.fields, *bookkeeping]))
+    if days is None:
+        return reader.parquet(path)
+    folders = [f"{path}/date={day}" for day in days]
+    return reader.option("basePath", path).parquet(*folders)
 
 
 def latest(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The newest row of every key."""
-    values = [c for c in changes.columns if c not in {*keys, "batch_id"}]
+    values = [c for c in changes.columns if c not in {*keys, *_BOOKKEEPING}]
     return changes.groupBy(*keys).agg(
-        *[F.max_by(value, "batch_id").alias(value) for value in values]
+        *[F.max_by(value, "version").alias(value) for value in values]
+    )
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _folders(spark: SparkSession, pattern: str) -> list[tuple[str, int, str]]:
+    """Day, batch id and path of the change folders that match a pattern."""
+    hadoop_path, fs = _file_system(spark, pattern)
+    found = []
+    for status in fs.globStatus(hadoop_path) or []:
+        folder = status.getPath()
+        day = folder.getParent().getName().removeprefix("date=")
+        found.append((day, int(folder.getName().removeprefix("batch_id=")), folder.toString()))
+    return found
+
+
+def changed_days(spark: SparkSession, path: str, batch_id: int) -> list[str]:
+    """The days that a recorded micro-batch changed."""
+    return sorted(day for day, _, _ in _folders(spark, f"{path}/date=*/batch_id={batch_id}"))
+
+
+def compact(
+    spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str],
+    days: Iterable[str], max_folders: int = MAX_FOLDERS_PER_DAY,
+) -> None:
+    """Merge the folders of the days that have more than ``max_folders`` of them.
+
+    The merged rows keep their versions and go to a new folder; the old ones are removed only
+    when it is complete, so at every moment ``latest`` gives the same rows. Run it between
+    micro-batches: a query that has listed the old folders would no longer find them.
+    """
+    by_day = {day: _folders(spark, f"{path}/date={day}/batch_id=*") for day in days}
+    crowded = {day: found for day, found in by_day.items() if len(found) > max_folders}
+    if not crowded:
+        return
+    # Merged folders are numbered downwards from -1; no micro-batch has such a number.
+    number = min(0, *[label for found in crowded.values() for _, label, _ in found]) - 1
+    changes = read_changes(spark, path, schema, crowded).drop("batch_id")
+    values = [c for c in changes.columns if c not in {*keys, *_BOOKKEEPING}]
+    merged = changes.groupBy(*keys).agg(
+        *[F.max_by(value, "version").alias(value) for value in values],
+        F.max("version").alias("version"),
+    )
+    other_keys = [key for key in keys if key != "date"][:1]
+    replace_groups(
+        merged.withColumn("batch_id", F.lit(number).cast("long"))
+        .repartition("date", *other_keys),
+        path, "date", "batch_id",
     )
+    for found in crowded.values():
+        for _, _, folder in found:
+            hadoop_path, fs = _file_system(spark, folder)
+            fs.delete(hadoop_path, True)
 
 
 def settle(changes: DataFrame, keys: Sequence[str], path: str, before: str) -> None:
-    """Move closed days (``date`` < ``before``) into a table with one row per key.
+    """Write closed days (``date`` < ``before``) to a table with one row per key.
 
     The target is another path, and rewriting a day there gives the same rows.
     """
     closed = latest(changes.where(F.col("date") < before), keys)
-    replace_groups(closed.repartition("date", *[k for k in keys if k != "date"][:1]), path, "date")
+    other_keys = [key for key in keys if key != "date"][:1]
+    replace_groups(closed.repartition("date", *other_keys), path, "date")

@@ -9,11 +9,13 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shoptrail import schemas
+from shoptrail.functions.datetimes import format_date
 from shoptrail.operators import ads
-from shoptrail.sinks.keyed import latest, read_changes, write_changes
+from shoptrail.sinks.keyed import changed_days, compact, latest, read_changes, write_changes
 from shoptrail.sinks.tables import replace_groups
 
 # Fixed value: the micro-batch interval of the reports.
@@ -39,12 +41,15 @@ def _start(
     return (writer.queryName(name) if name else writer).start()
 
 
-def update_province_top3(changes: DataFrame, touched: DataFrame, top3_path: str) -> None:
-    """Rank the provinces and days in ``touched`` anew and replace their rows.
-
-    The join on the date prunes the recorded changes to the touched days.
-    """
-    groups = touched.select("date", "province").distinct()
+def update_province_top3(
+    spark: SparkSession, stat_path: str, schema: T.StructType, batch_id: int, top3_path: str
+) -> None:
+    """Rank the ads of the provinces and days that a micro-batch changed, and replace them."""
+    days = changed_days(spark, stat_path, batch_id)
+    if not days:
+        return
+    changes = read_changes(spark, stat_path, schema, days)
+    groups = changes.where(F.col("batch_id") == batch_id).select("date", "province").distinct()
     current = latest(
         changes.join(groups, ["date", "province"], "left_semi"), schemas.AD_STAT_KEYS
     )
@@ -72,9 +77,9 @@ def start_ad_stat(
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         write_changes(batch, stat_path, batch_id, spread_by=["province"])
         if top3_path is not None:
-            changes = read_changes(spark, stat_path, stat.schema)
-            touched = changes.where(F.col("batch_id") == batch_id)
-            update_province_top3(changes, touched, top3_path)
+            update_province_top3(spark, stat_path, stat.schema, batch_id, top3_path)
+        days = changed_days(spark, stat_path, batch_id)
+        compact(spark, stat_path, stat.schema, schemas.AD_STAT_KEYS, days)
 
     return _start(stat, on_batch, checkpoint, trigger, name)
 
@@ -92,9 +97,12 @@ def start_ad_click_trend(
     if blacklist is not None:
         clicks = ads.drop_blacklisted(clicks, blacklist)
     trend = ads.ad_click_trend(clicks, late_by)
+    spark = log.sparkSession
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         write_changes(batch, trend_path, batch_id, spread_by=["hour"])
+        days = changed_days(spark, trend_path, batch_id)
+        compact(spark, trend_path, trend.schema, schemas.AD_CLICK_TREND_KEYS, days)
 
     return _start(trend, on_batch, checkpoint, trigger, name)
 
@@ -108,11 +116,15 @@ def start_ad_click_panes(
 
     State holds each click once, not once for every window it falls into.
     """
-    panes = ads.ad_click_panes(ads.parse_ad_log(log), slide, late_by)
+    panes = ads.ad_click_panes(ads.parse_ad_log(log), slide, late_by).withColumn(
+        "date", format_date(F.col("pane_start"))
+    )
+    spark = log.sparkSession
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        dated = batch.withColumn("date", F.date_format("pane_start", "yyyy-MM-dd"))
-        write_changes(dated, pane_path, batch_id, spread_by=["pane_start"])
+        write_changes(batch, pane_path, batch_id, spread_by=["pane_start"])
+        days = changed_days(spark, pane_path, batch_id)
+        compact(spark, pane_path, panes.schema, ["date", "pane_start", "ad_id"], days)
 
     return _start(panes, on_batch, checkpoint, trigger, name)
 

@@ -1,11 +1,14 @@
 import os
 import random
+from functools import partial
 
 import pytest
+from pyspark.errors import StreamingQueryException
 
 from shoptrail import schemas
 from shoptrail.operators import ads
-from shoptrail.sinks.keyed import latest, read_changes, settle, write_changes
+from shoptrail.sinks import keyed
+from shoptrail.sinks.keyed import compact, latest, read_changes, settle, write_changes
 from shoptrail.sources.streams import file_ad_log
 from shoptrail.streaming import ads as stream
 from tests.helpers import rows
@@ -186,6 +189,91 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     assert rows(got) == [("d1", 1, 8), ("d1", 2, 1), ("d2", 1, 1)]
 
 
+def folders(path):
+    return sorted(f"{p.parent.name}/{p.name}" for p in path.glob("date=*/batch_id=*"))
+
+
+def test_compacted_folders_give_the_same_rows(spark, tmp_path):
+    path, layout, keys = tmp_path / "t", schemas.layout(LAYOUT), ["date", "ad_id"]
+    draw = random.Random(5)
+    for batch_id in range(7):
+        rows_ = {("d1", draw.randint(0, 3)): batch_id * 10, ("d2", 1): batch_id}
+        if batch_id > 4:
+            rows_.pop(("d2", 1))
+        batch = changes(spark, *[(*key, n) for key, n in rows_.items()])
+        write_changes(batch, str(path), batch_id)
+        before = rows(latest(read_changes(spark, str(path), layout), keys))
+        compact(spark, str(path), layout, keys, ["d1", "d2"], max_folders=2)
+        assert rows(latest(read_changes(spark, str(path), layout), keys)) == before
+        # A batch repeated after its rows were merged changes nothing either.
+        write_changes(batch, str(path), batch_id)
+        assert rows(latest(read_changes(spark, str(path), layout), keys)) == before
+    assert len([f for f in folders(path) if f.startswith("date=d1")]) <= 3
+
+
+def test_interrupted_compaction_loses_nothing(spark, tmp_path, monkeypatch):
+    path, layout, keys = str(tmp_path / "t"), schemas.layout(LAYOUT), ["date", "ad_id"]
+    for batch_id in range(3):
+        write_changes(changes(spark, ("d1", batch_id, batch_id), ("d1", 9, batch_id)), path,
+                      batch_id)
+    before = rows(latest(read_changes(spark, path, layout), keys))
+
+    def fail(*_):
+        raise OSError("lost connection")
+
+    real = keyed._file_system
+    calls = []
+
+    def fail_later(*args):
+        calls.append(args)
+        return real(*args) if len(calls) < 3 else fail()
+
+    monkeypatch.setattr(keyed, "_file_system", fail_later)
+    with pytest.raises(OSError, match="lost"):
+        compact(spark, path, layout, keys, ["d1"], max_folders=1)
+    monkeypatch.setattr(keyed, "_file_system", real)
+    assert len(folders(tmp_path / "t")) == 3  # merged folder and two of the old ones
+    assert rows(latest(read_changes(spark, path, layout), keys)) == before
+    compact(spark, path, layout, keys, ["d1"], max_folders=1)
+    assert len(folders(tmp_path / "t")) == 1
+    assert rows(latest(read_changes(spark, path, layout), keys)) == before
+
+
+def test_query_that_fails_between_its_writes_recovers(spark, feed, tmp_path, monkeypatch):
+    blacklist = spark.createDataFrame([(3,)], schemas.AD_BLACKLIST)
+    feed.add(*random_lines(1, 60, (0, 2000)))
+    run_stat(spark, feed, tmp_path, blacklist)
+    feed.add(*random_lines(2, 60, (0, 2000)))
+
+    def fail(*_):
+        raise OSError("lost connection")
+
+    real = stream.update_province_top3
+    monkeypatch.setattr(stream, "update_province_top3", fail)
+    with pytest.raises(StreamingQueryException):
+        run_stat(spark, feed, tmp_path, blacklist)
+    monkeypatch.setattr(stream, "update_province_top3", real)
+    feed.add(*random_lines(3, 60, (0, 2000)))
+    run_stat(spark, feed, tmp_path, blacklist)
+    stat = expected_stat(spark, feed, blacklist)
+    assert rows(stream.read_stat(spark, str(tmp_path / "stat"))) == rows(stat)
+    top3 = ads.ad_province_top3(ads.province_ad_count(stat))
+    assert rows(stream.read_province_top3(spark, str(tmp_path / "top3"))) == rows(top3)
+
+
+def test_running_query_compacts_its_folders(spark, feed, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream, "compact", partial(compact, max_folders=2))
+    nobody = spark.createDataFrame([], schemas.AD_BLACKLIST)
+    for seed in range(5):
+        feed.add(*random_lines(seed, 40, (0, 1400)))
+    run_stat(spark, feed, tmp_path, nobody)
+    assert len(folders(tmp_path / "stat")) <= 2
+    stat = expected_stat(spark, feed, nobody)
+    assert rows(stream.read_stat(spark, str(tmp_path / "stat"))) == rows(stat)
+    top3 = ads.ad_province_top3(ads.province_ad_count(stat))
+    assert rows(stream.read_province_top3(spark, str(tmp_path / "top3"))) == rows(top3)
+
+
 def test_settled_days(spark, tmp_path):
     path, target = str(tmp_path / "t"), str(tmp_path / "settled")
     write_changes(changes(spark, ("2024-01-01", 1, 5), ("2024-01-02", 1, 1)), path, 0)
