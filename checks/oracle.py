@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.queries import FLOW, NARROW_TASK, RANGE_TASK, SEED, TASK, TASK_ID, UPDATE_FROM
+from checks.queries import FLOW, NARROW_TASK, RANGE_TASK, SEED, TASK, TASK_ID
 from shoptrail import constants as C
 from shoptrail.params import TaskParams
 

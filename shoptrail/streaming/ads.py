@@ -21,6 +21,8 @@ from shoptrail.sinks.tables import replace_groups
 # Fixed value: the micro-batch interval of the reports.
 BATCH_INTERVAL = {"processingTime": "5 seconds"}
 
+RANKING_TASKS = 32
+
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -54,8 +56,9 @@ def update_province_top3(
         changes.join(groups, ["date", "province"], "left_semi"), schemas.AD_STAT_KEYS
     )
     top3 = ads.ad_province_top3(ads.province_ad_count(current))
+    # Each group is a small file: writing them takes time, not space, so keep several tasks.
     replace_groups(
-        top3.repartition(*schemas.AD_PROVINCE_TOP3_KEYS), top3_path,
+        top3.repartition(RANKING_TASKS, *schemas.AD_PROVINCE_TOP3_KEYS), top3_path,
         *schemas.AD_PROVINCE_TOP3_KEYS,
     )
 
