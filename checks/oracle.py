@@ -354,9 +354,9 @@ ORACLE_SQL = {
         f" FROM user_visit_action WHERE click_product_id IS NOT NULL AND {_RANGE}",
         "click_product_basic": "SELECT * FROM basic",
         "area_product_click_count": "SELECT * FROM area_counts",
-        "group_concat_distinct_cities": "SELECT area, string_agg(DISTINCT city_id || ':' ||"
+        "group_concat_distinct": "SELECT product_id, string_agg(DISTINCT city_id || ':' ||"
         " city_name, ',' ORDER BY city_id || ':' || city_name) AS city_infos"
-        " FROM city_info GROUP BY area",
+        " FROM basic GROUP BY product_id",
         "area_full_product": "SELECT * FROM full_products",
         "area_top3_product": f"""
             SELECT CAST({TASK_ID} AS BIGINT) AS task_id, area,

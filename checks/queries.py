@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoptrail import schemas
-from shoptrail.functions import datetimes, json, numbers, predicates, strings
-from shoptrail.functions.aggregates import group_concat_distinct
+from shoptrail.functions import aggregates, datetimes, json, numbers, predicates, strings
 from shoptrail.operators import ads, categories, pages, products, sampling, sessions
 from shoptrail.params import TaskParams
 from shoptrail.session import configure, materialize, new_folder
@@ -331,9 +330,12 @@ def area_product_click_count(shop: Shop) -> DataFrame:
 
 
 @query
-def group_concat_distinct_cities(shop: Shop) -> DataFrame:
+def group_concat_distinct(shop: Shop) -> DataFrame:
     city = strings.concat_long_string(F.col("city_id"), F.col("city_name"), F.lit(":"))
-    return shop.cities.groupBy("area").agg(group_concat_distinct(city).alias("city_infos"))
+    basic = products.click_product_basic(shop.clicks, shop.cities)
+    return basic.groupBy("product_id").agg(
+        aggregates.group_concat_distinct(city).alias("city_infos")
+    )
 
 
 @query
