@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoptrail.llm import mixing, packing, sharding, simhash, substrings, toxicity
-from shoptrail.session import configure
+from shoptrail.llm import (
+    licenses,
+    mixing,
+    mtree,
+    near_vectors,
+    packing,
+    sharding,
+    simhash,
+    substrings,
+    toxicity,
+    warc,
+)
+from shoptrail.session import configure, new_folder
 
 TOKENIZER = "word_bpe_49k.json"
 SHARDS = 40
@@ -33,6 +44,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mtree.search_embeddings(_table(spark, sf_dir, "embeddings"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -58,6 +74,36 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda x: x["base"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda x: x["word"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda x: x["word"])).alias("last_word"),
+        F.array_join(
+            F.array_sort(F.array_distinct(F.transform(base, lambda x: x["label"]))), ","
+        ).alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    path = new_folder(spark, "archive")
+    warc.write_archive(pages, path)
+    return warc.read_archive(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -77,8 +123,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_mtree": op2_mtree,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
+    "op5_licenses": op5_licenses,
+    "op6_warc": op6_warc,
+    "op7_near_vectors": op7_near_vectors,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_substrings": op10_substrings,
