@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,31 +15,79 @@ from shoptrail.llm.text import slices
 from shoptrail.session import materialize
 
 
-class _Encoder(dict):
-    """Word -> its ids as packed 32-bit numbers, by a tokenizer of the tokenizers library.
+# The sign that ends most words with a sign; letters and signs are encoded apart.
+_SIGN = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
-    The tokenizer drops white space and never joins text across it, so words between ASCII white
-    space can be encoded one by one and remembered.
+# Words of Latin letters whose lower case is one letter each.
+_LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿŒœ]+")
+
+
+class _Encoder:
+    """Ids of words as packed 32-bit numbers, by a tokenizer of the tokenizers library.
+
+    The tokenizer lower-cases, drops white space, and joins no text across it, nor letters with a
+    full stop or comma. So texts are cut there, and each distinct part is encoded once and
+    remembered. New parts of letters are encoded together as one text, whose ids are cut where a
+    word ends, which the vocabulary shows.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        super().__init__()
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        text = word.decode("utf-8", "replace")
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        out = np.array(ids, np.uint32).astype("<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = out
-        return out
-
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(found, "<u4")
+
+    def _learn(self, new: set[bytes]) -> None:
+        letters, texts, rest = [], [], []
+        for word in new:
+            text = word.decode("utf-8", "replace")
+            if _LETTERS.fullmatch(text):
+                letters.append(word)
+                texts.append(text)
+            else:
+                rest.append((word, text))
+        for start in range(0, len(rest), 5_000):
+            part = rest[start : start + 5_000]
+            found = self.tokenizer.encode_batch_fast(
+                [text for _, text in part], add_special_tokens=False
+            )
+            for (word, _), encoding in zip(part, found, strict=True):
+                self.words[word] = np.array(encoding.ids, "<u4").tobytes()
+        for start in range(0, len(texts), 20_000):
+            ids = self._encode(" ".join(texts[start : start + 20_000]))
+            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            data, at = ids.tobytes(), 0
+            for word, cut in zip(letters[start : start + 20_000], cuts, strict=True):
+                self.words[word] = data[at:cut]
+                at = cut
+
+    @staticmethod
+    def _split(text: bytes) -> list[bytes]:
+        if b"<|" in text:  # may name a special token, which keeps its case and signs
+            return text.split()
+        return _SIGN.sub(rb" \1", text.lower()).split()
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        split = [self._split(text) for text in texts]
+        new = {word for word in set().union(*split) if word not in self.words}
+        if len(self.words) + len(new) > self.most:
+            self.words.clear()
+            new = set().union(*split)
+        self._learn(new)
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> _Encoder:
+    """One per Python worker; what it has learnt serves the worker's later tasks."""
+    return _Encoder(path)
 
 
 _PIECE = "piece int, start long, length int, ids binary"
@@ -45,13 +95,14 @@ _PIECE = "piece int, start long, length int, ids binary"
 
 def _pieces(path: str, capacity: int, end: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(path)
+        encoder = _encoder(path)
         last = np.array([end], "<u4").tobytes()
         step = 4 * capacity
         for batch in slices(batches, "body", 4 << 20):
             row, piece, ids = [], [], []
-            for i, body in enumerate(batch.column("body").to_pylist()):
-                found = encoder.ids(body or b"") + last
+            bodies = [body or b"" for body in batch.column("body").to_pylist()]
+            for i, found in enumerate(encoder.ids(bodies)):
+                found += last
                 for k in range(0, len(found), step):
                     row.append(i), piece.append(k // step), ids.append(found[k : k + step])
             piece = np.array(piece, np.int32)
