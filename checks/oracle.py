@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from checks.queries import FLOW, NARROW_TASK, RANGE_TASK, SEED, TASK, TASK_ID
-from shoptrail import constants as C
-from shoptrail.params import TaskParams
+# Task, page flow and seed of the queries.
+TASK_ID, SEED, FLOW = 1, 7, (1, 2, 3, 4)
 
 
 def _texts(values) -> str:
@@ -15,22 +14,20 @@ def _overlaps(field: str, wanted) -> str:
     return f"list_has_any(string_split({field}, ','), [{', '.join(repr(w) for w in wanted)}])"
 
 
-def _condition(task: TaskParams) -> str:
-    """The session conditions of a task."""
-    parts = ["TRUE"]
-    if task.start_age is not None and task.end_age is not None:
-        parts.append(f"age BETWEEN {task.start_age} AND {task.end_age}")
-    if task.professionals is not None:
-        parts.append(f"professional IN {_texts(task.professionals)}")
-    if task.cities is not None:
-        parts.append(f"city IN {_texts(task.cities)}")
-    if task.sex is not None:
-        parts.append(f"sex = '{task.sex}'")
-    if task.keywords is not None:
-        parts.append(_overlaps("search_keywords", task.keywords))
-    if task.category_ids is not None:
-        parts.append(_overlaps("click_category_ids", task.category_ids))
-    return " AND ".join(parts)
+# The conditions of the two tasks, stated here anew.
+_TASK = " AND ".join([
+    "age BETWEEN 5 AND 50",
+    "professional NOT IN ('professional3', 'professional8')",
+    _overlaps("search_keywords", ["kw0", "kw1", "kw2", "kw3", "kw5", "kw7", "kw8", "kw9"]),
+])
+_NARROW_TASK = " AND ".join([
+    "age BETWEEN 2 AND 57",
+    "professional NOT IN ('professional8', 'professional9')",
+    f"city IN {_texts(f'city{i}' for i in range(20))}",
+    "sex = 'male'",
+    _overlaps("search_keywords", ["kw1", "kw2", "kw3", "kw4", "kw5", "kw6"]),
+    _overlaps("click_category_ids", [str(i) for i in range(5, 70)]),
+])
 
 
 def _bucket(field: str, low: int, high: int | None) -> str:
@@ -38,13 +35,26 @@ def _bucket(field: str, low: int, high: int | None) -> str:
     return f"count(*) FILTER (WHERE {field} >= {low}{upper})"
 
 
+# Stated here anew, not taken from the library: inclusive limits, None is open.
 _BUCKETS = [
-    (f"{field}_{name}", _bucket(field, low, high))
-    for field, table in (
-        ("visit_length", C.VISIT_LENGTH_BUCKETS),
-        ("step_length", C.STEP_LENGTH_BUCKETS),
+    (name, _bucket(field, low, high))
+    for name, field, low, high in (
+        ("visit_length_1s_3s", "visit_length", 1, 3),
+        ("visit_length_4s_6s", "visit_length", 4, 6),
+        ("visit_length_7s_9s", "visit_length", 7, 9),
+        ("visit_length_10s_30s", "visit_length", 10, 30),
+        ("visit_length_30s_60s", "visit_length", 31, 60),
+        ("visit_length_1m_3m", "visit_length", 61, 180),
+        ("visit_length_3m_10m", "visit_length", 181, 600),
+        ("visit_length_10m_30m", "visit_length", 601, 1800),
+        ("visit_length_30m", "visit_length", 1801, None),
+        ("step_length_1_3", "step_length", 1, 3),
+        ("step_length_4_6", "step_length", 4, 6),
+        ("step_length_7_9", "step_length", 7, 9),
+        ("step_length_10_30", "step_length", 10, 30),
+        ("step_length_30_60", "step_length", 31, 60),
+        ("step_length_60", "step_length", 61, None),
     )
-    for name, low, high in table
 ]
 
 
@@ -109,18 +119,18 @@ _STEPS = {
                'professional' || (c_custkey % 10) AS professional,
                'city' || c_nationkey AS city,
                CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS sex
-        FROM customer WHERE c_acctbal >= 0""",
+        FROM customer""",
     "product_info": """
         SELECT p_partkey AS product_id, p_name AS product_name,
                '{"product_status": ' || (p_partkey % 2) || '}' AS extend_info
-        FROM part WHERE p_type <> 'PROMO'""",
+        FROM part""",
     "city_info": f"""
         SELECT CAST(n_nationkey AS BIGINT) AS city_id, n_name AS city_name,
                {_AREAS}[n_nationkey % 7 + 1] AS area FROM nation""",
     "actions": f"""
         SELECT *, strptime(action_time, '%Y-%m-%d %H:%M:%S') AS action_ts
         FROM user_visit_action
-        WHERE date >= '{TASK.start_date}' AND date <= '{TASK.end_date}'""",
+        WHERE date >= '2024-01-01' AND date <= '2024-01-31'""",
     "sessions": """
         SELECT session_id, min(user_id) AS user_id,
                string_agg(DISTINCT nullif(search_keyword, ''), ','
@@ -134,7 +144,7 @@ _STEPS = {
     "full_sessions": """
         SELECT s.*, u.age, u.professional, u.city, u.sex
         FROM sessions s JOIN user_info u USING (user_id)""",
-    "kept": f"SELECT * FROM full_sessions WHERE {_condition(TASK)}",
+    "kept": f"SELECT * FROM full_sessions WHERE {_TASK}",
     "detail": "SELECT * FROM actions WHERE session_id IN (SELECT session_id FROM kept)",
     "counts": "SELECT count(*) AS session_count, "
     + ", ".join(f"{sql} AS {name}" for name, sql in _BUCKETS)
@@ -148,7 +158,7 @@ _STEPS = {
         SELECT date, hour, session_count, day_count,
                least(session_count, CAST(floor(
                    CAST(session_count AS DOUBLE) / CAST(day_count AS DOUBLE)
-                   * ({C.EXTRACT_SESSIONS} // (SELECT count(DISTINCT date) FROM hours)))
+                   * (100 // (SELECT count(DISTINCT date) FROM hours)))
                    AS BIGINT)) AS quota
         FROM hours""",
     "extracted": f"""
@@ -186,7 +196,7 @@ _STEPS = {
                pay_count
         FROM cat_counts
         ORDER BY click_count DESC, order_count DESC, pay_count DESC, category_id
-        LIMIT {C.TOP_CATEGORIES}""",
+        LIMIT 10""",
     "cat_sessions": """
         SELECT click_category_id AS category_id, session_id, count(*) AS click_count
         FROM detail WHERE click_category_id IS NOT NULL GROUP BY ALL""",
@@ -195,7 +205,7 @@ _STEPS = {
         FROM (SELECT *, row_number() OVER (
                   PARTITION BY category_id ORDER BY click_count DESC, session_id) AS rn
               FROM cat_sessions WHERE category_id IN (SELECT category_id FROM top_cats))
-        WHERE rn <= {C.TOP_SESSIONS_PER_CATEGORY}""",
+        WHERE rn <= 10""",
     "views": """
         SELECT session_id, page_id, lag(page_id) OVER (
             PARTITION BY session_id ORDER BY action_ts, event_id) AS prev_page
@@ -218,7 +228,7 @@ _STEPS = {
     "clicks": f"""
         SELECT city_id, click_product_id AS product_id FROM user_visit_action
         WHERE click_product_id IS NOT NULL
-          AND date >= '{TASK.start_date}' AND date <= '{TASK.end_date}'""",
+          AND date >= '2024-01-01' AND date <= '2024-01-31'""",
     "basic": """
         SELECT city_id, city_name, area, product_id FROM clicks JOIN city_info USING (city_id)""",
     "area_counts": """
@@ -279,7 +289,7 @@ _TASK_PARAM = """
            CAST(NULL AS VARCHAR) AS category_ids, '1,2,3,4' AS target_page_flow
     FROM customer"""
 
-_RANGE = f"date >= '{RANGE_TASK.start_date}' AND date <= '{RANGE_TASK.end_date}'"
+_RANGE = "date >= '2024-01-02' AND date <= '2024-01-21'"
 
 _DATETIME = """
     SELECT event_id, ats < noon AS is_before, ats > noon AS is_after, FALSE AS bad_is_before,
@@ -321,7 +331,7 @@ ORACLE_SQL = {
         "actions_by_date_range": f"SELECT * FROM user_visit_action WHERE {_RANGE}",
         "session_aggregate": "SELECT * FROM sessions",
         "session_full_aggr": "SELECT * FROM full_sessions",
-        "session_filter": f"SELECT * FROM full_sessions WHERE {_condition(NARROW_TASK)}",
+        "session_filter": f"SELECT * FROM full_sessions WHERE {_NARROW_TASK}",
         "session_aggr_counts": "SELECT * FROM counts",
         "session_aggr_stat": f"SELECT CAST({TASK_ID} AS BIGINT) AS task_id, session_count, "
         + ", ".join(f"{_ratio(n, 'session_count')} AS {n}_ratio" for n, _ in _BUCKETS)
@@ -368,7 +378,7 @@ ORACLE_SQL = {
             FROM (SELECT *, row_number() OVER (
                       PARTITION BY area ORDER BY click_count DESC, product_id) AS rn
                   FROM full_products)
-            WHERE rn <= {C.TOP_PRODUCTS_PER_AREA}""",
+            WHERE rn <= 3""",
         "salted_count": "SELECT product_id, count(*) AS row_count FROM clicks GROUP BY 1",
         "parse_ad_log": "SELECT millis, province, city, user_id, ad_id FROM ad_clicks",
         "ad_blacklist_filter": "SELECT millis, province, city, user_id, ad_id FROM allowed",
@@ -381,14 +391,14 @@ ORACLE_SQL = {
             FROM (SELECT *, row_number() OVER (
                       PARTITION BY date, province ORDER BY click_count DESC, ad_id) AS rn
                   FROM province_counts)
-            WHERE rn <= {C.TOP_ADS_PER_PROVINCE}""",
+            WHERE rn <= 3""",
         "ad_click_trend": "SELECT * FROM trend",
         "ad_click_trend_last_hour": f"""
             SELECT strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour,
                    strftime(ts, '%M') AS minute, ad_id, count(*) AS click_count
             FROM ad_clicks
             WHERE date_trunc('minute', ts) > (SELECT max(date_trunc('minute', ts)) FROM ad_clicks)
-                  - to_minutes({C.TREND_MINUTES})
+                  - to_minutes(60)
             GROUP BY ALL""",
         "ad_click_sliding": """
             SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start,
@@ -406,7 +416,8 @@ ORACLE_SQL = {
             SELECT event_id, {_ratio('event_id', 'user_id')} AS id_ratio,
                    {_half_up('value', 1)} AS one_decimal,
                    {_half_up('(-value / 7)', 2)} AS two_decimals,
-                   {_half_up('(CAST(event_id AS DOUBLE) / 200.0::DOUBLE)', 2)} AS half_steps
+                   {_half_up('(CAST(event_id AS DOUBLE) / 200.0::DOUBLE)', 2)} AS half_steps,
+                   {_half_up('value', 4)} AS four_decimals
             FROM events""",
     }.items()
 }

@@ -13,8 +13,8 @@ from shoptrail.functions import aggregates, datetimes, json, numbers, predicates
 from shoptrail.operators import ads, categories, pages, products, sampling, sessions
 from shoptrail.params import TaskParams
 from shoptrail.session import configure, materialize, new_folder
-from shoptrail.sinks.keyed import upsert
-from shoptrail.sources import tables, warehouse
+from shoptrail.sinks.keyed import merge, read_counts, write_counts
+from shoptrail.sources import streams, tables, warehouse
 from shoptrail.streaming import ads as stream
 
 TASK_ID = 1
@@ -53,6 +53,8 @@ UPDATE_FROM = "2024-01-16 12:00:00"
 
 NOW = {"availableNow": True}
 
+LOG_FILES = 4
+
 
 class Shop:
     """The tables of one folder and the intermediate results that queries build on."""
@@ -153,8 +155,11 @@ class Shop:
         return ads.drop_blacklisted(self.ad_clicks, self.blacklist)
 
     def log_stream(self) -> DataFrame:
-        events = warehouse.event_stream(self.spark, self.sf_dir)
-        return warehouse.ad_log(self.spark, self.sf_dir, events)
+        """The whole ad log in LOG_FILES text files of mixed order, one per micro-batch."""
+        folder = new_folder(self.spark, "ad-log")
+        log = self._view(warehouse.ad_log)
+        log.repartition(LOG_FILES, F.xxhash64("value")).write.text(folder)
+        return streams.file_ad_log(self.spark, folder, max_files_per_trigger=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,7 +231,7 @@ def random_extract_session(shop: Shop) -> DataFrame:
 
 @query
 def random_extract_detail(shop: Shop) -> DataFrame:
-    detail = sampling.random_extract_detail(shop.extracted, shop.detail)
+    detail = sampling.random_extract_detail(shop.extracted, shop.actions)
     return sessions.as_session_detail(detail, TASK_ID)
 
 
@@ -272,7 +277,7 @@ def top10_category_session(shop: Shop) -> DataFrame:
 
 @query
 def top10_session_detail(shop: Shop) -> DataFrame:
-    detail = categories.top10_session_detail(shop.top_sessions, shop.detail_table)
+    detail = categories.top10_session_detail(shop.top_sessions, shop.actions)
     return sessions.as_session_detail(detail, TASK_ID)
 
 
@@ -373,72 +378,73 @@ def province_ad_count(shop: Shop) -> DataFrame:
     return ads.province_ad_count(ads.ad_stat(shop.allowed_clicks))
 
 
-def _upserted(clicks: DataFrame, count, keys) -> DataFrame:
+def _upserted(shop: Shop, clicks: DataFrame, count, keys) -> DataFrame:
     """Stored counts as of UPDATE_FROM, brought up to date with the clicks since."""
-    keys, since = list(keys), F.col("ts") >= F.to_timestamp(F.lit(UPDATE_FROM))
-    stored = materialize(count(clicks.where(~since)), "stored")
-    before = stored.withColumnRenamed("click_count", "before")
-    total = F.col("click_count") + F.coalesce("before", F.lit(0))
-    fresh = count(clicks.where(since)).join(before, keys, "left")
-    current = materialize(fresh.select(*keys, total.alias("click_count")), "current")
-    return upsert(stored, current, keys)
+    since = F.col("ts") >= F.to_timestamp(F.lit(UPDATE_FROM))
+    path = new_folder(shop.spark, "counts")
+    for batch_id, part in enumerate((clicks.where(~since), clicks.where(since))):
+        write_counts(count(part), path, batch_id)
+    schema = schemas.layout(", ".join([*(f"{k} {'bigint' if k == 'ad_id' else 'string'}"
+                                         for k in keys), "click_count bigint"]))
+    merge(shop.spark, path, schema, keys, running=1, max_batches=1)
+    return read_counts(shop.spark, path, schema, keys)
 
 
 @query
 def upsert_ad_stat(shop: Shop) -> DataFrame:
-    return _upserted(shop.allowed_clicks, ads.ad_stat, schemas.AD_STAT_KEYS)
+    return _upserted(shop, shop.allowed_clicks, ads.ad_stat, schemas.AD_STAT_KEYS)
 
 
 @query
 def upsert_ad_click_trend(shop: Shop) -> DataFrame:
-    return _upserted(shop.ad_clicks, ads.ad_click_trend, schemas.AD_CLICK_TREND_KEYS)
+    return _upserted(shop, shop.ad_clicks, ads.ad_click_trend, schemas.AD_CLICK_TREND_KEYS)
 
 
-# Streams
+# Streams over the ad log in several files of mixed order, one file per micro-batch
 
 
-@query
-def ad_stat(shop: Shop) -> DataFrame:
+def _stat_stream(shop: Shop, top3: bool) -> str:
     folder = new_folder(shop.spark, "ad-stat")
     stream.start_ad_stat(
-        shop.log_stream(), shop.blacklist, f"{folder}/stat", None, f"{folder}/state", NOW
+        shop.log_stream(), lambda: shop.blacklist, f"{folder}/stat",
+        f"{folder}/top3" if top3 else None, f"{folder}/state", NOW,
     ).awaitTermination()
-    return stream.read_stat(shop.spark, f"{folder}/stat")
+    return folder
+
+
+@query
+def ad_stat(shop: Shop) -> DataFrame:
+    return stream.read_stat(shop.spark, f"{_stat_stream(shop, False)}/stat")
 
 
 @query
 def ad_province_top3(shop: Shop) -> DataFrame:
-    folder = new_folder(shop.spark, "ad-top3")
-    stream.start_ad_stat(
-        shop.log_stream(), shop.blacklist, f"{folder}/stat", f"{folder}/top3",
-        f"{folder}/state", NOW,
-    ).awaitTermination()
-    return stream.read_province_top3(shop.spark, f"{folder}/top3")
+    return stream.read_province_top3(shop.spark, f"{_stat_stream(shop, True)}/top3")
 
 
-def _trend(shop: Shop) -> DataFrame:
+def _trend_stream(shop: Shop) -> str:
     folder = new_folder(shop.spark, "ad-trend")
     stream.start_ad_click_trend(
         shop.log_stream(), f"{folder}/trend", f"{folder}/state", NOW
     ).awaitTermination()
-    return stream.read_trend(shop.spark, f"{folder}/trend")
+    return f"{folder}/trend"
 
 
 @query
 def ad_click_trend(shop: Shop) -> DataFrame:
-    return _trend(shop)
+    return stream.read_trend(shop.spark, _trend_stream(shop))
 
 
 @query
 def ad_click_trend_last_hour(shop: Shop) -> DataFrame:
-    return ads.ad_click_trend_last_hour(_trend(shop))
+    return stream.read_last_hour(shop.spark, _trend_stream(shop))
 
 
 @query
 def ad_click_sliding(shop: Shop) -> DataFrame:
     folder = new_folder(shop.spark, "ad-panes")
     stream.start_ad_click_panes(
-        shop.log_stream(), f"{folder}/panes", f"{folder}/state", "10 minutes", NOW
+        shop.log_stream(), f"{folder}/panes", f"{folder}/state", 3600, 600, NOW
     ).awaitTermination()
     panes = stream.read_panes(shop.spark, f"{folder}/panes")
     return ads.ad_click_sliding(panes, size_seconds=3600, slide_seconds=600)
@@ -527,4 +533,5 @@ def scalar_round(shop: Shop) -> DataFrame:
         numbers.format_double(F.col("value"), 1).alias("one_decimal"),
         numbers.format_double(-F.col("value") / 7, 2).alias("two_decimals"),
         numbers.format_double(F.col("event_id") / F.lit(200.0), 2).alias("half_steps"),
+        numbers.format_double(F.col("value"), 4).alias("four_decimals"),
     )

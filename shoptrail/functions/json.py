@@ -10,6 +10,6 @@ def get_json_field(json_text: Column, field: str) -> Column:
 
 
 def get_param(json_text: Column, field: str) -> Column:
-    """First element of an array field of a task parameter, NULL if there is none."""
+    """First element of an array field of a task parameter, NULL if there is none or it is ''."""
     values = F.from_json(json_text, "map<string,array<string>>").getItem(field)
-    return F.get(values, F.lit(0))
+    return F.nullif(F.get(values, F.lit(0)), F.lit(""))

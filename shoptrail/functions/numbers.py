@@ -22,14 +22,16 @@ def ratio(part: Column, whole: Column) -> Column:
 def format_double(number: Column, scale: int) -> Column:
     """Round half up on the binary value of a double (0.145 lies below its half: 0.14).
 
-    Exact for scales 0 to 2; NULL for NaN and infinities.
+    For scales 0 to 18; exact where the result has 15 digits at most. NULL for NaN and infinities.
     """
     size = F.abs(number.cast("double"))
     whole = F.floor(size)
     unit = F.lit(2**_FRACTION_BITS).cast("decimal(20,0)")
     half = F.lit(2 ** (_FRACTION_BITS - 1)).cast("decimal(20,0)")
     fraction = ((size - whole) * float(2**_FRACTION_BITS)).cast("long").cast("decimal(20,0)")
-    steps = _div(fraction * F.lit(10**scale).cast("decimal(3,0)") + half, unit)
+    # 2**62 times 10**18 has 37 digits.
+    power = F.lit(10**scale).cast("decimal(19,0)")
+    steps = _div((fraction * power).cast("decimal(38,0)") + half, unit)
     rounded = (whole.cast("double") * 10**scale + steps.cast("double")) / float(10**scale)
     usable = size < F.lit(float(2**53))
     return F.when(

@@ -1,5 +1,6 @@
-"""Ad clicks: parsing, blacklist and counts. All but the rankings run on streams as well."""
+"""Ad clicks: parsing, blacklist, counts and rankings, on batches and on micro-batches alike."""
 
+import math
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, Window
@@ -34,24 +35,20 @@ def drop_blacklisted(clicks: DataFrame, blacklist: DataFrame) -> DataFrame:
     return clicks.join(blacklist.select("user_id"), "user_id", "left_anti")
 
 
-def ad_stat(clicks: DataFrame, late_by: str | None = None) -> DataFrame:
-    """Clicks per day (``yyyyMMdd``), province, city and ad.
-
-    On a stream ``late_by`` bounds the state: days older than that behind the newest click
-    are closed, and clicks that come later still are no longer counted.
-    """
-    if late_by is None:
-        day, start = F.to_date("ts"), F.col("day")
-    else:
-        clicks = clicks.withWatermark("ts", late_by)
-        day, start = F.window("ts", "1 day"), F.col("day.start")
-    counted = clicks.groupBy(day.alias("day"), "province", "city", "ad_id").count()
+def ad_stat(clicks: DataFrame) -> DataFrame:
+    """Clicks per day (``yyyyMMdd``), province, city and ad."""
+    counted = clicks.groupBy(F.to_date("ts").alias("day"), "province", "city", "ad_id").count()
     return counted.select(
-        format_date_key(start).alias("date"), "province", "city", "ad_id",
+        format_date_key(F.col("day")).alias("date"), "province", "city", "ad_id",
         F.col("count").alias("click_count"),
     )
 
 
+def with_text_date(counts: DataFrame) -> DataFrame:
+    """Counts with the date ``yyyy-MM-dd`` in place of ``yyyyMMdd``."""
+    return counts.withColumn("date", format_date(parse_date_key(F.col("date"))))
+
+
 def province_ad_count(stat: DataFrame) -> DataFrame:
     """Clicks per day (``yyyy-MM-dd``), province and ad, summed over cities."""
     return stat.groupBy(
@@ -69,10 +66,8 @@ def ad_province_top3(province_counts: DataFrame, n: int = C.TOP_ADS_PER_PROVINCE
     )
 
 
-def ad_click_trend(clicks: DataFrame, late_by: str | None = None) -> DataFrame:
+def ad_click_trend(clicks: DataFrame) -> DataFrame:
     """Clicks per minute and ad."""
-    if late_by is not None:
-        clicks = clicks.withWatermark("ts", late_by)
     counted = clicks.groupBy(F.window("ts", "1 minute").alias("minute"), "ad_id").count()
     start = F.col("minute.start")
     return counted.select(
@@ -100,27 +95,31 @@ def ad_click_trend_last_hour(trend: DataFrame, minutes: int = C.TREND_MINUTES) -
     return timed.where(recent).drop("minute_start")
 
 
-def ad_click_panes(clicks: DataFrame, slide: str, late_by: str | None = None) -> DataFrame:
-    """Clicks per slide-long pane and ad: the shared parts of overlapping windows."""
-    if late_by is not None:
-        clicks = clicks.withWatermark("ts", late_by)
-    counted = clicks.groupBy(F.window("ts", slide).alias("pane"), "ad_id").count()
+def pane_seconds(size_seconds: int, slide_seconds: int) -> int:
+    """The longest pane that no window of this size and slide cuts."""
+    return math.gcd(size_seconds, slide_seconds)
+
+
+def ad_click_panes(clicks: DataFrame, width: str) -> DataFrame:
+    """Clicks per pane and ad: the shared parts of overlapping windows."""
+    counted = clicks.groupBy(F.window("ts", width).alias("pane"), "ad_id").count()
     return counted.select(
         F.col("pane.start").alias("pane_start"), "ad_id", F.col("count").alias("click_count")
     )
 
 
 def ad_click_sliding(panes: DataFrame, size_seconds: int, slide_seconds: int) -> DataFrame:
-    """Clicks per sliding window and ad, summed from panes.
+    """Clicks per sliding window and ad, summed from panes of ``pane_seconds``.
 
     Only pane counts are copied into the windows they belong to, never the clicks.
     """
-    if size_seconds % slide_seconds:
-        raise ValueError("the window size has to be a multiple of the slide")
-    pane = F.unix_seconds("pane_start")
-    starts = F.sequence(
-        pane - F.lit(size_seconds - slide_seconds), pane, F.lit(slide_seconds).cast("long")
-    )
+    pane, slide = F.unix_seconds("pane_start"), F.lit(slide_seconds).cast("long")
+    width = pane_seconds(size_seconds, slide_seconds)
+    # Windows start at multiples of the slide: the last one at or before the pane, and all before
+    # it that still hold the pane. With a slide longer than the window there may be none.
+    last = F.floor(pane / slide) * slide
+    first = F.ceil((pane - F.lit(size_seconds - width)) / slide) * slide
+    starts = F.when(first <= last, F.sequence(first, last, slide))
     return (
         panes.select(F.explode(starts).alias("start"), "ad_id", "click_count")
         .groupBy("start", "ad_id")

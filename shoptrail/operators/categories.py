@@ -117,9 +117,10 @@ def top10_category_session(
     )
 
 
-def top10_session_detail(top_sessions: DataFrame, detail: DataFrame) -> DataFrame:
+def top10_session_detail(top_sessions: DataFrame, actions: DataFrame) -> DataFrame:
     """Actions of the top sessions, once per category a session leads.
 
-    The sessions are a report of fixed length (categories x sessions), so they are broadcast.
+    The sessions are a report of fixed length (categories x sessions), so they are broadcast onto
+    the action table, which need not be narrowed to kept sessions.
     """
-    return detail.join(F.broadcast(top_sessions.select("session_id")), "session_id")
+    return actions.join(F.broadcast(top_sessions.select("session_id")), "session_id")

@@ -9,8 +9,7 @@ from shoptrail import schemas
 from shoptrail.functions.datetimes import parse_time
 from shoptrail.functions.numbers import ratio
 
-# A task sorts this many rows with ease.
-HOT_SESSION_ROWS = 1_000_000
+PIECE_SECONDS = 600
 
 
 def flow_splits(flow: Sequence[int]) -> list[str]:
@@ -23,54 +22,36 @@ def start_page_pv(actions: DataFrame, flow: Sequence[int]) -> DataFrame:
 
 
 def page_views(
-    actions: DataFrame, tie: Sequence[str] = ("page_id",), hot_rows: int = HOT_SESSION_ROWS
+    actions: DataFrame, tie: Sequence[str] = ("page_id",), piece_seconds: int = PIECE_SECONDS
 ) -> DataFrame:
     """Every action with the page seen just before it in its session (NULL for the first).
 
-    Sessions of more than ``hot_rows`` actions are cut into seconds, so that one of any length
-    spreads over many tasks. Inside a second the previous page is a lag; the first view of a
-    second takes the last page of the session's second before, found among the end rows only.
-
-    There is at most one such session per ``hot_rows`` actions of the log, which keeps their
-    list small enough to broadcast. Where there is none its branch is skipped at run time.
+    Sessions are cut into pieces of time, so that one of any length, and the actions of no session
+    at all, spread over many tasks. Inside a piece the previous page is a lag; the first view of a
+    piece takes the last page of the session's piece before, found among the end rows only. The
+    log is shuffled once; only end rows are shuffled again.
     """
     ties = list(dict.fromkeys([*tie, "page_id"]))
     order = ["action_ts", *ties]
     views = actions.select(
         "session_id", "action_time", *ties, parse_time(F.col("action_time")).alias("action_ts")
-    )
-    hot = F.broadcast(
-        actions.groupBy("session_id").agg(F.count("*").alias("views"))
-        .where(F.col("views") > hot_rows).select("session_id")
-    )
+    ).withColumn("piece", F.floor(F.unix_seconds("action_ts") / piece_seconds))
     wanted = ["session_id", "action_time", "page_id", "prev_page"]
     in_session = Window.partitionBy("session_id").orderBy(*order)
-    in_second = Window.partitionBy("session_id", "second").orderBy(*order)
-
-    short = views.join(hot, "session_id", "left_anti").withColumn(
-        "prev_page", F.lag("page_id").over(in_session)
-    )
-    long = (
-        views.join(hot, "session_id", "left_semi")
-        .withColumn("second", F.unix_seconds("action_ts"))
-        .withColumns(
-            {
-                "place": F.row_number().over(in_second),
-                "prev_page": F.lag("page_id").over(in_second),
-                "is_last": F.lead(F.lit(True)).over(in_second).isNull(),
-            }
-        )
+    in_piece = Window.partitionBy("session_id", "piece").orderBy(*order)
+    paired = views.withColumns(
+        {
+            "is_first": F.row_number().over(in_piece) == 1,
+            "prev_page": F.lag("page_id").over(in_piece),
+            "is_last": F.lead(F.lit(True)).over(in_piece).isNull(),
+        }
     )
     starts = (
-        long.where((F.col("place") == 1) | F.col("is_last"))
+        paired.where(F.col("is_first") | F.col("is_last"))
         .withColumn("prev_page", F.lag("page_id").over(in_session))
-        .where(F.col("place") == 1)
-    )
-    return (
-        short.select(*wanted)
-        .unionByName(long.where(F.col("place") > 1).select(*wanted))
-        .unionByName(starts.select(*wanted))
+        .where("is_first")
     )
+    return paired.where("NOT is_first").select(*wanted).unionByName(starts.select(*wanted))
 
 
 def page_split_match(views: DataFrame, flow: Sequence[int]) -> DataFrame:

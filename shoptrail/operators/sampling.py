@@ -30,20 +30,15 @@ def extract_quota(sessions: DataFrame, total: int = C.EXTRACT_SESSIONS) -> DataF
     """Number of sessions to draw per date and hour.
 
     Every date gets the same whole share of ``total``, split over its hours by their counts.
+    Sessions without a time belong to no date and take no share.
     """
-    counts = sessions_per_date_hour(sessions)
-    first_of_day = F.row_number().over(Window.partitionBy("date").orderBy("hour")) == 1
-    # The table holds one row per hour of the log, so counting its days in one task is cheap.
-    days = F.count_if(F.col("first_of_day")).over(Window.partitionBy())
+    counts = sessions_per_date_hour(sessions).where(F.col("date").isNotNull())
+    days = counts.agg(F.countDistinct("date")).scalar()
     share = F.col("session_count").cast("double") / F.col("day_count").cast("double")
-    quota = F.floor(share * F.floor(F.lit(total) / F.col("days")))
-    return (
-        counts.withColumn("first_of_day", first_of_day)
-        .withColumn("days", days)
-        .select(
-            "date", "hour", "session_count", "day_count",
-            F.least(F.col("session_count"), quota).alias("quota"),
-        )
+    quota = F.floor(share * F.floor(F.lit(total) / days))
+    return counts.select(
+        "date", "hour", "session_count", "day_count",
+        F.least(F.col("session_count"), quota).alias("quota"),
     )
 
 
@@ -73,6 +68,10 @@ def random_extract_session(
     )
 
 
-def random_extract_detail(extracted: DataFrame, detail: DataFrame) -> DataFrame:
-    """Actions of the extracted sessions, which are EXTRACT_SESSIONS at most."""
-    return detail.join(F.broadcast(extracted.select("session_id")), "session_id")
+def random_extract_detail(extracted: DataFrame, actions: DataFrame) -> DataFrame:
+    """Actions of the extracted sessions, which are EXTRACT_SESSIONS at most.
+
+    They passed the task's conditions already, so ``actions`` need not be narrowed to kept
+    sessions, and the broadcast of the ids leaves the action table unshuffled.
+    """
+    return actions.join(F.broadcast(extracted.select("session_id")), "session_id")

@@ -29,12 +29,12 @@ class TaskParams:
 
     @classmethod
     def from_json(cls, text: str) -> TaskParams:
-        """Read an object of arrays; only the first element of each array counts."""
+        """Read an object of arrays; only the first element of each array counts, '' as absent."""
         raw = json.loads(text)
 
         def first(key: str) -> str | None:
             values = raw.get(key)
-            return str(values[0]) if values and values[0] is not None else None
+            return str(values[0]) if values and values[0] not in (None, "") else None
 
         def number(key: str) -> int | None:
             value = first(key)

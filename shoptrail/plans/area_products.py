@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 
 from shoptrail.operators import products
-from shoptrail.sinks.tables import replace_groups
+from shoptrail.sinks.tables import replace_task
 from shoptrail.sources.tables import click_actions_by_date, find_task
 
 
@@ -17,4 +17,4 @@ def run(
     top3 = products.area_top3_product(
         products.area_full_product(counts, product_info), task_id
     )
-    replace_groups(top3, f"{output}/area_top3_product", "task_id")
+    replace_task(top3, f"{output}/area_top3_product", task_id)

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from shoptrail.operators import pages
-from shoptrail.sinks.tables import replace_groups
+from shoptrail.sinks.tables import replace_task
 from shoptrail.sources.tables import actions_by_date_range, find_task
 
 
@@ -19,7 +19,6 @@ def run(
         raise ValueError(f"task {task_id} names no page flow")
     views = pages.page_views(actions_by_date_range(actions, params), tie)
     rates = pages.page_convert_rate(views, params.target_page_flow)
-    replace_groups(
-        pages.page_split_convert_rate(rates, task_id), f"{output}/page_split_convert_rate",
-        "task_id",
+    replace_task(
+        pages.page_split_convert_rate(rates, task_id), f"{output}/page_split_convert_rate", task_id
     )

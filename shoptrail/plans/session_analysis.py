@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame
 
 from shoptrail.operators import categories, sampling, sessions
-from shoptrail.session import materialize
-from shoptrail.sinks.tables import replace_groups
+from shoptrail.session import materialize, scratch
+from shoptrail.sinks.tables import replace_task
 from shoptrail.sources.tables import actions_by_date_range, find_task
 
 
@@ -14,35 +14,41 @@ def run(
 ) -> None:
     """Write the five result tables below ``output``, replacing earlier rows of the task.
 
-    The filtered sessions and their actions feed several reports, so they are written once and
-    read back.
+    The filtered sessions and the categories of their actions feed several reports, so they are
+    written once and read back; they are deleted when the job ends, however it ends.
     """
     params = find_task(tasks, task_id)
     in_range = actions_by_date_range(actions, params)
-    full = sessions.session_full_aggr(sessions.session_aggregate(in_range), user_info)
-    kept = materialize(sessions.session_filter(full, params), "sessions")
-    detail = materialize(sessions.session_detail(in_range, kept), "session-detail")
+    with scratch(actions.sparkSession, "session-analysis") as folder:
+        full = sessions.session_full_aggr(sessions.session_aggregate(in_range), user_info)
+        kept = materialize(sessions.session_filter(full, params), "sessions", folder)
+        extracted = materialize(
+            sampling.random_extract_session(kept, task_id, seed), "random-extract", folder
+        )
+        # The counts need these columns only; details are read from the action table.
+        acted = in_range.select(
+            "session_id", "click_category_id", "order_category_ids", "pay_category_ids"
+        )
+        detail = materialize(sessions.session_detail(acted, kept), "session-detail", folder)
+        top_categories = materialize(
+            categories.top10_category(categories.category_counts(detail), task_id),
+            "top-categories", folder,
+        )
+        top_sessions = materialize(
+            categories.top10_category_session(detail, top_categories, task_id),
+            "top-sessions", folder,
+        )
+        extract_detail = sampling.random_extract_detail(extracted, in_range)
+        top_detail = categories.top10_session_detail(top_sessions, in_range)
 
-    extracted = materialize(
-        sampling.random_extract_session(kept, task_id, seed), "random-extract"
-    )
-    top_categories = materialize(
-        categories.top10_category(categories.category_counts(detail), task_id), "top-categories"
-    )
-    top_sessions = materialize(
-        categories.top10_category_session(detail, top_categories, task_id), "top-sessions"
-    )
-    extract_detail = sampling.random_extract_detail(extracted, detail)
-    top_detail = categories.top10_session_detail(top_sessions, detail)
-
-    reports = {
-        "session_aggr_stat": sessions.session_aggr_stat(kept, task_id),
-        "session_random_extract": extracted,
-        "session_detail": sessions.as_session_detail(
-            extract_detail.unionByName(top_detail), task_id
-        ),
-        "top10_category": top_categories,
-        "top10_category_session": top_sessions,
-    }
-    for name, report in reports.items():
-        replace_groups(report, f"{output}/{name}", "task_id")
+        reports = {
+            "session_aggr_stat": sessions.session_aggr_stat(kept, task_id),
+            "session_random_extract": extracted,
+            "session_detail": sessions.as_session_detail(
+                extract_detail.unionByName(top_detail), task_id
+            ),
+            "top10_category": top_categories,
+            "top10_category_session": top_sessions,
+        }
+        for name, report in reports.items():
+            replace_task(report, f"{output}/{name}", task_id)

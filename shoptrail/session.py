@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,11 +16,19 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Hash instead of sort where every measured partition of one side is this small.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # Distinct lists per session stay in a hash map for this many sessions a task before it sorts.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
 }
 
+# Shuffles start with many small partitions, which are coalesced by measured size.
+_CLUSTER_SETTINGS = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings that the operators rely on to a session made elsewhere."""
+    """Apply the runtime settings that the operators rely on to a session made elsewhere.
+
+    They hold for the whole session: its time zone becomes UTC and execution adaptive.
+    """
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
     return spark
@@ -30,11 +40,16 @@ def build_session(
     conf: dict[str, str] | None = None,
     hive: bool = False,
 ) -> SparkSession:
-    """Create a session; with ``hive`` tables resolve in the Hive metastore."""
+    """Create a session; with ``hive`` tables resolve in the Hive metastore.
+
+    A session on a cluster starts shuffles with 8000 partitions, unless ``conf`` says otherwise.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**_SETTINGS, **(conf or {})}.items():
+    local = (master or "").startswith("local")
+    settings = {**_SETTINGS, **({} if local else _CLUSTER_SETTINGS), **(conf or {})}
+    for key, value in settings.items():
         builder = builder.config(key, value)
     if hive:
         builder = builder.enableHiveSupport()
@@ -60,11 +75,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder below the shared one that is deleted at the end of the block, also on failure."""
+    folder = new_folder(spark, name)
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` once into the shared folder and go on from the written table.
 
-    Later readers neither repeat the work nor lose it with an executor.
+    Later readers neither repeat the work nor lose it with an executor. ``folder`` is one from
+    ``scratch``.
     """
-    path = new_folder(df.sparkSession, name)
+    path = f"{folder}/{name}" if folder else new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,130 +1,147 @@
-"""Keyed tables that change over time.
+"""Tables of counts that grow by micro-batches.
 
-A change table holds, per micro-batch, the new values of the keys that changed. Its folders are
-``date=…/batch_id=…``; the column ``version`` tells which value of a key is the newest, so a row
-may occur twice without harm. Few folders per day are kept: ``compact`` merges them.
+A micro-batch adds its own counts under ``live/batch_id=N/date=D``. Old batches are summed into
+``base/upto=M/date=D``, which stands for all batches up to M of the days it holds. Every folder
+is written as a whole and counts once it is complete; readers take the newest base of each day and
+the batches after the last base.
 """
 
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoptrail.sinks.tables import replace_groups
+MAX_LIVE_BATCHES = 50
 
-MAX_FOLDERS_PER_DAY = 50
+_FOLDER = re.compile(r"/(base/upto|live/batch_id)=(\d+)(?:/date=([^/]*))?/?$")
 
-_BOOKKEEPING = {"version", "batch_id"}
-
-
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` plus the rows of ``old`` with other keys.
-
-    ``new`` is read twice: pass a stored table or a persisted batch.
-    """
-    kept = old.join(new.select(*keys), list(keys), "left_anti")
-    return kept.select(*new.columns).unionByName(new)
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
 
-def write_changes(
-    changes: DataFrame, path: str, batch_id: int, spread_by: Sequence[str] = ()
-) -> None:
-    """Record the changed rows of one micro-batch under its date and batch id.
 
-    A repeated batch replaces its own folders and touches no other, so nothing is lost or
-    counted twice.
-    """
-    number = F.lit(batch_id).cast("long")
-    rows = changes.withColumns({"version": number, "batch_id": number})
-    if spread_by:
-        rows = rows.repartition("date", *spread_by)
-    replace_groups(rows, path, "date", "batch_id")
+def _glob(spark: SparkSession, pattern: str) -> list[str]:
+    hadoop_path, fs = _file_system(spark, pattern)
+    return [status.getPath().toString() for status in fs.globStatus(hadoop_path) or []]
 
 
-def read_changes(
-    spark: SparkSession, path: str, schema: T.StructType, days: Iterable[str] | None = None
-) -> DataFrame:
-    """All recorded changes with the columns of ``schema``, ``version`` and ``batch_id``.
+def _complete(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the folders of a kind (``base/upto``, ``live/batch_id``) written to their end."""
+    found = _glob(spark, f"{path}/{kind}=*/_SUCCESS")
+    return sorted(int(_FOLDER.search(f.removesuffix("/_SUCCESS"))[2]) for f in found)
 
-    With ``days`` only the folders of these days are listed and read.
-    """
-    bookkeeping = [T.StructField(name, T.LongType()) for name in ("version", "batch_id")]
-    reader = spark.read.schema(T.StructType([*schema.fields, *bookkeeping]))
-    if days is None:
-        return reader.parquet(path)
-    folders = [f"{path}/date={day}" for day in days]
-    return reader.option("basePath", path).parquet(*folders)
-
-
-def latest(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The newest row of every key."""
-    values = [c for c in changes.columns if c not in {*keys, *_BOOKKEEPING}]
-    return changes.groupBy(*keys).agg(
-        *[F.max_by(value, "version").alias(value) for value in values]
-    )
 
+def _day_folders(
+    spark: SparkSession, path: str, kind: str, numbers: Iterable[int], days: Iterable[str] | None
+) -> list[tuple[int, str, str]]:
+    """Number, day and path of the day folders below complete folders."""
+    numbers = set(numbers)
+    if not numbers:
+        return []
+    day = "*" if days is None else "{" + ",".join(days) + "}"
+    found = []
+    for folder in _glob(spark, f"{path}/{kind}=*/date={day}"):
+        match = _FOLDER.search(folder)
+        if int(match[2]) in numbers:
+            found.append((int(match[2]), match[3], folder))
+    return found
 
-def _file_system(spark: SparkSession, path: str):
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
 
+def write_counts(counts: DataFrame, path: str, batch_id: int) -> None:
+    """Add the counts of one micro-batch (column ``date`` and more).
 
-def _folders(spark: SparkSession, pattern: str) -> list[tuple[str, int, str]]:
-    """Day, batch id and path of the change folders that match a pattern."""
-    hadoop_path, fs = _file_system(spark, pattern)
-    found = []
-    for status in fs.globStatus(hadoop_path) or []:
-        folder = status.getPath()
-        day = folder.getParent().getName().removeprefix("date=")
-        found.append((day, int(folder.getName().removeprefix("batch_id=")), folder.toString()))
-    return found
+    A repeated batch replaces all that its first attempt wrote, whatever days either touches.
+    """
+    target = f"{path}/live/batch_id={batch_id}"
+    counts.write.mode("overwrite").partitionBy("date").parquet(target)
 
 
-def changed_days(spark: SparkSession, path: str, batch_id: int) -> list[str]:
-    """The days that a recorded micro-batch changed."""
-    return sorted(day for day, _, _ in _folders(spark, f"{path}/date=*/batch_id={batch_id}"))
+def batch_days(spark: SparkSession, path: str, batch_id: int) -> list[str]:
+    """The days that a micro-batch wrote."""
+    folders = _glob(spark, f"{path}/live/batch_id={batch_id}/date=*")
+    return sorted(_FOLDER.search(folder)[3] for folder in folders)
 
 
-def compact(
+def all_days(spark: SparkSession, path: str) -> list[str]:
+    """The days with counts."""
+    folders = _glob(spark, f"{path}/base/upto=*/date=*") + _glob(
+        spark, f"{path}/live/batch_id=*/date=*"
+    )
+    return sorted({_FOLDER.search(folder)[3] for folder in folders})
+
+
+def _chosen(
+    spark: SparkSession, path: str, days: Iterable[str] | None, before: int | None = None
+) -> dict[str, list[str]]:
+    """The day folders that make up the counts, by kind."""
+    days = None if days is None else list(days)
+    bases = _complete(spark, path, "base/upto")
+    newest: dict[str, tuple[int, str]] = {}
+    for upto, day, folder in _day_folders(spark, path, "base/upto", bases, days):
+        newest[day] = max(newest.get(day, (-1, "")), (upto, folder))
+    last = max(bases, default=-1)
+    live = [
+        n for n in _complete(spark, path, "live/batch_id")
+        if n > last and (before is None or n < before)
+    ]
+    return {
+        "base": sorted(folder for _, folder in newest.values()),
+        "live": [f for _, _, f in _day_folders(spark, path, "live/batch_id", live, days)],
+    }
+
+
+def read_counts(
     spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str],
-    days: Iterable[str], max_folders: int = MAX_FOLDERS_PER_DAY,
-) -> None:
-    """Merge the folders of the days that have more than ``max_folders`` of them.
+    days: Iterable[str] | None = None, before: int | None = None,
+) -> DataFrame:
+    """The current ``click_count`` of every key, from the folders complete at the call.
 
-    The merged rows keep their versions and go to a new folder; the old ones are removed only
-    when it is complete, so at every moment ``latest`` gives the same rows. Run it between
-    micro-batches: a query that has listed the old folders would no longer find them.
+    With ``days`` only the folders of these days are listed and read; with ``before`` only
+    batches older than that.
     """
-    by_day = {day: _folders(spark, f"{path}/date={day}/batch_id=*") for day in days}
-    crowded = {day: found for day, found in by_day.items() if len(found) > max_folders}
-    if not crowded:
-        return
-    # Merged folders are numbered downwards from -1; no micro-batch has such a number.
-    number = min(0, *[label for found in crowded.values() for _, label, _ in found]) - 1
-    changes = read_changes(spark, path, schema, crowded).drop("batch_id")
-    values = [c for c in changes.columns if c not in {*keys, *_BOOKKEEPING}]
-    merged = changes.groupBy(*keys).agg(
-        *[F.max_by(value, "version").alias(value) for value in values],
-        F.max("version").alias("version"),
-    )
-    other_keys = [key for key in keys if key != "date"][:1]
-    replace_groups(
-        merged.withColumn("batch_id", F.lit(number).cast("long"))
-        .repartition("date", *other_keys),
-        path, "date", "batch_id",
-    )
-    for found in crowded.values():
-        for _, _, folder in found:
-            hadoop_path, fs = _file_system(spark, folder)
-            fs.delete(hadoop_path, True)
+    rows = spark.createDataFrame([], schema)
+    for kind, folders in _chosen(spark, path, days, before).items():
+        if folders:
+            reader = spark.read.schema(schema).option("basePath", f"{path}/{kind}")
+            rows = rows.unionByName(reader.parquet(*folders).select(*schema.fieldNames()))
+    return rows.groupBy(*keys).agg(F.sum("click_count").alias("click_count"))
 
 
-def settle(changes: DataFrame, keys: Sequence[str], path: str, before: str) -> None:
-    """Write closed days (``date`` < ``before``) to a table with one row per key.
+def merge(
+    spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], running: int,
+    max_batches: int | None = None, delete: Callable[[str], None] | None = None,
+) -> None:
+    """Sum the batches before the ``running`` one into a base once there are ``max_batches``
+    (MAX_LIVE_BATCHES).
 
-    The target is another path, and rewriting a day there gives the same rows.
+    The running batch may be repeated, so it is never merged. A base counts when its folder is
+    complete; what it replaces stays for readers that have listed it and goes with the next merge.
     """
-    closed = latest(changes.where(F.col("date") < before), keys)
-    other_keys = [key for key in keys if key != "date"][:1]
-    replace_groups(closed.repartition("date", *other_keys), path, "date")
+    bases = _complete(spark, path, "base/upto")
+    last = max(bases, default=-1)
+    every = _complete(spark, path, "live/batch_id")
+    ripe = [n for n in every if last < n < running]
+    if len(ripe) < (max_batches or MAX_LIVE_BATCHES):
+        return
+    days = sorted({day for _, day, _ in _day_folders(spark, path, "live/batch_id", ripe, None)})
+    summed = read_counts(spark, path, schema, keys, days, before=running)
+    summed.write.mode("overwrite").partitionBy("date").parquet(f"{path}/base/upto={ripe[-1]}")
+    remove = delete or (lambda folder: _delete(spark, folder))
+    for number in every:
+        if number <= last:
+            remove(f"{path}/live/batch_id={number}")
+    older = _day_folders(spark, path, "base/upto", bases, None)
+    newest: dict[str, int] = {}
+    for upto, day, _ in older:
+        newest[day] = max(newest.get(day, -1), upto)
+    for upto, day, folder in older:
+        if upto < newest[day]:
+            remove(folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    hadoop_path, fs = _file_system(spark, folder)
+    fs.delete(hadoop_path, True)

@@ -1,6 +1,7 @@
 """Writing result tables as a whole."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -35,6 +36,18 @@ def replace_groups(df: DataFrame, path: str, *keys: str) -> None:
     )
 
 
+def replace_task(df: DataFrame, path: str, task_id: int) -> None:
+    """Replace the rows of one task, also by none; other tasks' rows stay."""
+    df.drop("task_id").write.mode("overwrite").parquet(f"{path}/task_id={task_id}")
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A report of all tasks with ``task_id`` as a long in front."""
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c != "task_id"]
+    return rows.select(F.col("task_id").cast("long").alias("task_id"), *others)
+
+
 def save_actions(df: DataFrame, table: str, buckets: int | None = None) -> None:
     """Store the action log partitioned by date, so that date ranges prune whole folders.
 

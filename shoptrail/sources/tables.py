@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shoptrail import constants as C
 from shoptrail.functions.json import get_param
+from shoptrail.functions.predicates import all_of
 from shoptrail.params import TaskParams
 
 
@@ -21,7 +22,12 @@ def register_views(views: Mapping[str, DataFrame]) -> None:
 
 
 def _in_dates(params: TaskParams) -> Column:
-    return F.col("date").between(params.start_date, params.end_date)
+    """The bounds that the task gives; a missing one leaves that end open."""
+    start, end = params.start_date, params.end_date
+    return all_of(
+        None if start is None else F.col("date") >= start,
+        None if end is None else F.col("date") <= end,
+    )
 
 
 def actions_by_date_range(actions: DataFrame, params: TaskParams) -> DataFrame:

@@ -1,156 +1,174 @@
 """Real-time ad statistics as Structured Streaming queries.
 
-Both queries keep their counts in the state store, emit only the keys that a micro-batch
-changed, and record them idempotently, so a query restarted from its checkpoint goes on where
-it stopped.
+Every micro-batch is counted as a batch of its own and its counts are added to what is stored,
+under its batch id. So no click is too late, no state grows, the blacklist is that of the batch,
+and a query restarted from its checkpoint goes on where it stopped.
 """
 
+from collections.abc import Callable, Sequence
+from datetime import date, timedelta
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from shoptrail import constants as C
 from shoptrail import schemas
 from shoptrail.functions.datetimes import format_date
 from shoptrail.operators import ads
-from shoptrail.sinks.keyed import changed_days, compact, latest, read_changes, write_changes
+from shoptrail.sinks.keyed import all_days, batch_days, merge, read_counts, write_counts
 from shoptrail.sinks.tables import replace_groups
 
 # Fixed value: the micro-batch interval of the reports.
 BATCH_INTERVAL = {"processingTime": "5 seconds"}
 
-RANKING_TASKS = 32
+_STAT = schemas.layout(
+    "date string, province string, city string, ad_id bigint, click_count bigint"
+)
+_PROVINCE = schemas.layout("date string, province string, ad_id bigint, click_count bigint")
+_TREND = schemas.layout(
+    "date string, hour string, minute string, ad_id bigint, click_count bigint"
+)
+_PANES = schemas.layout("date string, pane_start timestamp, ad_id bigint, click_count bigint")
+_PROVINCE_KEYS = ("date", "province", "ad_id")
+_PANE_KEYS = ("date", "pane_start", "ad_id")
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def keep_state_on_disk(spark: SparkSession) -> None:
-    """Hold streaming state in RocksDB instead of on the heap, for queries started later."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+# A blacklist, or a function that gives the one of the moment.
+Blacklist = DataFrame | Callable[[], DataFrame]
 
 
 def _start(
-    df: DataFrame, on_batch, checkpoint: str, trigger: dict[str, Any], name: str | None
+    log: DataFrame, on_batch, checkpoint: str, trigger: dict[str, Any], name: str | None
 ) -> StreamingQuery:
+    def adaptive(batch: DataFrame, batch_id: int) -> None:
+        # Streams run in a session without adaptive execution; a micro-batch is a batch job.
+        batch.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
+        on_batch(batch, batch_id)
+
     writer = (
-        df.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
+        log.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**trigger)
-        .foreachBatch(on_batch)
+        .foreachBatch(adaptive)
     )
     return (writer.queryName(name) if name else writer).start()
 
 
+def _allowed(log: DataFrame, blacklist: Blacklist | None) -> DataFrame:
+    clicks = ads.parse_ad_log(log)
+    if blacklist is None:
+        return clicks
+    return ads.drop_blacklisted(clicks, blacklist() if callable(blacklist) else blacklist)
+
+
 def update_province_top3(
-    spark: SparkSession, stat_path: str, schema: T.StructType, batch_id: int, top3_path: str
+    spark: SparkSession, stat_path: str, batch_id: int, top3_path: str
 ) -> None:
     """Rank the ads of the provinces and days that a micro-batch changed, and replace them."""
-    days = changed_days(spark, stat_path, batch_id)
+    days = batch_days(spark, f"{stat_path}/province", batch_id)
     if not days:
         return
-    changes = read_changes(spark, stat_path, schema, days)
-    groups = changes.where(F.col("batch_id") == batch_id).select("date", "province").distinct()
-    current = latest(
-        changes.join(groups, ["date", "province"], "left_semi"), schemas.AD_STAT_KEYS
+    current = read_counts(spark, f"{stat_path}/province", _PROVINCE, _PROVINCE_KEYS, days)
+    folder = f"{stat_path}/province/live/batch_id={batch_id}"
+    changed = spark.read.schema(_PROVINCE).parquet(folder).select("date", "province").distinct()
+    top3 = ads.ad_province_top3(
+        ads.with_text_date(current.join(changed, ["date", "province"], "left_semi"))
     )
-    top3 = ads.ad_province_top3(ads.province_ad_count(current))
     # Each group is a small file: writing them takes time, not space, so keep several tasks.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     replace_groups(
-        top3.repartition(RANKING_TASKS, *schemas.AD_PROVINCE_TOP3_KEYS), top3_path,
+        top3.repartition(tasks, *schemas.AD_PROVINCE_TOP3_KEYS), top3_path,
         *schemas.AD_PROVINCE_TOP3_KEYS,
     )
 
 
 def start_ad_stat(
-    log: DataFrame, blacklist: DataFrame, stat_path: str, top3_path: str | None,
-    checkpoint: str, trigger: dict[str, Any] = BATCH_INTERVAL, late_by: str | None = None,
-    name: str | None = None,
+    log: DataFrame, blacklist: Blacklist, stat_path: str, top3_path: str | None,
+    checkpoint: str, trigger: dict[str, Any] = BATCH_INTERVAL, name: str | None = None,
 ) -> StreamingQuery:
     """Count the clicks of users not blacklisted, and rank the ads of each province and day.
 
-    Without ``late_by`` every click counts however late it comes, and state is kept for good.
+    Pass a function as ``blacklist`` to read the list anew in every micro-batch. Counts per
+    province are kept beside those per city, so that the ranking reads few rows.
     """
-    clicks = ads.drop_blacklisted(ads.parse_ad_log(log), blacklist)
-    stat = ads.ad_stat(clicks, late_by)
-    # The stream runs in a session without adaptive execution; the ranking is a batch job.
     spark = log.sparkSession
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        write_changes(batch, stat_path, batch_id, spread_by=["province"])
+        city, province = f"{stat_path}/city", f"{stat_path}/province"
+        write_counts(ads.ad_stat(_allowed(batch, blacklist)), city, batch_id)
+        if batch_days(spark, city, batch_id):
+            written = spark.read.schema(_STAT).parquet(f"{city}/live/batch_id={batch_id}")
+        else:
+            written = spark.createDataFrame([], _STAT)
+        summed = written.groupBy(*_PROVINCE_KEYS).agg(F.sum("click_count").alias("click_count"))
+        write_counts(summed, province, batch_id)
         if top3_path is not None:
-            update_province_top3(spark, stat_path, stat.schema, batch_id, top3_path)
-        days = changed_days(spark, stat_path, batch_id)
-        compact(spark, stat_path, stat.schema, schemas.AD_STAT_KEYS, days)
+            update_province_top3(spark, stat_path, batch_id, top3_path)
+        merge(spark, city, _STAT, schemas.AD_STAT_KEYS, batch_id)
+        merge(spark, province, _PROVINCE, _PROVINCE_KEYS, batch_id)
 
-    return _start(stat, on_batch, checkpoint, trigger, name)
+    return _start(log, on_batch, checkpoint, trigger, name)
 
 
 def start_ad_click_trend(
     log: DataFrame, trend_path: str, checkpoint: str,
-    trigger: dict[str, Any] = BATCH_INTERVAL, late_by: str = "60 minutes",
-    blacklist: DataFrame | None = None, name: str | None = None,
+    trigger: dict[str, Any] = BATCH_INTERVAL, blacklist: Blacklist | None = None,
+    name: str | None = None,
 ) -> StreamingQuery:
-    """Count the clicks per minute and ad; a minute closes ``late_by`` after its last click.
+    """Count the clicks per minute and ad, however late they come.
 
     All clicks count, unless a ``blacklist`` is given.
     """
-    clicks = ads.parse_ad_log(log)
-    if blacklist is not None:
-        clicks = ads.drop_blacklisted(clicks, blacklist)
-    trend = ads.ad_click_trend(clicks, late_by)
     spark = log.sparkSession
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        write_changes(batch, trend_path, batch_id, spread_by=["hour"])
-        days = changed_days(spark, trend_path, batch_id)
-        compact(spark, trend_path, trend.schema, schemas.AD_CLICK_TREND_KEYS, days)
+        write_counts(ads.ad_click_trend(_allowed(batch, blacklist)), trend_path, batch_id)
+        merge(spark, trend_path, _TREND, schemas.AD_CLICK_TREND_KEYS, batch_id)
 
-    return _start(trend, on_batch, checkpoint, trigger, name)
+    return _start(log, on_batch, checkpoint, trigger, name)
 
 
 def start_ad_click_panes(
-    log: DataFrame, pane_path: str, checkpoint: str, slide: str,
-    trigger: dict[str, Any] = BATCH_INTERVAL, late_by: str = "60 minutes",
-    name: str | None = None,
+    log: DataFrame, pane_path: str, checkpoint: str, size_seconds: int, slide_seconds: int,
+    trigger: dict[str, Any] = BATCH_INTERVAL, name: str | None = None,
 ) -> StreamingQuery:
-    """Count the clicks per pane and ad, the input of any sliding window of that slide.
-
-    State holds each click once, not once for every window it falls into.
-    """
-    panes = ads.ad_click_panes(ads.parse_ad_log(log), slide, late_by).withColumn(
-        "date", format_date(F.col("pane_start"))
-    )
+    """Count the clicks per pane and ad: the parts that sliding windows of this size share."""
     spark = log.sparkSession
+    width = f"{ads.pane_seconds(size_seconds, slide_seconds)} seconds"
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        write_changes(batch, pane_path, batch_id, spread_by=["pane_start"])
-        days = changed_days(spark, pane_path, batch_id)
-        compact(spark, pane_path, panes.schema, ["date", "pane_start", "ad_id"], days)
+        panes = ads.ad_click_panes(ads.parse_ad_log(batch), width)
+        dated = panes.withColumn("date", format_date(F.col("pane_start")))
+        write_counts(dated, pane_path, batch_id)
+        merge(spark, pane_path, _PANES, _PANE_KEYS, batch_id)
+
+    return _start(log, on_batch, checkpoint, trigger, name)
 
-    return _start(panes, on_batch, checkpoint, trigger, name)
 
+def read_stat(spark: SparkSession, path: str, days: Sequence[str] | None = None) -> DataFrame:
+    """Current ad statistics, of some days (``yyyyMMdd``) or all."""
+    return read_counts(spark, f"{path}/city", _STAT, schemas.AD_STAT_KEYS, days)
 
-def read_stat(spark: SparkSession, path: str) -> DataFrame:
-    """Current ad statistics."""
-    columns = "date string, province string, city string, ad_id bigint, click_count bigint"
-    return latest(read_changes(spark, path, schemas.layout(columns)), schemas.AD_STAT_KEYS)
 
+def read_trend(spark: SparkSession, path: str, days: Sequence[str] | None = None) -> DataFrame:
+    """Current click trend, of some days (``yyyy-MM-dd``) or all."""
+    return read_counts(spark, path, _TREND, schemas.AD_CLICK_TREND_KEYS, days)
 
-def read_trend(spark: SparkSession, path: str) -> DataFrame:
-    """Current click trend."""
-    columns = "date string, hour string, minute string, ad_id bigint, click_count bigint"
-    return latest(read_changes(spark, path, schemas.layout(columns)), schemas.AD_CLICK_TREND_KEYS)
+
+def read_last_hour(spark: SparkSession, path: str, minutes: int = C.TREND_MINUTES) -> DataFrame:
+    """The trend of the last ``minutes`` minutes; reads the newest day and those it reaches back
+    into only."""
+    known = [day for day in all_days(spark, path) if day[:1].isdigit()]
+    days = None
+    if known:
+        newest = date.fromisoformat(known[-1])
+        days = [str(newest - timedelta(days=n)) for n in range(minutes // 1440 + 2)]
+    return ads.ad_click_trend_last_hour(read_trend(spark, path, days), minutes)
 
 
 def read_panes(spark: SparkSession, path: str) -> DataFrame:
     """Current pane counts."""
-    columns = "pane_start timestamp, ad_id bigint, click_count bigint, date string"
-    panes = latest(
-        read_changes(spark, path, schemas.layout(columns)), ["date", "pane_start", "ad_id"]
-    )
-    return panes.drop("date")
+    return read_counts(spark, path, _PANES, _PANE_KEYS).drop("date")
 
 
 def read_province_top3(spark: SparkSession, path: str) -> DataFrame:

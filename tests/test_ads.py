@@ -4,7 +4,6 @@ import pytest
 
 from shoptrail import schemas
 from shoptrail.operators import ads
-from shoptrail.sinks.keyed import upsert
 from tests.helpers import plan, rows
 
 START = 1_704_067_200_000  # 2024-01-01 00:00:00 UTC
@@ -46,7 +45,6 @@ def test_stat_and_both_date_formats(spark):
     assert rows(stat) == [
         ("20240101", "p", "c", 1, 2), ("20240101", "p", "d", 1, 1), ("20240102", "p", "c", 1, 1),
     ]
-    assert rows(ads.ad_stat(df, "1 day")) == rows(stat)
     assert rows(ads.province_ad_count(stat)) == [
         ("2024-01-01", "p", 1, 3), ("2024-01-02", "p", 1, 1),
     ]
@@ -76,10 +74,12 @@ def test_trend_and_last_hour(spark):
     assert rows(last) == [("01", "00"), ("01", "01")]
 
 
-@pytest.mark.parametrize(("size", "slide"), [(3600, 600), (3600, 10), (600, 600)])
+@pytest.mark.parametrize(
+    ("size", "slide"), [(3600, 600), (3600, 10), (600, 600), (60, 7), (90, 60)]
+)
 def test_sliding_windows_equal_the_built_in_window(spark, size, slide):
     df = clicks(spark, *[line(m, ad=ad) for m, ad in ((0, 1), (9.99, 1), (10, 2), (75, 1))])
-    panes = ads.ad_click_panes(df, f"{slide} seconds")
+    panes = ads.ad_click_panes(df, f"{ads.pane_seconds(size, slide)} seconds")
     got = ads.ad_click_sliding(panes, size, slide)
     built_in = (
         df.selectExpr(f"window(ts, '{size} seconds', '{slide} seconds') AS w", "ad_id")
@@ -90,22 +90,5 @@ def test_sliding_windows_equal_the_built_in_window(spark, size, slide):
     assert rows(got) == rows(built_in)
 
 
-def test_sliding_needs_whole_panes(spark):
-    panes = ads.ad_click_panes(clicks(spark, line(0)), "7 seconds")
-    with pytest.raises(ValueError, match="multiple"):
-        ads.ad_click_sliding(panes, 60, 7)
-
-
-def test_upsert(spark):
-    layout = "date string, ad_id long, click_count long"
-    old = spark.createDataFrame([("d1", 1, 5), ("d1", 2, 6)], layout)
-    new = spark.createDataFrame([(7, "d1", 2), (8, "d2", 1)],
-                                "click_count long, date string, ad_id long")
-    got = upsert(old, new, ["date", "ad_id"]).select("date", "ad_id", "click_count")
-    assert rows(got) == [("d1", 1, 5), ("d1", 2, 7), ("d2", 1, 8)]
-    again = upsert(got, new, ["date", "ad_id"]).select("date", "ad_id", "click_count")
-    assert rows(again) == rows(got)
-
-
 def test_epoch_is_utc(spark):
     assert clicks(spark, line(0)).first()["ts"] == datetime(2024, 1, 1)

@@ -104,6 +104,15 @@ def test_format_double_rounds_the_binary_value(spark, values):
             assert got == float(Decimal(value).quantize(step, ROUND_HALF_UP))
 
 
+def test_format_double_of_more_decimals(spark):
+    values = [0.12345678905, -2.5e-4, 1 / 3, 123.456789, 2.0**-20]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for scale in (3, 4, 7, 12):
+        step = Decimal(1).scaleb(-scale)
+        for value, got in df.select("v", numbers.format_double(F.col("v"), scale)).collect():
+            assert got == float(Decimal(value).quantize(step, ROUND_HALF_UP))
+
+
 def test_format_double_edges(spark):
     values = [0.145, -0.145, 2.5, 1e300, float("nan"), float("inf"), None]
     df = spark.createDataFrame([(v,) for v in values], "v double")

@@ -1,11 +1,13 @@
 """The whole jobs on the smallest tables, against the queries."""
 
+import os
+
 import pytest
-from pyspark.sql import functions as F
 
 from checks.queries import QUERIES, Shop
 from shoptrail import schemas
 from shoptrail.plans import area_products, page_conversion, session_analysis
+from shoptrail.sinks.tables import read_report
 from shoptrail.sources import warehouse
 from tests.helpers import rows
 
@@ -31,8 +33,7 @@ def tasks(spark):
 
 
 def stored(spark, path, columns):
-    return spark.read.parquet(str(path)).withColumn("task_id", F.col("task_id").cast("long")
-                                                    ).select(*columns)
+    return read_report(spark, str(path)).select(*columns)
 
 
 def test_session_job(spark, shop, tasks, tmp_path):
@@ -50,6 +51,8 @@ def test_session_job(spark, shop, tasks, tmp_path):
     top = QUERIES["top10_session_detail"](spark, SF_DIR)
     detail = stored(spark, tmp_path / "session_detail", schemas.SESSION_DETAIL)
     assert rows(detail) == rows(extracted.unionByName(top))
+    left = os.listdir(spark.conf.get("spark.checkpoint.dir"))
+    assert not [name for name in left if name.startswith("session-analysis")]
 
 
 def test_page_job(spark, shop, tasks, tmp_path):

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from shoptrail.operators import pages
 from tests.helpers import action, actions, dicts, final_plan, rows
@@ -31,12 +32,12 @@ def brute_force(rows_in):
     return sorted(pairs, key=repr)
 
 
-@pytest.mark.parametrize("hot_rows", [0, 74, 500, 10**9])
-def test_page_views_equal_brute_force_for_any_hot_limit(spark, hot_rows):
-    draw = random.Random(hot_rows)
-    # One session holds a third of the views; times repeat, so the tie breaker matters.
+@pytest.mark.parametrize("piece_seconds", [1, 74, 600, 10**9])
+def test_page_views_equal_brute_force_for_any_piece(spark, piece_seconds):
+    draw = random.Random(piece_seconds)
+    # One session holds a third of the views, no session another; times repeat, so ties matter.
     given = [
-        ("hot" if draw.random() < 0.33 else f"s{draw.randint(0, 40)}", draw.randint(0, 5),
+        (draw.choice(["hot", None, f"s{draw.randint(0, 40)}"]), draw.randint(0, 5),
          draw.randint(0, 900), tie)
         for tie in range(3000)
     ]
@@ -44,14 +45,32 @@ def test_page_views_equal_brute_force_for_any_hot_limit(spark, hot_rows):
     table = table.selectExpr(
         "*", "date_format(timestamp_seconds(1704067200 + s), 'yyyy-MM-dd H:mm:ss') AS action_time"
     )
-    got = pages.page_views(table, tie=("tie",), hot_rows=hot_rows)
+    got = pages.page_views(table, tie=("tie",), piece_seconds=piece_seconds)
     assert rows(got.select("session_id", "page_id", "prev_page")) == brute_force(given)
 
 
-def test_no_long_session_costs_one_window_only(spark):
+def test_the_log_is_shuffled_once(spark):
     df = views_of(spark, (1, "1:00:00"), (2, "1:00:01"))
-    assert final_plan(pages.page_views(df)).count("Window [") == 1
-    assert final_plan(pages.page_views(df, hot_rows=1)).count("Window [") > 1
+    text = final_plan(pages.page_views(df))
+    assert text.count("Exchange hashpartitioning(session_id") - text.count("ReusedExchange") <= 2
+    assert "ReusedExchange" in text
+
+
+@pytest.mark.parametrize("session", ["a", None])
+def test_a_session_of_one_action_a_second_is_spread(spark, session):
+    table = spark.range(20_000).select(
+        F.lit(session).cast("string").alias("session_id"), (F.col("id") % 7).alias("page_id"),
+        F.date_format(F.timestamp_seconds(F.col("id") + 1704067200), "yyyy-MM-dd HH:mm:ss").alias(
+            "action_time"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        views = pages.page_views(table)
+        tasks = [r["count"] for r in views.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks) == 20_000 and max(tasks) < 10_000 and len(tasks) > 4
+    assert views.where("prev_page = (page_id + 6) % 7").count() == 19_999
 
 
 def test_only_flow_steps_match(spark):

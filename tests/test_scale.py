@@ -97,11 +97,18 @@ def test_hot_session_is_merged_before_the_shuffle(table):
     assert len(hot["search_keywords"].split(",")) == 50
 
 
-def test_hot_session_pages_are_cut_into_seconds(table):
-    views = pages.page_views(table, tie=("event_id",), hot_rows=1000)
-    whole = pages.page_views(table, tie=("event_id",), hot_rows=N)
+def test_hot_session_pages_are_cut_into_pieces(table):
+    views = pages.page_views(table, tie=("event_id",))
+    whole = pages.page_views(table, tie=("event_id",), piece_seconds=10**9)
     assert rows(views) == rows(whole)
-    assert "second" in plan(views)
+
+
+def test_details_of_a_few_sessions_leave_the_log_unshuffled(spark, table):
+    few = materialize(spark.createDataFrame([("s1",), ("s2",)], "session_id string"), "few")
+    for detail in (sampling.random_extract_detail(few, table),
+                   categories.top10_session_detail(few, table)):
+        text = final_plan(detail)
+        assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
 
 
 def test_clicks_are_counted_before_the_city_join(spark, table):

@@ -149,6 +149,12 @@ def test_quota_splits_days_evenly_and_hours_by_share(spark):
     ]
 
 
+def test_sessions_without_a_time_take_no_share(spark):
+    starts = ["2024-01-01 05:00:00"] * 50 + [None]
+    got = rows(sampling.extract_quota(_started(spark, starts), total=20))
+    assert got == [("2024-01-01", "05", 50, 50, 20)]
+
+
 def test_extract_draws_exactly_the_quota(spark):
     draw = random.Random(3)
     starts = [

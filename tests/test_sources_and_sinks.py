@@ -1,3 +1,5 @@
+from contextlib import nullcontext
+from pathlib import Path
 from unittest.mock import MagicMock
 
 import pytest
@@ -6,8 +8,16 @@ from pyspark.sql import functions as F
 from shoptrail import schemas
 from shoptrail.operators import sessions
 from shoptrail.params import TaskParams
-from shoptrail.session import materialize, new_folder, shared_dir
-from shoptrail.sinks.tables import append, append_jdbc, replace_groups, save_actions
+from shoptrail.functions.json import get_param
+from shoptrail.session import materialize, new_folder, scratch, shared_dir
+from shoptrail.sinks.tables import (
+    append,
+    append_jdbc,
+    read_report,
+    replace_groups,
+    replace_task,
+    save_actions,
+)
 from shoptrail.sources import jdbc, streams, tables
 from tests.helpers import action, actions, final_plan, plan, rows
 
@@ -28,6 +38,25 @@ def test_date_range_is_inclusive(spark):
     assert rows(clicks) == [(1, 7), (1, 7)]
 
 
+def test_a_missing_date_leaves_its_end_open(spark):
+    def days(**bounds):
+        got = tables.actions_by_date_range(dated(spark), TaskParams(**bounds)).collect()
+        return {int(r["date"][-1]) for r in got}
+
+    assert days() == {1, 2, 3, 4}
+    assert days(start_date="2024-01-03") == {3, 4}
+    assert days(end_date="2024-01-03") == {1, 2, 3}
+
+
+def test_empty_parameters_are_absent(spark):
+    names = ("startDate", "startAge", "endAge", "professionals", "cities", "sex", "keywords",
+             "categoryIds", "targetPageFlow")
+    empty = "{" + ", ".join(f'"{name}": [""]' for name in names) + "}"
+    assert TaskParams.from_json(empty) == TaskParams()
+    df = spark.createDataFrame([(empty,)], "p string")
+    assert df.select(get_param(F.col("p"), "keywords")).first()[0] is None
+
+
 def test_dates_prune_folders_and_columns(spark):
     save_actions(dated(spark), "actions_by_date")
     tables.register_views({"recent": tables.table(spark, "actions_by_date")})
@@ -117,6 +146,27 @@ def test_append_and_replace(spark, tmp_path):
     assert sorted(r["task_id"] for r in got.collect()) == [1, 2]
 
 
+def test_a_task_is_replaced_also_by_nothing(spark, tmp_path):
+    path = str(tmp_path / "report")
+    one = spark.createDataFrame([(1, "a"), (1, "b")], "task_id long, v string")
+    replace_task(one, path, 1)
+    replace_task(one.withColumn("task_id", F.lit(2)), path, 2)
+    replace_task(one.where("false"), path, 1)
+    got = read_report(spark, path)
+    assert got.dtypes == [("task_id", "bigint"), ("v", "string")]
+    assert rows(got) == [(2, "a"), (2, "b")]
+
+
+def test_scratch_folders_go_also_on_failure(spark):
+    for fail in (False, True):
+        with pytest.raises(ZeroDivisionError) if fail else nullcontext():
+            with scratch(spark, "job") as folder:
+                assert materialize(spark.range(3), "part", folder).count() == 3
+                assert Path(folder).exists()
+                1 / (not fail)
+        assert not Path(folder).exists()
+
+
 def test_shared_folder_is_the_configured_one(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark) == folder

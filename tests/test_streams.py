@@ -1,14 +1,14 @@
 import os
 import random
-from functools import partial
 
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
 from shoptrail import schemas
 from shoptrail.operators import ads
 from shoptrail.sinks import keyed
-from shoptrail.sinks.keyed import compact, latest, read_changes, settle, write_changes
+from shoptrail.sinks.keyed import all_days, batch_days, merge, read_counts, write_counts
 from shoptrail.sources.streams import file_ad_log
 from shoptrail.streaming import ads as stream
 from tests.helpers import rows
@@ -95,20 +95,36 @@ def test_counts_made_before_a_user_was_blacklisted_stay(spark, feed, tmp_path):
     assert rows(stream.read_stat(spark, str(tmp_path / "stat"))) == [("20240101", "p", "c", 1, 3)]
 
 
-def test_stat_counts_late_clicks_unless_bounded(spark, feed, tmp_path):
+def test_stat_counts_clicks_however_late(spark, feed, tmp_path):
     day = 24 * 60
     for minute in (0, 10 * day, 11 * day, 1):
         feed.add(line(minute))
     nobody = spark.createDataFrame([], schemas.AD_BLACKLIST)
     run_stat(spark, feed, tmp_path, nobody)
     counts = {r[0]: r[4] for r in rows(stream.read_stat(spark, str(tmp_path / "stat")))}
-    assert counts["20240101"] == 2
+    assert counts == {"20240101": 2, "20240111": 1, "20240112": 1}
+    one = stream.read_stat(spark, str(tmp_path / "stat"), ["20240111"])
+    assert rows(one) == [("20240111", "p", "c", 1, 1)]
+
+
+def test_blacklist_is_read_in_every_batch(spark, feed, tmp_path):
+    listed = str(tmp_path / "blacklist")
+    spark.createDataFrame([(7,)], schemas.AD_BLACKLIST).write.parquet(listed)
+    for minute in range(3):
+        feed.add(line(minute, user=1), line(minute, user=2))
+    seen = []
+
+    def blacklist():
+        # The list changes between two batches of one running query.
+        seen.append(len(seen))
+        if len(seen) == 2:
+            users = spark.createDataFrame([(2,)], schemas.AD_BLACKLIST)
+            users.write.mode("append").parquet(listed)
+        return spark.read.schema(schemas.AD_BLACKLIST).parquet(listed)
 
-    bounded = tmp_path / "bounded"
-    bounded.mkdir()
-    run_stat(spark, feed, bounded, nobody, late_by="1 day")
-    counts = {r[0]: r[4] for r in rows(stream.read_stat(spark, str(bounded / "stat")))}
-    assert counts == {"20240101": 1, "20240111": 1, "20240112": 1}
+    run_stat(spark, feed, tmp_path, blacklist)
+    assert len(seen) == 3
+    assert rows(stream.read_stat(spark, str(tmp_path / "stat")))[0][4] == 2 + 1 + 1
 
 
 def run_trend(spark, feed, tmp_path, **options):
@@ -126,14 +142,26 @@ def test_trend_keeps_final_counts_per_minute(spark, feed, tmp_path):
     assert rows(run_trend(spark, feed, tmp_path)) == rows(expected)
 
 
-def test_trend_drops_clicks_beyond_the_hour_only(spark, feed, tmp_path):
-    feed.add(line(0), line(100))
-    feed.add(line(200))
-    feed.add(line(141), line(0.5))  # 59 and 199.5 minutes late
-    feed.add(line(201))
-    got = [(r[1], r[2], r[4]) for r in rows(run_trend(spark, feed, tmp_path))]
-    assert got == [("00", "00", 1), ("01", "40", 1), ("02", "21", 1), ("03", "20", 1),
-                   ("03", "21", 1)]
+def test_trend_counts_every_click_in_any_order(spark, feed, tmp_path):
+    lines = random_lines(4, 200, (0, 30 * 24 * 60))
+    random.Random(1).shuffle(lines)
+    for start in range(0, 200, 50):
+        feed.add(*lines[start : start + 50])
+    expected = ads.ad_click_trend(ads.parse_ad_log(log(spark, *feed.lines)))
+    got = run_trend(spark, feed, tmp_path)
+    assert sum(r[4] for r in rows(got)) == 200
+    assert rows(got) == rows(expected)
+    last = stream.read_last_hour(spark, str(tmp_path / "trend"))
+    assert rows(last) == rows(ads.ad_click_trend_last_hour(expected))
+
+
+def test_last_hour_reads_two_days_at_most(spark, feed, tmp_path):
+    day = 24 * 60
+    feed.add(line(0), line(5 * day - 10), line(5 * day + 20))
+    run_trend(spark, feed, tmp_path)
+    last = stream.read_last_hour(spark, str(tmp_path / "trend"))
+    assert [r[:3] for r in rows(last)] == [("2024-01-05", "23", "50"), ("2024-01-06", "00", "20")]
+    assert {f.split("date=")[1][:10] for f in last.inputFiles()} == {"2024-01-05", "2024-01-06"}
 
 
 def test_trend_can_leave_out_blacklisted_users(spark, feed, tmp_path):
@@ -142,101 +170,144 @@ def test_trend_can_leave_out_blacklisted_users(spark, feed, tmp_path):
     assert rows(run_trend(spark, feed, tmp_path, blacklist=listed))[0][4] == 1
 
 
-def test_sliding_windows_from_streamed_panes(spark, feed, tmp_path):
-    for start in (0, 30, 60):
+@pytest.mark.parametrize("size, slide", [(3600, 600), (1500, 600), (600, 600)])
+def test_sliding_windows_from_streamed_panes(spark, feed, tmp_path, size, slide):
+    for start in (60, 0, 30):
         feed.add(*random_lines(start, 50, (start, start + 50)))
     stream.start_ad_click_panes(
         file_ad_log(spark, str(feed.path), max_files_per_trigger=1),
-        str(tmp_path / "panes"), str(tmp_path / "pane-state"), "10 minutes", NOW,
+        str(tmp_path / "panes"), str(tmp_path / "pane-state"), size, slide, NOW,
     ).awaitTermination()
-    got = ads.ad_click_sliding(
-        stream.read_panes(spark, str(tmp_path / "panes")), 3600, 600
-    )
+    got = ads.ad_click_sliding(stream.read_panes(spark, str(tmp_path / "panes")), size, slide)
     clicks = ads.parse_ad_log(log(spark, *feed.lines))
-    expected = ads.ad_click_sliding(ads.ad_click_panes(clicks, "10 minutes"), 3600, 600)
+    expected = clicks.groupBy(
+        F.window("ts", f"{size} seconds", f"{slide} seconds").alias("w"), "ad_id"
+    ).count().select(
+        F.date_format("w.start", "yyyy-MM-dd HH:mm:ss"),
+        F.date_format("w.end", "yyyy-MM-dd HH:mm:ss"), "ad_id", "count",
+    )
     assert rows(got) == rows(expected)
 
 
-def test_state_in_rocksdb(spark, feed, tmp_path):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    stream.keep_state_on_disk(spark)
-    try:
-        feed.add(line(0), line(1))
-        feed.add(line(2))
-        run_stat(spark, feed, tmp_path, spark.createDataFrame([], schemas.AD_BLACKLIST))
-        assert rows(stream.read_stat(spark, str(tmp_path / "stat")))[0][4] == 3
-    finally:
-        spark.conf.set(key, before)
-
-
 LAYOUT = "date string, ad_id bigint, click_count bigint"
+KEYS = ("date", "ad_id")
 
 
-def changes(spark, *values):
+def counts(spark, *values):
     return spark.createDataFrame(list(values), LAYOUT)
 
 
-def test_repeated_batch_changes_nothing(spark, tmp_path):
-    path, layout = str(tmp_path / "t"), schemas.layout(LAYOUT)
-    first = changes(spark, ("d1", 1, 5), ("d1", 2, 1), ("d2", 1, 1))
-    second = changes(spark, ("d1", 1, 8))
+def current(spark, path, **options):
+    return rows(read_counts(spark, str(path), schemas.layout(LAYOUT), KEYS, **options))
+
+
+def test_repeated_batch_counts_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first = counts(spark, ("d1", 1, 5), ("d1", 2, 1), ("d2", 1, 1))
+    second = counts(spark, ("d1", 1, 3))
     for batch_id, batch in ((0, first), (1, second), (1, second), (0, first)):
-        write_changes(batch, path, batch_id)
-        recorded = read_changes(spark, path, layout)
-    assert recorded.count() == 4
-    got = latest(recorded, ["date", "ad_id"])
-    assert rows(got) == [("d1", 1, 8), ("d1", 2, 1), ("d2", 1, 1)]
+        write_counts(batch, path, batch_id)
+    assert current(spark, path) == [("d1", 1, 8), ("d1", 2, 1), ("d2", 1, 1)]
+    # A repetition that no longer touches a day leaves nothing of the first attempt.
+    write_counts(counts(spark, ("d1", 1, 5)), path, 0)
+    assert current(spark, path) == [("d1", 1, 8)]
+    write_counts(counts(spark).where("false"), path, 1)
+    assert current(spark, path) == [("d1", 1, 5)]
+    assert batch_days(spark, path, 0) == ["d1"] and batch_days(spark, path, 1) == []
 
 
-def folders(path):
-    return sorted(f"{p.parent.name}/{p.name}" for p in path.glob("date=*/batch_id=*"))
+def merged_by_hand(batches):
+    total = {}
+    for batch in batches:
+        for day, ad, n in batch:
+            total[day, ad] = total.get((day, ad), 0) + n
+    return sorted((*key, n) for key, n in total.items())
 
 
-def test_compacted_folders_give_the_same_rows(spark, tmp_path):
-    path, layout, keys = tmp_path / "t", schemas.layout(LAYOUT), ["date", "ad_id"]
+def random_batches(n):
     draw = random.Random(5)
-    for batch_id in range(7):
-        rows_ = {("d1", draw.randint(0, 3)): batch_id * 10, ("d2", 1): batch_id}
-        if batch_id > 4:
-            rows_.pop(("d2", 1))
-        batch = changes(spark, *[(*key, n) for key, n in rows_.items()])
-        write_changes(batch, str(path), batch_id)
-        before = rows(latest(read_changes(spark, str(path), layout), keys))
-        compact(spark, str(path), layout, keys, ["d1", "d2"], max_folders=2)
-        assert rows(latest(read_changes(spark, str(path), layout), keys)) == before
-        # A batch repeated after its rows were merged changes nothing either.
-        write_changes(batch, str(path), batch_id)
-        assert rows(latest(read_changes(spark, str(path), layout), keys)) == before
-    assert len([f for f in folders(path) if f.startswith("date=d1")]) <= 3
-
-
-def test_interrupted_compaction_loses_nothing(spark, tmp_path, monkeypatch):
-    path, layout, keys = str(tmp_path / "t"), schemas.layout(LAYOUT), ["date", "ad_id"]
-    for batch_id in range(3):
-        write_changes(changes(spark, ("d1", batch_id, batch_id), ("d1", 9, batch_id)), path,
-                      batch_id)
-    before = rows(latest(read_changes(spark, path, layout), keys))
-
-    def fail(*_):
+    return [[(f"d{draw.randint(0, 2)}", ad, draw.randint(1, 9)) for ad in range(3)]
+            for _ in range(n)]
+
+
+def test_merges_keep_counts_and_few_folders(spark, tmp_path):
+    path, layout = tmp_path / "t", schemas.layout(LAYOUT)
+    batches = random_batches(8)
+    for batch_id, batch in enumerate(batches):
+        for _ in range(2):  # every batch is repeated, also after the merge
+            write_counts(counts(spark, *batch), str(path), batch_id)
+            merge(spark, str(path), layout, KEYS, batch_id, max_batches=2)
+            assert current(spark, path) == merged_by_hand(batches[: batch_id + 1])
+    assert len(list(path.glob("live/batch_id=*"))) <= 5
+    assert all_days(spark, str(path)) == ["d0", "d1", "d2"]
+
+
+def test_merge_that_stops_at_any_step_loses_nothing(spark, tmp_path, monkeypatch):
+    path, layout = tmp_path / "t", schemas.layout(LAYOUT)
+    batches = random_batches(6)
+    for batch_id, batch in enumerate(batches):
+        write_counts(counts(spark, *batch), str(path), batch_id)
+        if batch_id == 3:
+            merge(spark, str(path), layout, KEYS, batch_id, max_batches=2)
+    want = merged_by_hand(batches)
+
+    def stop(folder):
         raise OSError("lost connection")
 
-    real = keyed._file_system
+    # While the base is written: its folder is there, but not complete.
+    half = path / "base" / "upto=4"
+    (half / "date=d0").mkdir(parents=True)
+    assert current(spark, path) == want
+    # After it, at the first and at a later deletion.
+    with pytest.raises(OSError, match="lost"):
+        merge(spark, str(path), layout, KEYS, 5, max_batches=2, delete=stop)
+    assert current(spark, path) == want
+    write_counts(counts(spark, ("d0", 0, 1)), str(path), 6)
+    batches.append([("d0", 0, 1)])
     calls = []
 
-    def fail_later(*args):
-        calls.append(args)
-        return real(*args) if len(calls) < 3 else fail()
+    def later(folder):
+        calls.append(folder)
+        if len(calls) == 2:
+            stop(folder)
+        keyed._delete(spark, folder)
 
-    monkeypatch.setattr(keyed, "_file_system", fail_later)
     with pytest.raises(OSError, match="lost"):
-        compact(spark, path, layout, keys, ["d1"], max_folders=1)
-    monkeypatch.setattr(keyed, "_file_system", real)
-    assert len(folders(tmp_path / "t")) == 3  # merged folder and two of the old ones
-    assert rows(latest(read_changes(spark, path, layout), keys)) == before
-    compact(spark, path, layout, keys, ["d1"], max_folders=1)
-    assert len(folders(tmp_path / "t")) == 1
-    assert rows(latest(read_changes(spark, path, layout), keys)) == before
+        merge(spark, str(path), layout, KEYS, 6, max_batches=1, delete=later)
+    assert current(spark, path) == merged_by_hand(batches)
+    merge(spark, str(path), layout, KEYS, 7, max_batches=1)
+    assert current(spark, path) == merged_by_hand(batches)
+
+
+def test_reader_open_during_a_merge(spark, tmp_path):
+    path, layout = str(tmp_path / "t"), schemas.layout(LAYOUT)
+    batches = random_batches(7)
+    for batch_id, batch in enumerate(batches[:6]):
+        write_counts(counts(spark, *batch), path, batch_id)
+        if batch_id == 3:
+            merge(spark, path, layout, KEYS, batch_id, max_batches=2)
+    opened = read_counts(spark, path, layout, KEYS)
+    write_counts(counts(spark, *batches[6]), path, 6)
+    merge(spark, path, layout, KEYS, 6, max_batches=2)
+    assert rows(opened) == merged_by_hand(batches[:6])
+    assert current(spark, path) == merged_by_hand(batches)
+
+
+def test_one_hour_is_written_by_several_tasks(spark, tmp_path):
+    path, layout = tmp_path / "t", schemas.layout(LAYOUT)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for batch_id in range(2):
+            batch = spark.range(50_000).selectExpr(
+                "'d1' AS date", "id AS ad_id", "1L AS click_count")
+            write_counts(batch.groupBy("date", "ad_id").agg(
+                F.sum("click_count").alias("click_count")), str(path), batch_id)
+        merge(spark, str(path), layout, KEYS, 2, max_batches=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list(path.glob("live/batch_id=1/date=d1/*.parquet"))) > 2
+    assert len(list(path.glob("base/upto=1/date=d1/*.parquet"))) > 2
+    assert current(spark, path)[0][2] == 2
 
 
 def test_query_that_fails_between_its_writes_recovers(spark, feed, tmp_path, monkeypatch):
@@ -261,25 +332,14 @@ def test_query_that_fails_between_its_writes_recovers(spark, feed, tmp_path, mon
     assert rows(stream.read_province_top3(spark, str(tmp_path / "top3"))) == rows(top3)
 
 
-def test_running_query_compacts_its_folders(spark, feed, tmp_path, monkeypatch):
-    monkeypatch.setattr(stream, "compact", partial(compact, max_folders=2))
+def test_running_query_merges_its_batches(spark, feed, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "MAX_LIVE_BATCHES", 2)
     nobody = spark.createDataFrame([], schemas.AD_BLACKLIST)
-    for seed in range(5):
+    for seed in range(6):
         feed.add(*random_lines(seed, 40, (0, 1400)))
     run_stat(spark, feed, tmp_path, nobody)
-    assert len(folders(tmp_path / "stat")) <= 2
+    assert list((tmp_path / "stat").glob("city/base/upto=*"))
     stat = expected_stat(spark, feed, nobody)
     assert rows(stream.read_stat(spark, str(tmp_path / "stat"))) == rows(stat)
     top3 = ads.ad_province_top3(ads.province_ad_count(stat))
     assert rows(stream.read_province_top3(spark, str(tmp_path / "top3"))) == rows(top3)
-
-
-def test_settled_days(spark, tmp_path):
-    path, target = str(tmp_path / "t"), str(tmp_path / "settled")
-    write_changes(changes(spark, ("2024-01-01", 1, 5), ("2024-01-02", 1, 1)), path, 0)
-    write_changes(changes(spark, ("2024-01-01", 1, 8)), path, 1)
-    recorded = read_changes(spark, path, schemas.layout(LAYOUT))
-    for _ in range(2):
-        settle(recorded, ["date", "ad_id"], target, before="2024-01-02")
-    got = spark.read.parquet(target).selectExpr("CAST(date AS STRING)", "ad_id", "click_count")
-    assert rows(got) == [("2024-01-01", 1, 8)]
