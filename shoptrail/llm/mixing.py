@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoptrail.llm.text import word_count
+from shoptrail.session import materialize
 
 # The draw of a document: the first 48 bits of a digest, as a share of 2**48.
 _DRAW = "CAST(conv(substr(md5(concat('{seed}:', coalesce(CAST(doc_id AS STRING), ''))), 1, 12), 16, 10) AS BIGINT) / 281474976710656D"
@@ -61,15 +62,19 @@ def mix_plan(docs: DataFrame, weights: DataFrame | None = None, most: float = 3.
     documents are not taken; an empty table gives no rows. Columns of ``docs`` with the names of
     the result's are replaced.
 
-    Only (source, size) is aggregated, before the shuffle; the targets, one row per source, are
-    joined back, and adaptive execution splits a source that holds much of all rows.
+    Only (source, size) is aggregated, before the shuffle. The targets, one row per source, are
+    written first, so Spark knows their size when it plans the join: below its threshold it
+    broadcasts them and the texts stay where they are; beyond it shuffles both and splits a source
+    that holds much of all rows.
     """
     added = ("size", "source_size", "target", "copies", "taken")
     sized = docs.drop(*added).withColumn("size", word_count(F.col("text")))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     if weights is None:
         weights = weights_in_turn(sizes)
-    goal = targets(sizes, weights, most).withColumnRenamed("source", "_source")
+    goal = materialize(
+        targets(sizes, weights, most).withColumnRenamed("source", "_source"), "mix-targets"
+    )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     draw = F.expr(_DRAW.format(seed=seed))
     whole = F.floor(rate)
