@@ -133,5 +133,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_substrings": op10_substrings,
 }
-
-ORACLE_SQL: dict[str, str] = {}
