@@ -1 +1,19 @@
 """Operators for preparing training data: deduplication, search, mixing, packing and scans."""
+
+import os
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+
+def let_workers_import(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import this package from where the driver did.
+
+    On a cluster the package is installed on the nodes or shipped with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
+    return spark
