@@ -245,6 +245,8 @@ def _component_links(members: DataFrame, cosine: float, block: int) -> DataFrame
         F.greatest("block", "other").alias("j"),
         "block", "vector", "copies", "unit",
     )
+    # Dealt out by pair of blocks; the join before leaves a component in one task.
+    pairs = pairs.repartition("component", "i", "j")
     found = pairs.groupBy("component", "i", "j").applyInArrow(
         _counts(cosine, block), "vector long, links long"
     )

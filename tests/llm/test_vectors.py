@@ -1,6 +1,7 @@
 """Vector operators against all pairs."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -129,3 +130,19 @@ def test_edge_searches(spark):
     twice = mtree.search_embeddings(df.unionByName(df)).where("query_id = 0").count()
     assert twice == 5
     assert mtree.search_embeddings(df.where("false")).count() == 0
+
+
+def test_blocks_of_one_component_go_to_several_tasks(spark):
+    unit = [1.0, 0.0]
+    members = spark.range(4000).selectExpr(
+        "id AS vector", "1L AS copies", "id AS least", f"array({unit[0]}D, {unit[1]}D) AS unit",
+        "7L AS component")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = near_vectors._component_links(members, 0.9, 256)
+        plan = links._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(\S+, i#\d+, j#\d+", plan)
+        assert links.where("links = 3999").count() == 4000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
