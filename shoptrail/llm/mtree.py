@@ -16,6 +16,9 @@ from shoptrail.session import materialize
 _FAN, _LEAF = 32, 128
 _SLACK = 1e-7
 
+# Roots of pages that one row of the top level holds.
+_ROOTS = 2048
+
 
 def quantised(embedding: Column, scale: float = 256.0) -> Column:
     """floor(scale * x) of every component, as long."""
@@ -172,7 +175,10 @@ def _nearest(pivots: np.ndarray):
     return run
 
 
-_PAGE = "page int, ids binary, rows binary, nodes binary, near binary, queries binary"
+_PAGE = (
+    "page int, ids binary, rows binary, nodes binary, near binary, queries binary,"
+    " pivot array<long>, radius double"
+)
 
 
 def _page(top: float):
@@ -181,8 +187,12 @@ def _page(top: float):
         tree = MTree.build(ids, matrix(rows.column("q"), np.int64), top)
         asked = ids[rows.column("asked").to_numpy(zero_copy_only=False).astype(bool)]
         packed = [pa.array([x], pa.binary()) for x in (*tree.pack(), np.unique(asked).tobytes())]
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), *packed],
-                        names=["page", "ids", "rows", "nodes", "near", "queries"])
+        pivot = tree.rows[int(tree.nodes[0, 0])].tolist()
+        return pa.table(
+            [pa.array([key[0].as_py()], pa.int32()), *packed,
+             pa.array([pivot], pa.list_(pa.int64())), pa.array([float(tree.nodes[0, 1])])],
+            names=["page", "ids", "rows", "nodes", "near", "queries", "pivot", "radius"],
+        )
 
     return run
 
@@ -226,21 +236,58 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     )
 
 
+_NO_FLOOR = -(1 << 63)
+_ASKED = "page int, query_id binary, floor binary, q binary"
+
+
+def _survivors(top: float):
+    """The top level of the search: which queries of a block the roots of pages cannot rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, roots = (batch.column(c)[i].as_py() for c in ("block", "roots"))
+                ids, home = (np.array([x[c] for x in block]) for c in ("query_id", "home"))
+                q = np.array([x["q"] for x in block], np.int64)
+                floor = np.array([_NO_FLOOR if x["floor"] is None else x["floor"] for x in block],
+                                 np.int64)
+                base = (q.astype(np.float64) ** 2).sum(axis=1) + top
+                reach = np.where(floor == _NO_FLOOR, np.inf, np.sqrt(np.maximum(
+                    0.0, base - 2.0 * floor)) + _SLACK * (1.0 + np.sqrt(base)))
+                pivots = np.array([x["pivot"] for x in roots], np.float64)
+                far = np.sqrt(np.maximum(0.0, base[:, None] - 2.0 * (q @ pivots.T)))
+                near = far - np.array([x["radius"] for x in roots]) <= reach[:, None]
+                pages = np.array([x["page"] for x in roots], np.int32)
+                near &= home[:, None] != pages[None, :]
+                kept = [(int(pages[j]), *(x[near[:, j]].tobytes() for x in (ids, floor, q)))
+                        for j in np.flatnonzero(near.any(axis=0))]
+                if kept:
+                    types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*kept, strict=True), types,
+                                                        strict=True)],
+                        names=["page", "query_id", "floor", "q"],
+                    )
+
+    return run
+
+
 def _away(k: int, top: float):
-    """Search blocks of queries in pages other than their own."""
+    """Search the remaining queries of blocks in pages other than their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 tree = _tree(batch, i, top)
-                page = batch.column("page")[i].as_py()
+                ids, floors, rows = (
+                    np.frombuffer(batch.column(c)[i].as_py(), np.int64)
+                    for c in ("query_id", "floor", "q")
+                )
                 query, vec, score = [], [], []
-                for asked in batch.column("block")[i].as_py():
-                    if asked["home"] == page:
-                        continue
-                    best = tree.search(asked["query_id"], np.array(asked["q"], np.int64), k,
-                                       asked["floor"])
-                    query += [asked["query_id"]] * len(best)
+                for own, floor, q in zip(ids.tolist(), floors.tolist(),
+                                         rows.reshape(len(ids), -1), strict=True):
+                    best = tree.search(own, q, k, None if floor == _NO_FLOOR else floor)
+                    query += [own] * len(best)
                     score += [s for s, _ in best]
                     vec += [v for _, v in best]
                 yield pa.RecordBatch.from_arrays(
@@ -264,9 +311,10 @@ def top_products(vectors: DataFrame, asked: Column, k: int = 5, page_rows: int =
     At most ``cells`` routing vectors from a bounded sample of ``sample`` rows deal the rows out,
     and each cell is cut into pages of about ``page_rows`` rows by a hash, so equal vectors cannot
     fill a page. Every page is an M-tree, written as one row of an index table. A query first
-    searches the page it lies in; the k-th score found there is the bound with which it, in blocks
-    of ``block`` queries, visits the other pages, most of whose nodes the stored radii and parent
-    distances then rule out. Only rows that reach the bound come back.
+    searches the page it lies in; the k-th score found there is its bound for all others. Blocks of
+    ``block`` queries first meet the roots of the pages; only queries that a root's radius cannot
+    rule out go to its page, where radii and parent distances rule out more. Only rows that reach
+    the bound come back.
     """
     spark = vectors.sparkSession
     known = vectors.where("vec_id IS NOT NULL").select(
@@ -311,8 +359,14 @@ def _search(rows: DataFrame, k, page_rows, sample, cells, block) -> DataFrame:
     blocks = first.groupBy(
         F.pmod(F.xxhash64("query_id"), F.lit(max(1, count // (50 * block)))).alias("b")
     ).agg(F.collect_list(asked).alias("block"))
-    pairs = blocks.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(before[-1] - 1))))
-    away = pairs.join(index, "page").select("page", "ids", "rows", "nodes", "near", "block")
+    root = F.struct("page", "pivot", "radius")
+    part = F.floor(F.col("page") / _ROOTS).cast("int")
+    roots = index.groupBy(part.alias("r")).agg(F.collect_list(root).alias("roots"))
+    every = F.sequence(F.lit(0), F.lit((before[-1] - 1) // _ROOTS))
+    # The size of exploded rows is unknown to the planner, so no side may be broadcast here.
+    pairs = blocks.withColumn("r", F.explode(every)).hint("merge").join(roots, "r")
+    remaining = pairs.select("block", "roots").mapInArrow(_survivors(float(top)), _ASKED)
+    away = remaining.hint("merge").join(index.drop("queries", "pivot", "radius"), "page")
     away = away.mapInArrow(_away(k, float(top)), "query_id long, vec_id long, score long")
     own = first.select("query_id", F.explode(F.arrays_zip("vec_id", "score")).alias("x")).select(
         "query_id", "x.vec_id", "x.score"

@@ -211,7 +211,7 @@ def links(prints: DataFrame, budget: int = 2, node_rows: int = 4096,
         sizes = rows.groupBy("a", "b").agg(F.count("*").alias("rows"))
         heavy = materialize(sizes.where(F.col("rows") > block_rows).select("a", "b"), "trie")
         last = depth + stride >= BITS or heavy.isEmpty()
-        light = rows if last else rows.join(heavy, ["a", "b"], "left_anti")
+        light = rows if last else rows.hint("merge").join(heavy, ["a", "b"], "left_anti")
         part = (
             light.withColumn("depth", F.lit(depth))
             .groupBy("a", "b", "depth")
@@ -223,7 +223,8 @@ def links(prints: DataFrame, budget: int = 2, node_rows: int = 4096,
         masks = ", ".join(map(str, _masks(stride, budget)))
         below = BITS - depth - stride
         rows = (
-            rows.join(heavy, ["a", "b"])
+            # The size of exploded rows is unknown to the planner: they are never broadcast.
+            rows.hint("merge").join(heavy, ["a", "b"])
             .selectExpr("*", value.format(below) + " AS node", f"explode(array({masks})) AS mask")
             # The partner's node: the other side's bits so far, then the changed next bits.
             .selectExpr(
