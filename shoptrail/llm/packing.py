@@ -31,7 +31,7 @@ class _Encoder:
     word ends, which the vocabulary shows.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -263,6 +263,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: i
     """
     pieces = materialize(token_pieces(docs, tokenizer, capacity, end), "token-pieces")
     narrow = pieces.select(
-        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
+        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"),
+        F.crc32("ids").alias("ids_crc32"),
     )
     return pack(narrow, capacity)
