@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoptrail.llm import (
-    let_workers_import,
     licenses,
     mixing,
     mtree,
     near_vectors,
     packing,
+    prepare,
     sharding,
     simhash,
     substrings,
@@ -27,7 +27,7 @@ SHARDS = 40
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return let_workers_import(configure(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(configure(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -47,7 +47,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20):
 class WordHashes(dict):
     """Word -> its 64-bit hash as 8 bytes; forgets all when it holds ``most`` words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

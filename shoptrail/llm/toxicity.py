@@ -69,7 +69,7 @@ class Lexicon:
 class _Kinds(dict):
     """Word -> its bits as one byte."""
 
-    def __init__(self, lexicon: Lexicon, most: int = 500_000):
+    def __init__(self, lexicon: Lexicon, most: int = 200_000):
         super().__init__()
         self.lexicon, self.most = lexicon, most
 
@@ -123,11 +123,12 @@ def text_features(text: bytes, kinds: dict) -> list[float]:
     ]
 
 
-def _featured(lexicon: Lexicon, keep: list[str]):
+def _featured(lexicon: Lexicon, keep: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = _Kinds(lexicon)
-        for batch in slices(batches, "body"):
-            rows = [text_features(x or b"", kinds) for x in batch.column("body").to_pylist()]
+        for batch in slices(batches, text):
+            bodies = batch.column(text).cast(pa.binary()).to_pylist()
+            rows = [text_features(x or b"", kinds) for x in bodies]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(rows, pa.list_(pa.float64()))],
                 names=[*keep, "features"],
@@ -136,12 +137,14 @@ def _featured(lexicon: Lexicon, keep: list[str]):
     return run
 
 
-def with_features(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``texts`` (any columns, and ``body`` binary) with ``features`` in place of the body."""
-    keep = [c for c in texts.columns if c != "body"]
-    fields = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep)
+def with_features(docs: DataFrame, lexicon: Lexicon, keep: list[str], text: str = "text"
+                  ) -> DataFrame:
+    """The columns ``keep`` and ``features`` of the column ``text`` (string or binary)."""
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{fields}, features array<double>"
-    return texts.select(*keep, "body").mapInArrow(_featured(lexicon, keep), schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(
+        _featured(lexicon, keep, text), schema
+    )
 
 
 def held_out(doc_id: Column) -> Column:
@@ -208,15 +211,13 @@ class ToxicityModel:
 
     def annotate(self, docs: DataFrame) -> DataFrame:
         """``docs`` with a column ``score``; other columns stay, texts included."""
-        clash = ("features", "body", "raw", "vector", "rawPrediction", "probability",
-                 "prediction", "score")
-        texts = docs.drop(*clash).withColumn("body", F.col("text").cast("binary"))
-        return self._score(with_features(texts, self.lexicon))
+        clash = ("features", "raw", "vector", "rawPrediction", "probability", "prediction", "score")
+        keep = [c for c in docs.columns if c not in clash]
+        return self._score(with_features(docs, self.lexicon, keep))
 
     def score(self, docs: DataFrame) -> DataFrame:
         """(doc_id, held_out, score, predicted) for every row of ``docs``."""
-        texts = docs.select("doc_id", F.col("text").cast("binary").alias("body"))
-        return self._score(with_features(texts, self.lexicon)).select(
+        return self._score(with_features(docs, self.lexicon, ["doc_id"])).select(
             "doc_id",
             held_out(F.col("doc_id")).alias("held_out"),
             "score",
@@ -267,7 +268,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 24_000, trees:
     sample = materialize(sample, "toxicity-sample")
     lexicon = learn_lexicon(sample.where("part < 3").dropDuplicates(["body"]))
     rest = materialize(
-        with_features(sample.where("part >= 3"), lexicon).coalesce(4), "toxicity-features"
+        with_features(
+            sample.where("part >= 3"), lexicon, ["doc_id", "toxic", "part"], "body"
+        ).coalesce(4),
+        "toxicity-features",
     )
     classes = {
         (row["last"], row["toxic"])
