@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoptrail.llm.text import slices
+from shoptrail.llm.text import lean, slices
 
 # Phrases of the base scan and their labels.
 BASE_PHRASES = {
@@ -221,7 +221,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     body = docs.select("doc_id", F.col("text").cast("binary").alias("body"))
     return body.mapInArrow(
-        _scan,
+        lean(_scan),
         "doc_id long, n_words long, places array<struct<word: long, label: string, base: boolean>>,"
         " expressions array<string>, labels array<string>, score double",
     )

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoptrail.llm.text import slices
+from shoptrail.llm.text import lean, slices
 from shoptrail.session import materialize
 
 
@@ -31,7 +31,7 @@ class _Encoder:
     word ends, which the vocabulary shows.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -132,7 +132,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     texts = docs.select(*keep, F.col("text").cast("binary").alias("body"))
     return texts.mapInArrow(
-        _pieces(tokenizer, capacity, end, list(keep)), ", ".join([*fields, _PIECE])
+        lean(_pieces(tokenizer, capacity, end, list(keep))), ", ".join([*fields, _PIECE])
     )
 
 

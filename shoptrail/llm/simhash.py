@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoptrail.llm.components import connected_components, spanning
-from shoptrail.llm.text import slices
+from shoptrail.llm.text import lean, slices
 from shoptrail.session import materialize
 
 BITS = 64
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42,
     body = docs.select(*keep, F.col("text").cast("binary").alias("body"))
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     return body.mapInArrow(
-        _fingerprints(words, seed, list(keep)), ", ".join([*fields, "print long"])
+        lean(_fingerprints(words, seed, list(keep))), ", ".join([*fields, "print long"])
     )
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoptrail.llm.text import WordHashes, slices
+from shoptrail.llm.text import WordHashes, lean, lean_group, slices
 
 _BASE = 0x9E3779B97F4A7C15 | 1  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -199,7 +199,7 @@ def _print(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(*named, F.xxhash64("doc_id", body).alias("print"), body.alias("body"))
 
 
-def repeated_ranges(docs: DataFrame, width: int = 35, chunk_rows: int = 1_500_000,
+def repeated_ranges(docs: DataFrame, width: int = 35, chunk_rows: int = 1_000_000,
                     bucket_bytes: int = 16 << 20) -> DataFrame:
     """The word ranges of every text that are covered by repeated windows of ``width`` words.
 
@@ -216,13 +216,13 @@ def repeated_ranges(docs: DataFrame, width: int = 35, chunk_rows: int = 1_500_00
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, (size // bucket_bytes).bit_length())
     hashed = _print(docs).select("doc_id", "print", "body").mapInArrow(
-        _chunks(width, bits, chunk_rows), _BUCKETS
+        lean(_chunks(width, bits, chunk_rows)), _BUCKETS
     )
     places = hashed.groupBy("bucket").applyInArrow(
-        _repeated, "chunk long, places binary, owners binary"
+        lean_group(_repeated), "chunk long, places binary, owners binary"
     )
     return places.groupBy("chunk").applyInArrow(
-        _intervals(width), "doc_id long, print long, starts binary, ends binary"
+        lean_group(_intervals(width)), "doc_id long, print long, starts binary, ends binary"
     )
 
 
@@ -286,6 +286,6 @@ def remove_repeated(docs: DataFrame, width: int = 35, keep: tuple[str, ...] = ("
     )
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     schema = ", ".join([*fields, "n_words long", "n_removed long", "kept binary"])
-    return joined.mapInArrow(_cut(list(keep)), schema)
+    return joined.mapInArrow(lean(_cut(list(keep))), schema)
 
 

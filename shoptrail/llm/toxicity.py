@@ -15,7 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoptrail.llm.text import slices
+from shoptrail.llm.text import lean, slices
 from shoptrail.session import materialize
 
 # A plain list of insults; more are learned from the labels.
@@ -143,7 +143,7 @@ def with_features(docs: DataFrame, lexicon: Lexicon, keep: list[str], text: str
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{fields}, features array<double>"
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(
-        _featured(lexicon, keep, text), schema
+        lean(_featured(lexicon, keep, text)), schema
     )
 
 
@@ -188,7 +188,7 @@ def learn_lexicon(sample: DataFrame, most: int = 400, support: int = 3) -> Lexic
     rate = (F.col("toxic") + 0.5) / (total[1] + 1) / ((F.col("other") + 0.5) / (total[0] + 1))
     counted = (
         sample.select("body", "toxic")
-        .mapInArrow(_tokens, "length int, token string, toxic long, other long")
+        .mapInArrow(lean(_tokens), "length int, token string, toxic long, other long")
         .groupBy("length", "token")
         .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
         .where((F.col("toxic") >= support) & (rate >= 8))
