@@ -265,8 +265,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, seed: int
     return prints.join(named, "print").select(*keep, "print", "component", "component_id")
 
 
-def representatives(docs: DataFrame, words: int = 3, budget: int = 2, seed: int = 42) -> DataFrame:
-    """One row of each group of near duplicates, in the columns of ``docs``.
+def one_of_each(docs: DataFrame, group) -> DataFrame:
+    """One row of each component that ``group`` (keyed docs, key columns) finds.
 
     It is the row with the smallest doc_id (NULL last); of several such rows with other texts, one
     chosen by a hash; of rows equal in id and text any one.
@@ -275,9 +275,14 @@ def representatives(docs: DataFrame, words: int = 3, budget: int = 2, seed: int
     keyed = docs.withColumns(
         {"_key": F.xxhash64("doc_id", body), "_key2": F.xxhash64(body, F.lit(1), "doc_id")}
     )
-    groups = near_duplicates(keyed, words, budget, seed, ("doc_id", "_key", "_key2"))
+    groups = group(keyed, ("doc_id", "_key", "_key2"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key", "_key2")
     chosen = groups.groupBy("component").agg(F.min(order).alias("row"))
     chosen = chosen.select("row._key", "row._key2")
     kept = keyed.join(chosen, ["_key", "_key2"], "left_semi")
     return kept.dropDuplicates(["_key", "_key2"]).select(*docs.columns)
+
+
+def representatives(docs: DataFrame, words: int = 3, budget: int = 2, seed: int = 42) -> DataFrame:
+    """One row of each group of near duplicates, in the columns of ``docs``, as ``one_of_each``."""
+    return one_of_each(docs, lambda keyed, keys: near_duplicates(keyed, words, budget, seed, keys))
