@@ -1,0 +1,70 @@
+"""Near vectors in dense regions against all pairs."""
+
+import numpy as np
+import pytest
+
+from shoptrail.llm import near_vectors
+from tests.llm.helpers import components
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+def region(rng, rows, dim, mutual, pairs, planted=0.92):
+    """Vectors about one direction with the given mutual cosine, and partners of the first ones."""
+    centre = unit(rng.standard_normal(dim))
+
+    def around(n):
+        own = rng.standard_normal((n, dim))
+        return unit(own - np.outer(own @ centre, centre))
+
+    own = around(rows)
+    out = np.sqrt(mutual) * centre + np.sqrt(1 - mutual) * own
+    aside = unit(rng.standard_normal((pairs, dim)))
+    aside = unit(aside - (aside * out[:pairs]).sum(axis=1)[:, None] * out[:pairs])
+    return np.concatenate([out, planted * out[:pairs] + np.sqrt(1 - planted**2) * aside])
+
+
+def dense(seed, spread, crowd, dim, mutual, pairs):
+    """Evenly spread vectors and one dense region, with pairs planted in both."""
+    rng = np.random.default_rng(seed)
+    rows = np.concatenate([region(rng, spread, dim, 0.0, pairs),
+                           region(rng, crowd, dim, mutual, pairs)])
+    return rng.permutation(rows).astype(np.float32)
+
+
+def recall(spark, vectors, **options):
+    """Shares of the linked pairs that end in one component, and of the links counted."""
+    x = unit(vectors.astype(np.float64))
+    pairs = []
+    for start in range(0, len(x), 2000):
+        a, b = np.nonzero(x[start : start + 2000] @ x.T >= 0.9)
+        pairs += [(i, j) for i, j in zip((a + start).tolist(), b.tolist(), strict=True) if i < j]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)],
+                               "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in near_vectors.near_vectors(df, **options).collect()}
+    root = components(range(len(x)), pairs)
+    # Nothing is united that has no link.
+    assert all(root[i] == root[r.component_id] for i, r in got.items())
+    met = sum(got[i].component_id == got[j].component_id for i, j in pairs)
+    return met / len(pairs), sum(r.n_links for r in got.values()) / (2 * len(pairs))
+
+
+@pytest.mark.parametrize("mutual", [0.7, 0.8])
+def test_recall_in_a_dense_region(spark, mutual):
+    vectors = dense(6, 3000, 1500, 32, mutual, 150)
+    # A narrow window, or every pair of so few rows would be compared.
+    met, links = recall(spark, vectors, window=8)
+    assert met >= 0.97 and links >= 0.97
+
+
+def test_a_row_is_credited_by_its_own_window():
+    keys = np.array([0, 1, 2, 3, 1 << 60, 1 << 61], np.int64)
+    agree = np.log(0.5) * np.tile(np.arange(1.0, 63), (6, 1))
+    missed = near_vectors._missed(keys, agree, 2, True)
+    # By the leading bits each shares with the second next row before or after, and one more.
+    assert np.allclose(-np.expm1(missed), 0.5 ** np.array([61, 61, 61, 61, 2.0, 1.0]))
+    # A part of the table says nothing of rows beyond its ends.
+    assert (near_vectors._missed(keys, agree, 2, False)[[0, 1, 4, 5]] == 0).all()
+    assert (near_vectors._missed(keys[:2], agree[:2], 2, True) == -np.inf).all()
