@@ -143,6 +143,113 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM split LEFT JOIN kept k USING (r)"""
 
+_QUALITY = rf"""
+WITH split AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+           coalesce(regexp_extract_all(text, '{_SPACE}'), []) AS w FROM documents),
+windows AS (
+    SELECT r, i, w[i:i + 4] AS win FROM split, unnest(range(1, len(w) - 3)) AS t(i)),
+repeated AS (
+    SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM windows)
+    WHERE n > 1),
+covered AS (
+    SELECT r, count(DISTINCT i + j) AS n FROM repeated, unnest(range(0, 5)) AS t(j) GROUP BY r),
+measured AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+           length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+           length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+           list_filter(string_split(text, chr(10)),
+                       lambda x: regexp_matches(x, '{_SPACE}')) AS lines,
+           coalesce(n, 0) AS n_repeat_words
+    FROM split LEFT JOIN covered USING (r)),
+counted AS (
+    SELECT *, CAST(len(lines) AS BIGINT) AS n_lines,
+           CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+           n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
+    FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 10 * n_words
+            OR (n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines)
+            OR word_chars > 15 * n_words OR word_chars < 2 * n_words) AS kept
+FROM counted"""
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+_PHRASES = rf"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang),
+grams AS (
+    SELECT lang, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+        || list_transform(range(1, len(w) - 1),
+                          lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS p
+    FROM split),
+f AS MATERIALIZED (
+    SELECT lang, p, count(*) AS f, string_split(p, ' ') AS w, len(string_split(p, ' ')) AS size
+    FROM grams GROUP BY lang, p HAVING count(*) >= 10),
+cut AS MATERIALIZED (
+    SELECT lang, p AS phrase, f AS a, 1 AS k, w[1] AS x, array_to_string(w[2:], ' ') AS y
+    FROM f WHERE size > 1
+    UNION ALL
+    SELECT lang, p, f, 2, array_to_string(w[:2], ' '), w[3] FROM f WHERE size = 3),
+cuts AS (
+    SELECT c.lang, phrase, a, k, l.f AS l, r.f AS r,
+           CAST(1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+    FROM cut c JOIN f l ON l.lang = c.lang AND l.p = c.x
+    JOIN f r ON r.lang = c.lang AND r.p = c.y),
+best AS (
+    SELECT * FROM cuts
+    QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (
+    SELECT lang, f AS a, array_to_string(w[:2], ' ') AS phrase FROM f WHERE size = 3
+    UNION ALL
+    SELECT lang, f, array_to_string(w[2:], ' ') FROM f WHERE size = 3),
+longer AS (SELECT lang, phrase, max(a) AS longest FROM inner_parts GROUP BY lang, phrase),
+whole AS (
+    SELECT b.* FROM best b LEFT JOIN longer USING (lang, phrase)
+    WHERE longest IS NULL OR 100 * longest < 50 * a)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (
+          PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM whole)
+JOIN totals USING (lang) WHERE rank <= 2000"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+_LEXICAL = rf"""
+WITH words AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_TERM}') AS w
+    FROM documents),
+docs AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n FROM words WHERE len(w) > 0),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM docs),
+lengths AS (
+    SELECT r, doc_id, 100 - 90 + (90 * n * docs) // terms AS m FROM docs, totals),
+counts AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM words)
+    GROUP BY r, term),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1))) AS BIGINT)
+               AS weight
+    FROM counts, totals GROUP BY term, docs),
+items AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_TERM}')) AS term
+    FROM benchmark),
+scored AS (
+    SELECT item_id, r, doc_id,
+           CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+    FROM items JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (r)
+    GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (
+          PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM scored WHERE score > 0)
+WHERE rank <= 10"""
+
 ORACLE_SQL = {
     "op2_mtree": _MTREE,
     "op3_mixing": _MIXING,
@@ -150,4 +257,7 @@ ORACLE_SQL = {
     "op6_warc": _WARC,
     "op7_near_vectors": _NEAR,
     "op10_substrings": _SUBSTRINGS,
+    "op11_quality": _QUALITY,
+    "op12_phrases": _PHRASES,
+    "op13_lexical": _LEXICAL,
 }

@@ -22,12 +22,17 @@ COLUMNS = {
     "op9_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint,"
     " sequence_id bigint, offset bigint",
     "op10_substrings": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op11_quality": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint,"
+    " n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op12_phrases": "lang string, rank int, phrase string, a bigint, l bigint, r bigint,"
+    " n bigint, score bigint",
+    "op13_lexical": "item_id bigint, rank int, doc_id bigint, score bigint",
 }
 
 
-def test_all_ten_operators_are_registered():
+def test_all_operators_are_registered():
     numbers = [int(name[2:].split("_")[0]) for name in queries.QUERIES]
-    assert sorted(numbers) == list(range(1, 11)) and queries.QUERIES.keys() == COLUMNS.keys()
+    assert sorted(numbers) == list(range(1, 14)) and queries.QUERIES.keys() == COLUMNS.keys()
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
 
 

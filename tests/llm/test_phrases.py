@@ -1,0 +1,140 @@
+"""Phrase collocations against a plain version, and the index against scans."""
+
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from shoptrail.llm import phrases, queries
+from tests.llm.helpers import SF_DIR, ascii_lower, documents, load
+
+
+def split(text):
+    pieces = re.split(r"[.,;:!?\x0A-\x0D]", ascii_lower(text or ""))
+    return [re.findall(r"[^\x20\x09]+", piece) for piece in pieces]
+
+
+def plain(docs, least=10, depth=3, limit=2000, share=50):
+    """Rows (lang, rank, phrase, a, l, r, n, score) from (lang, text)."""
+    counts, total = Counter(), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in split(text):
+            total[lang] += len(piece)
+            for size in range(1, depth + 1):
+                for i in range(len(piece) - size + 1):
+                    counts[lang, tuple(piece[i : i + size])] += 1
+    found = {k: a for k, a in counts.items() if len(k[1]) > 1 and a >= least}
+    gone = set()
+    for (lang, words), a in found.items():
+        for size in range(2, len(words)):
+            for i in range(len(words) - size + 1):
+                part = lang, words[i : i + size]
+                if 100 * a >= share * counts[part]:
+                    gone.add(part)
+    by_lang = {}
+    for (lang, words), a in found.items():
+        if (lang, words) in gone:
+            continue
+        score, _, left, right = min(
+            (10**6 * a * a // (counts[lang, words[:k]] * counts[lang, words[k:]]), k,
+             counts[lang, words[:k]], counts[lang, words[k:]])
+            for k in range(1, len(words)))
+        by_lang.setdefault(lang, []).append((-score, -a, " ".join(words).encode(), left, right))
+    return sorted(
+        (lang, i + 1, p.decode(), -a, left, right, total[lang], -s)
+        for lang, rows in by_lang.items()
+        for i, (s, a, p, left, right) in enumerate(sorted(rows)[:limit]))
+
+
+def as_rows(df):
+    return sorted(tuple(r)[:8] for r in df.collect())
+
+
+def test_query_equals_plain_version(spark):
+    docs = [(r.lang, r.text) for r in load(spark).collect()]
+    got = as_rows(queries.op12_phrases(spark, SF_DIR))
+    assert got == plain(docs) and len({r[0] for r in got}) > 2
+
+
+@pytest.mark.parametrize("least, depth, limit, shard", [(2, 3, 50, 40), (1, 2, 9, 10**6),
+                                                        (3, 4, 2000, 100), (2, 5, 2000, 10**6)])
+def test_other_parameters(spark, least, depth, limit, shard):
+    vocabulary = ["a", "B", "c", "dd", "É", "x.", "y,", "z!\n"]
+    draw = np.random.default_rng(3)
+    docs = [(("en", "fr", None, "und")[i % 4], " ".join(draw.choice(vocabulary, 30)))
+            for i in range(60)]
+    df = spark.createDataFrame(docs, "lang string, text string")
+    got = phrases.collocations(df, least, depth, limit, shard_words=shard)
+    assert as_rows(got) == plain(docs, least, depth, limit)
+
+
+def test_edge_rows(spark):
+    texts = [None, "", " . , ", "one", "a b c. a b c", "A\tB  c", "a b\x0bc a b", "x y " * 40_000,
+             "q\x00r \x7f s", "same row here", "same row here"]
+    docs = documents(spark, texts, phrase=F.lit("p"), word=F.lit(1), a=F.lit("a"), _body=F.lit(1))
+    got = as_rows(phrases.collocations(docs, least=2))
+    assert got == plain([("en", t) for t in texts], least=2)
+    assert phrases.collocations(docs.where("false")).count() == 0
+    assert phrases.collocations(docs.limit(3)).count() == 0
+    assert as_rows(phrases.collocations(docs.withColumn("lang", F.lit(None).cast("string")), 2))[0][
+        0] == "und"
+
+
+def test_extensions(spark):
+    docs = documents(spark, ["a b c. a b c. a b d. z a b"])
+    by = {r.phrase: r for r in phrases.collocations(docs, least=1, share=101).collect()}
+    assert (by["a b"].best_left, by["a b"].best_right) == (1, 2)
+    assert (by["b c"].best_left, by["b c"].best_right) == (2, 0)
+
+
+def test_counts_beyond_64_bit_products(spark):
+    big = 7 * 10**13
+    found = spark.createDataFrame([("en", "a b", big)], "lang string, phrase string, a long")
+    words = spark.createDataFrame([("en", "a", big + 1), ("en", "b", big + 9)],
+                                  "lang string, word string, f long")
+    row = phrases._scored(found, words).first()
+    assert row.score == 10**6 * big * big // ((big + 1) * (big + 9))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=60), st.integers(2, 5))
+def test_index_counts_every_phrase(ids, depth):
+    index = phrases.PhraseIndex(np.array(ids, np.int64), depth)
+    for size, found in enumerate(index.phrases(depth), 2):
+        expected = Counter(tuple(ids[i : i + size]) for i in range(len(ids) - size + 1)
+                           if 0 not in ids[i : i + size])
+        assert dict(zip(map(tuple, found.words.tolist()), found.count.tolist())) == expected
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=40), st.lists(st.booleans(), max_size=3))
+def test_extension_to_either_side_agrees(ids, sides):
+    """However a phrase is grown, both intervals stay those of the phrase."""
+    index = phrases.PhraseIndex(np.array(ids, np.int64), 4)
+    found = index.words()
+    for left in sides:
+        found = index.extend(found, left)
+    other = index.words()
+    for _ in sides:
+        other = index.extend(other, False)
+
+    def intervals(x):
+        return sorted(zip(map(tuple, x.words.tolist()), x.count.tolist(), x.forward.tolist(),
+                          x.backward.tolist()))
+
+    assert intervals(found) == intervals(other)
+
+
+def test_bitmap_misses_no_word(spark):
+    words = [("en", f"w{i}") for i in range(5000)] + [("dé", "é")]
+    bits = np.frombuffer(phrases._frequent_bits(spark.createDataFrame(
+        words, "lang string, word string")), np.uint8)
+    for lang, word in words:
+        assert phrases._WordIds(lang, bits)[word.encode()] == 1
+    others = phrases._WordIds("en", bits)
+    assert sum(others[f"other{i}".encode()] > 0 for i in range(2000)) < 400
