@@ -15,26 +15,26 @@ from pyspark.sql import types as T
 
 MAX_LIVE_BATCHES = 50
 
-_FOLDER = re.compile(r"/(base/upto|live/batch_id)=(\d+)(?:/date=([^/]*))?/?$")
+_FOLDER = re.compile(r"/(base/upto|live/batch_id|version)=(\d+)(?:/date=([^/]*))?/?$")
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _glob(spark: SparkSession, pattern: str) -> list[str]:
-    hadoop_path, fs = _file_system(spark, pattern)
+def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
+    hadoop_path, fs = file_system(spark, pattern)
     return [status.getPath().toString() for status in fs.globStatus(hadoop_path) or []]
 
 
-def _complete(spark: SparkSession, path: str, kind: str) -> list[int]:
+def complete(spark: SparkSession, path: str, kind: str) -> list[int]:
     """Numbers of the folders of a kind (``base/upto``, ``live/batch_id``) written to their end."""
-    found = _glob(spark, f"{path}/{kind}=*/_SUCCESS")
+    found = glob_paths(spark, f"{path}/{kind}=*/_SUCCESS")
     return sorted(int(_FOLDER.search(f.removesuffix("/_SUCCESS"))[2]) for f in found)
 
 
-def _day_folders(
+def day_folders(
     spark: SparkSession, path: str, kind: str, numbers: Iterable[int], days: Iterable[str] | None
 ) -> list[tuple[int, str, str]]:
     """Number, day and path of the day folders below complete folders."""
@@ -43,7 +43,7 @@ def _day_folders(
         return []
     day = "*" if days is None else "{" + ",".join(days) + "}"
     found = []
-    for folder in _glob(spark, f"{path}/{kind}=*/date={day}"):
+    for folder in glob_paths(spark, f"{path}/{kind}=*/date={day}"):
         match = _FOLDER.search(folder)
         if int(match[2]) in numbers:
             found.append((int(match[2]), match[3], folder))
@@ -61,13 +61,13 @@ def write_counts(counts: DataFrame, path: str, batch_id: int) -> None:
 
 def batch_days(spark: SparkSession, path: str, batch_id: int) -> list[str]:
     """The days that a micro-batch wrote."""
-    folders = _glob(spark, f"{path}/live/batch_id={batch_id}/date=*")
+    folders = glob_paths(spark, f"{path}/live/batch_id={batch_id}/date=*")
     return sorted(_FOLDER.search(folder)[3] for folder in folders)
 
 
 def all_days(spark: SparkSession, path: str) -> list[str]:
     """The days with counts."""
-    folders = _glob(spark, f"{path}/base/upto=*/date=*") + _glob(
+    folders = glob_paths(spark, f"{path}/base/upto=*/date=*") + glob_paths(
         spark, f"{path}/live/batch_id=*/date=*"
     )
     return sorted({_FOLDER.search(folder)[3] for folder in folders})
@@ -78,18 +78,18 @@ def _chosen(
 ) -> dict[str, list[str]]:
     """The day folders that make up the counts, by kind."""
     days = None if days is None else list(days)
-    bases = _complete(spark, path, "base/upto")
+    bases = complete(spark, path, "base/upto")
     newest: dict[str, tuple[int, str]] = {}
-    for upto, day, folder in _day_folders(spark, path, "base/upto", bases, days):
+    for upto, day, folder in day_folders(spark, path, "base/upto", bases, days):
         newest[day] = max(newest.get(day, (-1, "")), (upto, folder))
     last = max(bases, default=-1)
     live = [
-        n for n in _complete(spark, path, "live/batch_id")
+        n for n in complete(spark, path, "live/batch_id")
         if n > last and (before is None or n < before)
     ]
     return {
         "base": sorted(folder for _, folder in newest.values()),
-        "live": [f for _, _, f in _day_folders(spark, path, "live/batch_id", live, days)],
+        "live": [f for _, _, f in day_folders(spark, path, "live/batch_id", live, days)],
     }
 
 
@@ -120,20 +120,20 @@ def merge(
     The running batch may be repeated, so it is never merged. A base counts when its folder is
     complete; what it replaces stays for readers that have listed it and goes with the next merge.
     """
-    bases = _complete(spark, path, "base/upto")
+    bases = complete(spark, path, "base/upto")
     last = max(bases, default=-1)
-    every = _complete(spark, path, "live/batch_id")
+    every = complete(spark, path, "live/batch_id")
     ripe = [n for n in every if last < n < running]
     if len(ripe) < (max_batches or MAX_LIVE_BATCHES):
         return
-    days = sorted({day for _, day, _ in _day_folders(spark, path, "live/batch_id", ripe, None)})
+    days = sorted({day for _, day, _ in day_folders(spark, path, "live/batch_id", ripe, None)})
     summed = read_counts(spark, path, schema, keys, days, before=running)
     summed.write.mode("overwrite").partitionBy("date").parquet(f"{path}/base/upto={ripe[-1]}")
-    remove = delete or (lambda folder: _delete(spark, folder))
+    remove = delete or (lambda folder: delete_folder(spark, folder))
     for number in every:
         if number <= last:
             remove(f"{path}/live/batch_id={number}")
-    older = _day_folders(spark, path, "base/upto", bases, None)
+    older = day_folders(spark, path, "base/upto", bases, None)
     newest: dict[str, int] = {}
     for upto, day, _ in older:
         newest[day] = max(newest.get(day, -1), upto)
@@ -142,6 +142,6 @@ def merge(
             remove(folder)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    hadoop_path, fs = _file_system(spark, folder)
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    hadoop_path, fs = file_system(spark, folder)
     fs.delete(hadoop_path, True)

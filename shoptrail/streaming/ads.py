@@ -6,7 +6,7 @@ and a query restarted from its checkpoint goes on where it stopped.
 """
 
 from collections.abc import Callable, Sequence
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +17,9 @@ from shoptrail import constants as C
 from shoptrail import schemas
 from shoptrail.functions.datetimes import format_date
 from shoptrail.operators import ads
+from shoptrail.sinks.blacklist import PinnedBlacklist
 from shoptrail.sinks.keyed import all_days, batch_days, merge, read_counts, write_counts
-from shoptrail.sinks.tables import replace_groups
+from shoptrail.sinks.versions import drop_superseded, read_days, write_days
 
 # Fixed value: the micro-batch interval of the reports.
 BATCH_INTERVAL = {"processingTime": "5 seconds"}
@@ -32,10 +33,11 @@ _TREND = schemas.layout(
 )
 _PANES = schemas.layout("date string, pane_start timestamp, ad_id bigint, click_count bigint")
 _PROVINCE_KEYS = ("date", "province", "ad_id")
+_TOP3 = schemas.layout("date string, province string, ad_id bigint, click_count bigint")
 _PANE_KEYS = ("date", "pane_start", "ad_id")
 
-# A blacklist, or a function that gives the one of the moment.
-Blacklist = DataFrame | Callable[[], DataFrame]
+# A blacklist, a function that gives the one of the moment, or one that batches pin.
+Blacklist = DataFrame | Callable[[], DataFrame] | PinnedBlacklist
 
 
 def _start(
@@ -54,32 +56,40 @@ def _start(
     return (writer.queryName(name) if name else writer).start()
 
 
-def _allowed(log: DataFrame, blacklist: Blacklist | None) -> DataFrame:
+def _allowed(log: DataFrame, blacklist: Blacklist | None, batch_id: int) -> DataFrame:
     clicks = ads.parse_ad_log(log)
     if blacklist is None:
         return clicks
+    if isinstance(blacklist, PinnedBlacklist):
+        blacklist = blacklist.for_batch(log.sparkSession, batch_id)
     return ads.drop_blacklisted(clicks, blacklist() if callable(blacklist) else blacklist)
 
 
 def update_province_top3(
     spark: SparkSession, stat_path: str, batch_id: int, top3_path: str
 ) -> None:
-    """Rank the ads of the provinces and days that a micro-batch changed, and replace them."""
-    days = batch_days(spark, f"{stat_path}/province", batch_id)
+    """Bring the ranking of the days that a micro-batch changed up to date.
+
+    Counts only grow, so the new winners of a province are among its winners before the batch and
+    the ads that the batch touched: only these are ranked, with the totals of the touched ads. The
+    winners before are those of the newest version older than the batch, so a repeated batch does
+    not start from what its first attempt wrote. A day is a folder of its own with few files.
+    """
+    path = f"{stat_path}/province"
+    days = batch_days(spark, path, batch_id)
     if not days:
+        write_days(spark.createDataFrame([], _TOP3), top3_path, batch_id)
         return
-    current = read_counts(spark, f"{stat_path}/province", _PROVINCE, _PROVINCE_KEYS, days)
-    folder = f"{stat_path}/province/live/batch_id={batch_id}"
-    changed = spark.read.schema(_PROVINCE).parquet(folder).select("date", "province").distinct()
-    top3 = ads.ad_province_top3(
-        ads.with_text_date(current.join(changed, ["date", "province"], "left_semi"))
-    )
-    # Each group is a small file: writing them takes time, not space, so keep several tasks.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    replace_groups(
-        top3.repartition(tasks, *schemas.AD_PROVINCE_TOP3_KEYS), top3_path,
-        *schemas.AD_PROVINCE_TOP3_KEYS,
+    touched = spark.read.schema(_PROVINCE).parquet(f"{path}/live/batch_id={batch_id}")
+    # The semi-join is pushed below the sum: counts of other ads are not even shuffled.
+    totals = read_counts(spark, path, _PROVINCE, _PROVINCE_KEYS, days).join(
+        touched.select(*_PROVINCE_KEYS), list(_PROVINCE_KEYS), "left_semi"
     )
+    dated = [str(datetime.strptime(day, "%Y%m%d").date()) for day in days]
+    before = read_days(spark, top3_path, _TOP3, dated, before=batch_id)
+    best = ads.next_top3(before, ads.with_text_date(totals))
+    write_days(best, top3_path, batch_id)
+    drop_superseded(spark, top3_path, batch_id, dated)
 
 
 def start_ad_stat(
@@ -95,7 +105,7 @@ def start_ad_stat(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         city, province = f"{stat_path}/city", f"{stat_path}/province"
-        write_counts(ads.ad_stat(_allowed(batch, blacklist)), city, batch_id)
+        write_counts(ads.ad_stat(_allowed(batch, blacklist, batch_id)), city, batch_id)
         if batch_days(spark, city, batch_id):
             written = spark.read.schema(_STAT).parquet(f"{city}/live/batch_id={batch_id}")
         else:
@@ -122,7 +132,7 @@ def start_ad_click_trend(
     spark = log.sparkSession
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        write_counts(ads.ad_click_trend(_allowed(batch, blacklist)), trend_path, batch_id)
+        write_counts(ads.ad_click_trend(_allowed(batch, blacklist, batch_id)), trend_path, batch_id)
         merge(spark, trend_path, _TREND, schemas.AD_CLICK_TREND_KEYS, batch_id)
 
     return _start(log, on_batch, checkpoint, trigger, name)
@@ -171,7 +181,8 @@ def read_panes(spark: SparkSession, path: str) -> DataFrame:
     return read_counts(spark, path, _PANES, _PANE_KEYS).drop("date")
 
 
-def read_province_top3(spark: SparkSession, path: str) -> DataFrame:
-    columns = "ad_id bigint, click_count bigint, date string, province string"
-    rows = spark.read.schema(schemas.layout(columns)).parquet(path)
-    return rows.select("date", "province", "ad_id", "click_count")
+def read_province_top3(
+    spark: SparkSession, path: str, days: Sequence[str] | None = None
+) -> DataFrame:
+    """Current ranking, of some days (``yyyy-MM-dd``) or all."""
+    return read_days(spark, path, _TOP3, days)

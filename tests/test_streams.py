@@ -270,7 +270,7 @@ def test_merge_that_stops_at_any_step_loses_nothing(spark, tmp_path, monkeypatch
         calls.append(folder)
         if len(calls) == 2:
             stop(folder)
-        keyed._delete(spark, folder)
+        keyed.delete_folder(spark, folder)
 
     with pytest.raises(OSError, match="lost"):
         merge(spark, str(path), layout, KEYS, 6, max_batches=1, delete=later)
