@@ -274,6 +274,12 @@ _DETAIL = f"""
            search_keyword, click_category_id, click_product_id, order_category_ids,
            order_product_ids, pay_category_ids, pay_product_ids FROM """
 
+_STAT = (
+    f"SELECT CAST({TASK_ID} AS BIGINT) AS task_id, session_count, "
+    + ", ".join(f"{_ratio(n, 'session_count')} AS {n}_ratio" for n, _ in _BUCKETS)
+    + " FROM counts"
+)
+
 _TASK_PARAM = """
     SELECT c_custkey AS task_id, 'task of ' || c_name AS task_name,
            lower(c_mktsegment) AS task_type, '2024-01-01' AS start_date, '2024-01-31' AS end_date,
@@ -333,9 +339,8 @@ ORACLE_SQL = {
         "session_full_aggr": "SELECT * FROM full_sessions",
         "session_filter": f"SELECT * FROM full_sessions WHERE {_NARROW_TASK}",
         "session_aggr_counts": "SELECT * FROM counts",
-        "session_aggr_stat": f"SELECT CAST({TASK_ID} AS BIGINT) AS task_id, session_count, "
-        + ", ".join(f"{_ratio(n, 'session_count')} AS {n}_ratio" for n, _ in _BUCKETS)
-        + " FROM counts",
+        "session_aggr_stat": _STAT,
+        "session_aggr_stat_observed": _STAT,
         "session_detail": _DETAIL + "detail",
         "sessions_per_date_hour": "SELECT * FROM hours",
         "extract_quota": "SELECT * FROM quota",
@@ -386,6 +391,16 @@ ORACLE_SQL = {
         "upsert_ad_stat": "SELECT * FROM stat",
         "upsert_ad_click_trend": "SELECT * FROM trend",
         "ad_stat": "SELECT * FROM stat",
+        "ad_stat_pinned": "SELECT * FROM stat",
+        "ad_blacklist_large": "SELECT millis, province, city, user_id, ad_id FROM allowed",
+        "ad_blacklist_insert": "SELECT c_custkey AS user_id FROM customer"
+        " WHERE c_mktsegment = 'MACHINERY'",
+        "salted_count_skewed": "SELECT page_id, count(*) AS row_count,"
+        " count(DISTINCT session_id) AS distinct_count FROM user_visit_action GROUP BY page_id",
+        "task_params_variant": _TASK_PARAM,
+        "session_category_bitmap": "SELECT session_id, click_category_ids, coalesce("
+        + _overlaps("click_category_ids", [str(i) for i in range(5, 70)])
+        + ", FALSE) AS in_list FROM sessions",
         "ad_province_top3": f"""
             SELECT date, province, ad_id, click_count
             FROM (SELECT *, row_number() OVER (
@@ -400,6 +415,15 @@ ORACLE_SQL = {
             WHERE date_trunc('minute', ts) > (SELECT max(date_trunc('minute', ts)) FROM ad_clicks)
                   - to_minutes(60)
             GROUP BY ALL""",
+        "ad_click_sliding_10s": """
+            SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start,
+                   strftime(w + to_minutes(60), '%Y-%m-%d %H:%M:%S') AS window_end,
+                   ad_id, count(*) AS click_count
+            FROM (SELECT ad_id, unnest(generate_series(
+                      time_bucket(INTERVAL 10 SECOND, ts) - to_seconds(3590),
+                      time_bucket(INTERVAL 10 SECOND, ts), to_seconds(10))) AS w
+                  FROM ad_clicks)
+            GROUP BY ALL""",
         "ad_click_sliding": """
             SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start,
                    strftime(w + to_minutes(60), '%Y-%m-%d %H:%M:%S') AS window_end,

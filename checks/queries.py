@@ -10,9 +10,20 @@ from pyspark.sql import functions as F
 
 from shoptrail import schemas
 from shoptrail.functions import aggregates, datetimes, json, numbers, predicates, strings
-from shoptrail.operators import ads, categories, pages, products, sampling, sessions
+from shoptrail.operators import (
+    ads,
+    bitmaps,
+    categories,
+    heavy,
+    membership,
+    pages,
+    products,
+    sampling,
+    sessions,
+)
 from shoptrail.params import TaskParams
 from shoptrail.session import configure, materialize, new_folder
+from shoptrail.sinks.blacklist import PinnedBlacklist, insert_new, read_version
 from shoptrail.sinks.keyed import merge, read_counts, write_counts
 from shoptrail.sources import streams, tables, warehouse
 from shoptrail.streaming import ads as stream
@@ -209,6 +220,31 @@ def session_aggr_stat(shop: Shop) -> DataFrame:
     return sessions.session_aggr_stat(shop.kept_sessions, TASK_ID)
 
 
+@query
+def session_aggr_stat_observed(shop: Shop) -> DataFrame:
+    """The statistics as a side effect of writing the kept sessions."""
+    watched, seen = sessions.observe_session_counts(shop.kept_sessions)
+    materialize(watched, "sessions")
+    return sessions.aggr_stat_of(sessions.observed_counts(shop.spark, seen), TASK_ID)
+
+
+@query
+def session_category_bitmap(shop: Shop) -> DataFrame:
+    """The clicked categories of every session from a bitmap, and a test on its bits."""
+    actions = shop.actions
+    codes = materialize(bitmaps.dictionary(actions, "click_category_id"), "category-codes")
+    sets = materialize(
+        bitmaps.set_bitmaps(actions, "session_id", "click_category_id", codes, "categories"),
+        "category-sets",
+    )
+    listed = bitmaps.values_of(sets, "session_id", "categories", codes).groupBy("session_id").agg(
+        aggregates.group_concat_distinct(F.col("value")).alias("click_category_ids")
+    )
+    wanted = bitmaps.codes_of(codes, NARROW_TASK.category_ids)
+    hit = predicates.flag(bitmaps.any_in_bitmap(F.col("categories"), wanted))
+    return sets.select("session_id", hit.alias("in_list")).join(listed, "session_id")
+
+
 @query
 def session_detail(shop: Shop) -> DataFrame:
     return sessions.as_session_detail(shop.detail, TASK_ID)
@@ -286,6 +322,11 @@ def task_params(shop: Shop) -> DataFrame:
     return tables.task_params(warehouse.task(shop.spark, shop.sf_dir))
 
 
+@query
+def task_params_variant(shop: Shop) -> DataFrame:
+    return tables.task_params_variant(warehouse.task(shop.spark, shop.sf_dir))
+
+
 # Page conversion
 
 
@@ -358,6 +399,15 @@ def salted_count(shop: Shop) -> DataFrame:
     return products.salted_count(shop.clicks, ["product_id"], ["city_id"])
 
 
+@query
+def salted_count_skewed(shop: Shop) -> DataFrame:
+    """Views and visiting sessions of every page; a page has about a tenth of all actions."""
+    actions = shop.all_actions.select("page_id", "session_id")
+    tasks = 4 * int(shop.spark.conf.get("spark.sql.shuffle.partitions"))
+    share = heavy.fair_share(actions.count(), tasks)
+    return heavy.salted_count_skewed(actions, "page_id", "session_id", share)
+
+
 # Ad statistics; those named in the stream section run as streams over the events table
 
 
@@ -373,6 +423,22 @@ def ad_blacklist_filter(shop: Shop) -> DataFrame:
     return clicks.withColumn("millis", F.unix_millis("ts")).drop("ts")
 
 
+@query
+def ad_blacklist_large(shop: Shop) -> DataFrame:
+    """The same by a bitmap filter, as for lists too long to broadcast."""
+    clicks = membership.filtered_anti_join(shop.ad_clicks, shop.blacklist, "user_id")
+    return clicks.withColumn("millis", F.unix_millis("ts")).drop("ts")
+
+
+@query
+def ad_blacklist_insert(shop: Shop) -> DataFrame:
+    """The blacklist after three inserts that overlap."""
+    path = new_folder(shop.spark, "blacklist")
+    for users in (shop.blacklist.where("user_id % 3 < 2"), shop.blacklist, shop.blacklist):
+        insert_new(shop.spark, path, users)
+    return read_version(shop.spark, path)
+
+
 @query
 def province_ad_count(shop: Shop) -> DataFrame:
     return ads.province_ad_count(ads.ad_stat(shop.allowed_clicks))
@@ -417,6 +483,18 @@ def ad_stat(shop: Shop) -> DataFrame:
     return stream.read_stat(shop.spark, f"{_stat_stream(shop, False)}/stat")
 
 
+@query
+def ad_stat_pinned(shop: Shop) -> DataFrame:
+    """The statistics with a stored blacklist whose version each micro-batch records."""
+    folder = new_folder(shop.spark, "ad-stat")
+    insert_new(shop.spark, f"{folder}/blacklist", shop.blacklist)
+    stream.start_ad_stat(
+        shop.log_stream(), PinnedBlacklist(f"{folder}/blacklist", f"{folder}/pins"),
+        f"{folder}/stat", None, f"{folder}/state", NOW,
+    ).awaitTermination()
+    return stream.read_stat(shop.spark, f"{folder}/stat")
+
+
 @query
 def ad_province_top3(shop: Shop) -> DataFrame:
     return stream.read_province_top3(shop.spark, f"{_stat_stream(shop, True)}/top3")
@@ -440,14 +518,24 @@ def ad_click_trend_last_hour(shop: Shop) -> DataFrame:
     return stream.read_last_hour(shop.spark, _trend_stream(shop))
 
 
-@query
-def ad_click_sliding(shop: Shop) -> DataFrame:
+def _sliding(shop: Shop, size: int, slide: int) -> DataFrame:
     folder = new_folder(shop.spark, "ad-panes")
     stream.start_ad_click_panes(
-        shop.log_stream(), f"{folder}/panes", f"{folder}/state", 3600, 600, NOW
+        shop.log_stream(), f"{folder}/panes", f"{folder}/state", size, slide, NOW
     ).awaitTermination()
     panes = stream.read_panes(shop.spark, f"{folder}/panes")
-    return ads.ad_click_sliding(panes, size_seconds=3600, slide_seconds=600)
+    return ads.ad_click_sliding(panes, size, slide)
+
+
+@query
+def ad_click_sliding(shop: Shop) -> DataFrame:
+    return _sliding(shop, 3600, 600)
+
+
+@query
+def ad_click_sliding_10s(shop: Shop) -> DataFrame:
+    """Windows of 60 minutes every 10 seconds: each click is in 360 of them."""
+    return _sliding(shop, 3600, 10)
 
 
 # Scalar functions

@@ -16,27 +16,38 @@ def _with_date_hour(sessions: DataFrame) -> DataFrame:
     )
 
 
+def _levels(sessions: DataFrame) -> DataFrame:
+    """Sessions per hour, per date and of all dates as rows of three levels (0, 1 and 3), from one
+    rollup. A missing time makes date and hour NULL, which the level tells from a total."""
+    return _with_date_hour(sessions).rollup("date", "hour").agg(
+        F.grouping_id().alias("level"), F.count("*").alias("session_count")
+    )
+
+
 def sessions_per_date_hour(sessions: DataFrame) -> DataFrame:
     """Sessions started per date and hour, with the total of the date."""
-    counts = _with_date_hour(sessions).groupBy("date", "hour").agg(
-        F.count("*").alias("session_count")
-    )
-    return counts.withColumn(
-        "day_count", F.sum("session_count").over(Window.partitionBy("date"))
-    )
+    day = Window.partitionBy("date")
+    total = F.max(F.when(F.col("level") == 1, F.col("session_count"))).over(day)
+    levels = _levels(sessions).where("level < 3").withColumn("day_count", total)
+    return levels.where("level = 0").select("date", "hour", "session_count", "day_count")
 
 
 def extract_quota(sessions: DataFrame, total: int = C.EXTRACT_SESSIONS) -> DataFrame:
     """Number of sessions to draw per date and hour.
 
     Every date gets the same whole share of ``total``, split over its hours by their counts.
-    Sessions without a time belong to no date and take no share.
+    Sessions without a time belong to no date and take no share. Hour counts, date totals and the
+    number of dates come from one rollup over the sessions: what follows it are 25 rows a date.
     """
     counts = sessions_per_date_hour(sessions).where(F.col("date").isNotNull())
-    days = counts.agg(F.countDistinct("date")).scalar()
+    # One row per date: their number, counted over the hour with the first place of its date.
+    first = Window.partitionBy("date").orderBy("hour")
+    every = Window.partitionBy(F.lit(0))
+    placed = counts.withColumn("place", F.row_number().over(first))
+    days = F.count_if(F.col("place") == 1).over(every)
     share = F.col("session_count").cast("double") / F.col("day_count").cast("double")
     quota = F.floor(share * F.floor(F.lit(total) / days))
-    return counts.select(
+    return placed.select(
         "date", "hour", "session_count", "day_count",
         F.least(F.col("session_count"), quota).alias("quota"),
     )

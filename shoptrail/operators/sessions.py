@@ -1,6 +1,8 @@
 """Visit sessions: aggregation, filtering and distribution statistics."""
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shoptrail import constants as C
@@ -75,7 +77,7 @@ def _in_bucket(field: str, low: int, high: int | None) -> Column:
     return value >= low if high is None else value.between(low, high)
 
 
-def session_aggr_counts(sessions: DataFrame) -> DataFrame:
+def _bucket_counts() -> list[Column]:
     """Session count and the number of sessions per visit-length and step-length bucket."""
     buckets = [
         F.count_if(_in_bucket(field, low, high)).alias(f"{field}_{name}")
@@ -85,12 +87,40 @@ def session_aggr_counts(sessions: DataFrame) -> DataFrame:
         )
         for name, low, high in table
     ]
-    return sessions.agg(F.count("*").alias("session_count"), *buckets)
+    return [F.count("*").alias("session_count"), *buckets]
+
+
+def session_aggr_counts(sessions: DataFrame) -> DataFrame:
+    """Session count and the number of sessions per visit-length and step-length bucket."""
+    return sessions.agg(*_bucket_counts())
+
+
+def observe_session_counts(sessions: DataFrame) -> tuple[DataFrame, Observation]:
+    """The same sessions, whose counts are taken on the way when they are next written.
+
+    Write the returned frame as it is, in the same stage: Spark takes the metrics of each
+    partition that a writing stage has finished once, however often a task was tried. The counts
+    are there after the write, which must be the first action on the frame.
+    """
+    seen = Observation(f"session-counts-{uuid.uuid4().hex}")
+    return sessions.observe(seen, *_bucket_counts()), seen
+
+
+def observed_counts(spark: SparkSession, seen: Observation) -> DataFrame:
+    """The counts of a finished write in the layout of ``session_aggr_counts``; one row."""
+    counts = seen.get
+    return spark.createDataFrame(
+        [tuple(counts.values())], ", ".join(f"`{name}` long" for name in counts)
+    )
 
 
 def session_aggr_stat(sessions: DataFrame, task_id: int) -> DataFrame:
     """Bucket shares of all sessions, two decimals."""
-    counts = session_aggr_counts(sessions)
+    return aggr_stat_of(session_aggr_counts(sessions), task_id)
+
+
+def aggr_stat_of(counts: DataFrame, task_id: int) -> DataFrame:
+    """Bucket shares from counts."""
     ratios = [
         ratio(F.col(name), F.col("session_count")).alias(f"{name}_ratio")
         for name in counts.columns

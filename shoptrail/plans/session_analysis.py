@@ -21,7 +21,10 @@ def run(
     in_range = actions_by_date_range(actions, params)
     with scratch(actions.sparkSession, "session-analysis") as folder:
         full = sessions.session_full_aggr(sessions.session_aggregate(in_range), user_info)
-        kept = materialize(sessions.session_filter(full, params), "sessions", folder)
+        # The statistics are counted while the sessions are written.
+        watched, seen = sessions.observe_session_counts(sessions.session_filter(full, params))
+        kept = materialize(watched, "sessions", folder)
+        counts = sessions.observed_counts(actions.sparkSession, seen)
         extracted = materialize(
             sampling.random_extract_session(kept, task_id, seed), "random-extract", folder
         )
@@ -42,7 +45,7 @@ def run(
         top_detail = categories.top10_session_detail(top_sessions, in_range)
 
         reports = {
-            "session_aggr_stat": sessions.session_aggr_stat(kept, task_id),
+            "session_aggr_stat": sessions.aggr_stat_of(counts, task_id),
             "session_random_extract": extracted,
             "session_detail": sessions.as_session_detail(
                 extract_detail.unionByName(top_detail), task_id

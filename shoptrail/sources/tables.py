@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoptrail import constants as C
-from shoptrail.functions.json import get_param
+from shoptrail.functions.json import get_param, get_variant_param, parse_param
 from shoptrail.functions.predicates import all_of
 from shoptrail.params import TaskParams
 
@@ -45,24 +45,40 @@ def click_actions_by_date(actions: DataFrame, params: TaskParams) -> DataFrame:
     )
 
 
+_PARAM_COLUMNS = {
+    "start_date": C.PARAM_START_DATE,
+    "end_date": C.PARAM_END_DATE,
+    "start_age": C.PARAM_START_AGE,
+    "end_age": C.PARAM_END_AGE,
+    "professionals": C.PARAM_PROFESSIONALS,
+    "cities": C.PARAM_CITIES,
+    "sex": C.PARAM_SEX,
+    "keywords": C.PARAM_KEYWORDS,
+    "category_ids": C.PARAM_CATEGORY_IDS,
+    "target_page_flow": C.PARAM_TARGET_PAGE_FLOW,
+}
+
+
 def task_params(tasks: DataFrame) -> DataFrame:
     """The parameters of every task as columns."""
-    names = {
-        "start_date": C.PARAM_START_DATE,
-        "end_date": C.PARAM_END_DATE,
-        "start_age": C.PARAM_START_AGE,
-        "end_age": C.PARAM_END_AGE,
-        "professionals": C.PARAM_PROFESSIONALS,
-        "cities": C.PARAM_CITIES,
-        "sex": C.PARAM_SEX,
-        "keywords": C.PARAM_KEYWORDS,
-        "category_ids": C.PARAM_CATEGORY_IDS,
-        "target_page_flow": C.PARAM_TARGET_PAGE_FLOW,
-    }
     param = F.col("task_param")
     return tasks.select(
         "task_id", "task_name", "task_type",
-        *[get_param(param, key).alias(name) for name, key in names.items()],
+        *[get_param(param, key).alias(name) for name, key in _PARAM_COLUMNS.items()],
+    )
+
+
+def task_params_variant(tasks: DataFrame) -> DataFrame:
+    """The same, with the JSON text of a task parsed once into a VARIANT that all fields are read
+    from. A parameter that is not JSON has no fields."""
+    # Not collapsed into one projection: the parse is an own column of the step below.
+    parsed = tasks.select(
+        "task_id", "task_name", "task_type", parse_param(F.col("task_param")).alias("param")
+    )
+    return parsed.select(
+        "task_id", "task_name", "task_type",
+        *[get_variant_param(F.col("param"), key).alias(name)
+          for name, key in _PARAM_COLUMNS.items()],
     )
 
 

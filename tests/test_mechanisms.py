@@ -1,0 +1,286 @@
+"""Sweeps, sketches, bitmaps, observed metrics, grouping sets and VARIANT parameters."""
+
+import random
+import subprocess
+import sys
+from collections import Counter
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from shoptrail import schemas
+from shoptrail.functions import predicates
+from shoptrail.operators import ads, bitmaps, heavy, membership, sampling, sessions
+from shoptrail.session import materialize
+from shoptrail.sources import tables
+from tests.helpers import action, actions, dicts, final_plan, plan, rows
+from tests.test_ads import clicks, line
+
+DAY = 86_400
+
+
+def panes(spark, values, width):
+    df = spark.createDataFrame(values, "at long, ad_id long, click_count long")
+    return df.select(F.timestamp_seconds("at").alias("pane_start"), "ad_id", "click_count")
+
+
+def windows_by_hand(values, size, slide, width):
+    counts = Counter()
+    for at, ad, n in values:
+        start = at // slide * slide
+        while start > at + width - size - slide:
+            if start <= at and at + width <= start + size:
+                counts[start, ad] += n
+            start -= slide
+    return {k: n for k, n in counts.items() if n}
+
+
+@pytest.mark.parametrize("size, slide", [
+    (3600, 10), (3600, 600), (60, 60), (90, 60), (20, 50), (2 * DAY, 3600), (DAY, 7200), (70, 30)])
+def test_runs_of_windows(spark, size, slide):
+    width = ads.pane_seconds(size, slide)
+    draw = random.Random(size)
+    # Around two ends of days, before 1970 too.
+    values = [(draw.choice([0, DAY, 5 * DAY, -DAY]) + draw.randint(-300, 300) * width
+               if width < 600 else draw.randint(-9, 60) * width,
+               draw.randint(1, 2), draw.randint(1, 9)) for _ in range(60)]
+    runs = ads.ad_click_window_runs(panes(spark, values, width), size, slide).collect()
+    got = {}
+    for r in runs:
+        assert r.first_start <= r.last_start and r.click_count > 0
+        for start in range(r.first_start, r.last_start + 1, slide):
+            assert (start, r.ad_id) not in got
+            got[start, r.ad_id] = r.click_count
+    assert got == windows_by_hand(values, size, slide, width)
+
+
+def test_sweep_shuffles_events_not_windows(spark):
+    log = [line(61.5 * m, ad=1) for m in range(200)]
+    seen = ads.ad_click_panes(clicks(spark, *log), "10 seconds")
+    df = ads.ad_click_sliding(seen, 3600, 10)
+    text = final_plan(df)
+    # The one explode of windows stands above the last shuffle.
+    assert text.index("sequence(first_start") < text.index("Exchange")
+    events = ads.ad_click_window_runs(seen, 3600, 10)
+    assert events.count() <= 2 * seen.count() + 2 < df.count() / 100
+
+
+def test_runs_of_no_panes(spark):
+    empty = panes(spark, [(0, 1, 1)], 10).where("false")
+    assert ads.ad_click_sliding(empty, 3600, 10).count() == 0
+
+
+def skewed(spark, n=40_000):
+    hot = F.col("id") % 2 == 0
+    return spark.range(n).select(
+        F.when(hot, 7).otherwise(F.col("id") % 3000 + 10).alias("key"),
+        (F.col("id") % 5000).alias("value"),
+        F.when(F.col("id") % 2 == 1, F.col("id")).alias("some"),
+    )
+
+
+def test_heavy_key_with_half_of_the_rows_is_dealt_out(spark):
+    df = skewed(spark)
+    share = heavy.fair_share(df.count(), 16)
+    found = heavy.heavy_keys(df, "key", share).collect()
+    assert [(r.key, r.salts) for r in found] == [(7, 8)]
+    salted = heavy.salt_heavy(df, "key", ["value"], share)
+    assert salted.where("key <> 7").where("salt <> 0").count() == 0
+    groups = [r["count"] for r in salted.groupBy("key", "salt").count().collect()]
+    assert max(groups) < 1.5 * share
+
+
+def test_counts_with_salted_heavy_keys(spark):
+    df = skewed(spark).unionByName(spark.range(9000).select(
+        F.lit(None).cast("long").alias("key"), F.col("id").alias("value"),
+        F.lit(None).cast("long").alias("some")))
+    for column in ("value", "some"):
+        got = heavy.salted_count_skewed(df, "key", column, 1000)
+        expected = df.groupBy("key").agg(
+            F.count("*").alias("row_count"), F.count_distinct(column).alias("distinct_count"))
+        assert rows(got) == rows(expected)
+    assert heavy.salted_count_skewed(df.where("false"), "key", "value", 10).count() == 0
+
+
+def test_heavy_text_keys(spark):
+    df = skewed(spark).select(F.concat(F.lit("k"), "key").alias("key"), "value")
+    assert [r.key for r in heavy.heavy_keys(df, "key", 5000).collect()] == ["k7"]
+
+
+@pytest.mark.parametrize("bits", [None, 1 << 15, 1 << 20])
+def test_filtered_anti_join_drops_nothing_wrongly(spark, bits):
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 50 != 0, F.col("id") - 500).alias("user_id"), "id",
+        F.lit("x").alias("possible_hit"))
+    keys = spark.range(0, 9000, 3).select(F.col("id").alias("user_id"))
+    keys = keys.unionByName(keys).unionByName(spark.createDataFrame([(None,)], "user_id long"))
+    got = membership.filtered_anti_join(df.drop("possible_hit"), keys, "user_id", bits)
+    expected = df.drop("possible_hit").join(keys, "user_id", "left_anti").select("user_id", "id")
+    assert rows(got) == rows(expected) and got.columns == ["user_id", "id"]
+    nobody = membership.filtered_anti_join(df, keys.where("false"), "user_id", bits)
+    assert nobody.count() == df.count()
+
+
+def test_only_possible_hits_are_shuffled(spark, tmp_path):
+    spark.range(200_000).select(F.col("id").alias("user_id")).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    keys = spark.range(0, 2000).select((F.col("id") * 50).alias("user_id"))
+    bits = membership.filter_bits(2000)
+    maps = membership.bitmap_filter(keys, "user_id", bits)
+    assert maps.count() <= bits >> 15
+    hits = membership.with_possible_hit(df, "user_id", maps, bits, "hit").where("hit")
+    assert 2000 <= hits.count() < 2000 + 200_000 / 8
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = membership.filtered_anti_join(df, keys, "user_id")
+        text = plan(joined)
+        assert joined.count() == 198_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The clear branch has no shuffle of the rows; the other one filters before its shuffle.
+    clear, rest = text.split("LeftAnti")[0], text.split("LeftAnti")[1]
+    assert clear.count("hashpartitioning(user_id") == 0
+    assert rest.index("hashpartitioning(user_id") < rest.index("getbit")
+
+
+def test_filter_size_is_bounded(spark):
+    assert membership.filter_bits(0) == 1 << 15
+    assert membership.filter_bits(10**12) == membership.MOST_BITS
+    with pytest.raises(ValueError):
+        membership.with_possible_hit(spark.range(1), "id", spark.range(1), 1 << 40, "hit")
+
+
+def test_category_bitmaps_hold_the_lists(spark):
+    draw = random.Random(2)
+    log = [action(f"s{draw.randint(0, 9)}", search_keyword=draw.choice(["a", "bb", "ü", None]),
+                  click_category_id=draw.choice([None, 0, 63, 64, 65, 127, 128, 700]))
+           for _ in range(80)] + [action("none")]
+    df = actions(spark, *log)
+    for column, listed in (("click_category_id", "click_category_ids"),
+                           ("search_keyword", "search_keywords")):
+        codes = bitmaps.dictionary(df, column).cache()
+        assert sorted(r.code for r in codes.collect()) == list(range(codes.count()))
+        by_code = [r.value for r in codes.orderBy("code").collect()]
+        assert by_code == sorted(by_code, key=str.encode)
+        sets = bitmaps.set_bitmaps(df, "session_id", column, codes, "set").cache()
+        values = bitmaps.values_of(sets, "session_id", "set", codes)
+        got = {}
+        for r in values.collect():
+            got.setdefault(r.session_id, set()).add(r.value)
+        lists = dicts(sessions.session_aggregate(df).select("session_id", listed))
+        assert got == {r["session_id"]: set((r[listed] or "").split(",")) if r[listed] else {None}
+                       for r in lists}
+        for wanted in (["64", "127"], ["0"], ["bb", "ü"], ["unknown"], []):
+            numbers = bitmaps.codes_of(codes, wanted)
+            hit = predicates.flag(bitmaps.any_in_bitmap(F.col("set"), numbers))
+            found = {r.session_id for r in sets.where(hit).collect()}
+            assert found == {r["session_id"] for r in lists
+                             if set((r[listed] or "").split(",")) & set(wanted)}
+
+
+def test_no_condition_without_a_list():
+    assert bitmaps.any_in_bitmap(None, None) is None
+
+
+def test_bitmap_test_on_the_sign_bit(spark):
+    df = spark.sql("SELECT map(0, shiftleft(1L, 63), 2, 1L) AS s")
+    for code, expected in ((63, True), (62, False), (128, True), (129, False), (500, False)):
+        assert df.select(bitmaps.any_in_bitmap(F.col("s"), [code])).first()[0] is expected
+
+
+def some_sessions(spark):
+    return spark.range(500).selectExpr(
+        "concat('s', id) AS session_id", "id % 40 AS visit_length", "id % 13 AS step_length",
+        "CASE WHEN id % 7 > 0 THEN date_format(timestamp_seconds(1704067200 + id * 700),"
+        " 'yyyy-MM-dd HH:mm:ss') END AS start_time",
+        "'k' AS search_keywords", "'1' AS click_category_ids")
+
+
+def test_observed_counts_equal_counted_ones(spark):
+    for df in (some_sessions(spark), some_sessions(spark).where("false")):
+        watched, seen = sessions.observe_session_counts(df)
+        written = materialize(watched, "sessions")
+        counts = sessions.observed_counts(spark, seen)
+        assert rows(counts) == rows(sessions.session_aggr_counts(written))
+        assert counts.columns == sessions.session_aggr_counts(df).columns
+        assert rows(sessions.aggr_stat_of(counts, 5)) == rows(sessions.session_aggr_stat(df, 5))
+
+
+RETRIED = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark import TaskContext
+from shoptrail.operators import sessions
+from shoptrail.session import build_session
+
+spark = build_session("retry", "local[2,3]", {"spark.ui.enabled": "false",
+                                              "spark.sql.shuffle.partitions": "3"})
+spark.sparkContext.setLogLevel("OFF")
+df = spark.range(300).repartition(3).selectExpr(
+    "id % 40 AS visit_length", "id % 13 AS step_length")
+watched, seen = sessions.observe_session_counts(df)
+
+def fails_once(batches):
+    yield from batches
+    if TaskContext.get().attemptNumber() == 0:
+        raise RuntimeError("first attempt")
+
+watched.mapInPandas(fails_once, watched.schema).write.parquet(sys.argv[2])
+print("counted", seen.get["session_count"], spark.read.parquet(sys.argv[2]).count())
+spark.stop()
+"""
+
+
+def test_retried_tasks_are_counted_once(tmp_path):
+    root = str(Path(__file__).resolve().parents[1])
+    done = subprocess.run(
+        [sys.executable, "-c", RETRIED, root, str(tmp_path / "out")],
+        capture_output=True, text=True, timeout=240, check=False)
+    assert "counted 300 300" in done.stdout, done.stderr[-2000:]
+
+
+def test_quota_scans_its_sessions_once(spark, tmp_path):
+    path = str(tmp_path / "sessions")
+    some_sessions(spark).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert plan(sampling.extract_quota(df)).count("FileScan") == 1
+    hours = dicts(sampling.sessions_per_date_hour(df))
+    by_day = Counter()
+    for r in hours:
+        by_day[r["date"]] += r["session_count"]
+    assert all(r["day_count"] == by_day[r["date"]] for r in hours)
+    assert by_day[None] == 72 and sum(by_day.values()) == 500
+    quota = dicts(sampling.extract_quota(df, 50))
+    days = len(by_day) - 1
+    assert {r["date"] for r in quota} == set(by_day) - {None}
+    for r in quota:
+        share = r["session_count"] / r["day_count"]
+        assert r["quota"] == min(r["session_count"], int(share * (50 // days)))
+    assert sampling.extract_quota(df.where("false")).count() == 0
+
+
+PARAMS = [
+    '{"startDate":["2024-01-01"],"startAge":["10"],"cities":["a,b"],"sex":[""]}',
+    '{"startDate":[],"keywords":["x","y"],"targetPageFlow":["1,2"]}',
+    "{}", "[]", "not json", '{"startDate":["2024-01-01"', "", None, '{"startDate":null}',
+    '{"startDate":["a\\"b"],"professionals":["é"]}',
+]
+
+
+def test_params_from_variant_equal_those_from_text(spark):
+    df = spark.createDataFrame(
+        [(i, "n", "t", text) for i, text in enumerate(PARAMS)],
+        "task_id long, task_name string, task_type string, task_param string")
+    got = tables.task_params_variant(df)
+    whole = df.where(F.col("task_id") != 5)
+    assert rows(got.where("task_id <> 5")) == rows(tables.task_params(whole))
+    assert rows(got.where("task_id = 5")) == [(5, "n", "t", *[None] * 10)]
+    optimized = got._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("parseJson") == 1
+
+
+def test_layout_of_a_task_is_unchanged(spark):
+    empty = spark.createDataFrame([], schemas.TASK)
+    assert tables.task_params_variant(empty).columns == tables.task_params(empty).columns
