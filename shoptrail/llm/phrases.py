@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoptrail.llm.text import lean, slices
+from shoptrail.llm.text import lean, lean_group, slices
 from shoptrail.session import materialize
 
 # Characters that end a piece of a text, and those between words.
@@ -205,34 +205,66 @@ class _Shard:
             self.parts += [ids, np.zeros(1, np.int64)]
             self.size += len(ids) + 1
 
-    def counts(self, depth: int) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    def buckets(self, depth: int, bits: int) -> pa.RecordBatch | None:
+        """The phrases of the shard with their counts, one row per bucket that has any."""
         if not self.size:
-            return
-        names = pa.array(self.ids.words, pa.binary())
+            return None
+        names = pa.array(self.ids.words, pa.large_binary())
+        marks = np.array([xxhash.xxh64_intdigest(x) for x in self.ids.words], np.uint64)
+        texts, counts, spots = [], [], []
         for found in PhraseIndex(np.concatenate(self.parts), depth).phrases(depth):
-            if not len(found.count):
-                return
             columns = [names.take(pa.array(ids)) for ids in found.words.T]
-            text = pc.binary_join_element_wise(*columns, b" ")
-            yield (pa.array([self.lang] * len(text), pa.string()), text.cast(pa.string()),
-                   pa.array(found.count, pa.int64()))
+            texts.append(pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary())))
+            counts.append(found.count)
+            mixed = marks[found.words[:, 0]]
+            with np.errstate(over="ignore"):
+                for ids in found.words.T[1:]:
+                    mixed = (mixed ^ mixed >> np.uint64(29)) * _ODD + marks[ids]
+                mixed = (mixed ^ mixed >> np.uint64(32)) * _ODD
+            spots.append(mixed >> np.uint64(64 - bits))
+        spot = np.concatenate(spots)
+        if not len(spot):
+            return None
+        order = np.argsort(spot, kind="stable")
+        spot, count = spot[order], np.concatenate(counts)[order]
+        text = pa.concat_arrays(texts).take(pa.array(order))
+        edges = np.frombuffer(text.buffers()[1], np.int64)[: len(text) + 1]
+        data = memoryview(text.buffers()[2] or b"")
+        length = np.diff(edges).astype(np.uint32)
+        first = np.flatnonzero(np.diff(spot, prepend=spot[0] + np.uint64(1)))
+        cuts = list(zip(first, np.append(first[1:], len(spot)), strict=True))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([self.lang] * len(cuts), pa.string()),
+                pa.array(spot[first].astype(np.int32)),
+                pa.array([bytes(data[edges[i] : edges[j]]) for i, j in cuts], pa.binary()),
+                pa.array([length[i:j].tobytes() for i, j in cuts], pa.binary()),
+                pa.array([count[i:j].tobytes() for i, j in cuts], pa.binary()),
+            ],
+            names=["lang", "bucket", "phrases", "lengths", "counts"],
+        )
+
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_BUCKETS = "lang string, bucket int, phrases binary, lengths binary, counts binary"
 
-def _shards(shared: Broadcast, depth: int, most: int):
+
+def _shards(shared: Broadcast, depth: int, most: int, bits: int):
     """Counts of the phrases of every shard of about ``most`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
+        bitmap = np.frombuffer(shared.value, np.uint8)
         shards: dict[str, _Shard] = {}
 
         def rows(shard):
-            for columns in shard.counts(depth):
-                yield pa.RecordBatch.from_arrays(list(columns), names=["lang", "phrase", "a"])
+            found = shard.buckets(depth, bits)
+            if found is not None:
+                yield found
 
         for batch in slices(batches, 1, 1 << 20):
             for lang, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
                 if lang not in shards:
-                    shards[lang] = _Shard(lang, bits)
+                    shards[lang] = _Shard(lang, bitmap)
                 shards[lang].add(text or b"")
                 if shards[lang].size >= most:
                     yield from rows(shards.pop(lang))
@@ -240,8 +272,31 @@ def _shards(shared: Broadcast, depth: int, most: int):
             if sum(s.size + len(s.ids) for s in shards.values()) >= 2 * most:
                 for lang in list(shards):
                     yield from rows(shards.pop(lang))
-        for shard in shards.values():
-            yield from rows(shard)
+        for lang in list(shards):
+            yield from rows(shards.pop(lang))
+
+    return run
+
+
+def _sums(least: int):
+    """The phrases of a bucket of one language with at least ``least`` occurrences in all shards."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        lengths = np.frombuffer(b"".join(rows.column("lengths").to_pylist()), np.uint32)
+        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int64)
+        edges = np.append(0, np.cumsum(lengths, dtype=np.int64))
+        data = pa.py_buffer(b"".join(rows.column("phrases").to_pylist()))
+        phrases = pa.Array.from_buffers(
+            pa.large_binary(), len(lengths), [None, pa.py_buffer(edges), data]
+        )
+        table = pa.table({"phrase": phrases, "a": counts}).group_by("phrase", use_threads=False)
+        table = table.aggregate([("a", "sum")])
+        table = table.filter(pc.greater_equal(table.column("a_sum"), least))
+        return pa.table({
+            "lang": pa.array([key[0].as_py()] * table.num_rows, pa.string()),
+            "phrase": table.column("phrase").cast(pa.large_string()).cast(pa.string()),
+            "a": table.column("a_sum"),
+        })
 
     return run
 
@@ -267,18 +322,24 @@ def _frequent_bits(words: DataFrame) -> bytes:
     return bytes(out)
 
 
-def phrase_counts(docs: DataFrame, least: int = 10, depth: int = 3, shard_words: int = 1_000_000
-                  ) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = 10, depth: int = 3, shard_words: int = 500_000,
+                  bucket_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
     """Two written tables: words (lang, word, f), where the row without a word counts all words of
     the language, and phrases (lang, phrase, a) of 2 to ``depth`` words; both of those with at
     least ``least`` occurrences.
 
     Tasks gather texts into shards of one language, build an FM-index of each and extend the
-    intervals of its words in both directions; Spark sums the shards. A word with fewer than
-    ``least`` occurrences in all texts can be in no phrase, so shards end pieces at such words. They
-    are told by a broadcast bitmap of bounded size, which may let others through but misses none.
+    intervals of its words in both directions. A word with fewer than ``least`` occurrences in all
+    texts can be in no phrase, so shards end pieces at such words. They are told by a broadcast
+    bitmap of bounded size, which may let others through but misses none.
+
+    The counts of a shard, mostly of phrases that stand in no other one, are dealt to buckets by a
+    hash of the phrase and summed there by the phrases themselves. The number of buckets follows
+    the size of the texts; a phrase is one entry per shard at most, so no bucket is hot.
     """
     spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(2, (size // bucket_bytes).bit_length())
     body = docs.select(
         F.coalesce("lang", F.lit(UNKNOWN_LANG)).alias("lang"),
         F.col("text").cast("binary").alias("_body"),
@@ -290,11 +351,11 @@ def phrase_counts(docs: DataFrame, least: int = 10, depth: int = 3, shard_words:
         "phrases-words",
     )
     shared = spark.sparkContext.broadcast(_frequent_bits(words.where("word IS NOT NULL")))
-    found = body.mapInArrow(
-        lean(_shards(shared, depth, shard_words)), "lang string, phrase string, a long"
-    )
+    found = body.mapInArrow(lean(_shards(shared, depth, shard_words, bits)), _BUCKETS)
     phrases = materialize(
-        found.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least),
+        found.groupBy("lang", "bucket").applyInArrow(
+            lean_group(_sums(least)), "lang string, phrase string, a long"
+        ),
         "phrases-counts",
     )
     return words, phrases
@@ -351,7 +412,7 @@ def _scored(phrases: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def collocations(docs: DataFrame, least: int = 10, depth: int = 3, limit: int = 2000,
-                 share: int = 50, shard_words: int = 1_000_000) -> DataFrame:
+                 share: int = 50, shard_words: int = 500_000) -> DataFrame:
     """The first ``limit`` phrases of 2 to ``depth`` words of every language by how much more often
     their words stand together than apart.
 
