@@ -42,35 +42,163 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared) if len(a) + len(b) else 1.0
 
 
+def fingerprint_of(shingles: np.ndarray) -> np.uint64:
+    """The SimHash of a set: bits that more than half of its hashes have; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(shingles), _STEP):
+        bits = np.unpackbits(shingles[i : i + _STEP].view(np.uint8), bitorder="little")
+        ones += bits.reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)[0]
+
+
 def _sketches(words: int, bands: int, width: int, seed: int, keep: list[str]):
-    """A name of each document's set and the hashes of its bands of minima."""
+    """Each document's set: its name, size and fingerprint, its minima and their bands' hashes."""
     odd = np.random.default_rng(seed).integers(0, 1 << 63, bands * width, np.uint64)
     odd = (odd << np.uint64(1) | np.uint64(1))[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "body"):
-            sets, found = [], []
-            for text in batch.column("body").to_pylist():
+        for batch in slices(batches, len(keep)):
+            sets, sizes, prints, minima, found = [], [], [], [], []
+            for text in batch.column(len(keep)).to_pylist():
                 shingles = shingle_set(text or b"", words, seed)
                 sets.append(xxhash.xxh64_intdigest(shingles.tobytes()))
+                sizes.append(len(shingles))
+                prints.append(fingerprint_of(shingles))
                 if not len(shingles):
+                    minima.append(b"")
                     found.append([])
                     continue
                 least = np.min([(odd * shingles[i : i + _STEP]).min(axis=1)
                                 for i in range(0, len(shingles), _STEP)], axis=0)
+                minima.append((least >> np.uint64(32)).astype(np.uint32).tobytes())
                 found.append([
                     np.uint64(xxhash.xxh64_intdigest(band.tobytes(), seed=no)).astype(np.int64)
                     for no, band in enumerate(least.reshape(bands, width))
                 ])
-            names = pa.array(np.array(sets, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), names, pa.array(found, pa.list_(pa.int64()))],
-                names=[*keep, "set", "bands"],
+                [
+                    *(batch.column(i) for i in range(len(keep))),
+                    pa.array(np.array(sets, np.uint64).view(np.int64)),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(np.array(prints, np.uint64).view(np.int64)),
+                    pa.array(minima, pa.binary()),
+                    pa.array(found, pa.list_(pa.int64())),
+                ],
+                names=[*keep, *_SKETCH],
             )
 
     return run
 
 
+_SKETCH = ("set", "size", "print", "minima", "bands")
+_SKETCH_TYPES = "set long, size long, print long, minima binary, bands array<long>"
+
+
+def likely_pairs(left: np.ndarray, right: np.ndarray, sizes: tuple, parts: tuple, own: bool,
+                 similarity: float, agree: float, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of two blocks of minima (one row each) in different parts that may be similar
+    enough: their sizes allow it and a share of at least ``agree`` of their minima is equal.
+
+    With ``own`` both blocks are the same one, and j < i. With ``best`` each i has only its pair
+    with the most equal minima.
+    """
+    none = np.zeros(0, np.int64)
+    found_i, found_j = [none], [none]  # a block may be empty
+    step = max(1, (1 << 24) // max(1, right.size))
+    for at in range(0, len(left) if len(right) else 0, step):
+        rows = slice(at, at + step)
+        equal = (left[rows, None, :] == right[None, :, :]).sum(axis=2, dtype=np.int64)
+        a, b = sizes[0][rows, None], sizes[1][None, :]
+        near = (equal >= agree * left.shape[1]) & (
+            parts[0][rows, None] != parts[1][None, :]
+        ) & (np.minimum(a, b) >= similarity * np.maximum(a, b))
+        if own:
+            near &= np.arange(len(right))[None, :] < (at + np.arange(near.shape[0]))[:, None]
+        if best:
+            j = np.where(near, equal, -1).argmax(axis=1)
+            i = np.flatnonzero(near[np.arange(len(j)), j])
+            j = j[i]
+        else:
+            i, j = np.nonzero(near)
+        found_i.append(i + at), found_j.append(j)
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
+def _compare(similarity: float, agree: float, best: bool):
+    """Likely pairs of sets from rows that come sorted by band and pair of blocks."""
+
+    def pairs(group: pa.Table, i: int, j: int):
+        block, names, sizes, parts = (
+            group.column(c).to_numpy() for c in ("block", "set", "size", "part"))
+        minima = np.frombuffer(b"".join(group.column("minima").to_pylist()), np.uint32)
+        minima = minima.reshape(len(names), -1)
+        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        a, b = likely_pairs(minima[x], minima[y], (sizes[x], sizes[y]), (parts[x], parts[y]),
+                            i == j, similarity, agree, best)
+        a, b = names[x[a]], names[y[b]]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(found):
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        held, key, found = [], None, []
+
+        def close():
+            if key is not None:
+                found.append(pairs(pa.Table.from_batches(held), *key[1:]))
+
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("band", "i", "j")]
+            new = np.any([np.diff(c) != 0 for c in columns], axis=0) if batch.num_rows else []
+            cuts = [0, *(np.flatnonzero(new) + 1), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if start == end:
+                    continue
+                own = tuple(int(c[start]) for c in columns)
+                if own != key:
+                    close()
+                    held, key = [], own
+                held.append(batch.slice(start, end - start))
+            if sum(len(a) for a, _ in found) > 100_000:
+                yield flush(found)
+                found.clear()
+        close()
+        if found:
+            yield flush(found)
+
+    return run
+
+
+def _met(placed: DataFrame, similarity: float, agree: float, best: bool, block: int) -> DataFrame:
+    """(a, b): likely pairs of sets in different parts that share a band.
+
+    ``placed`` has band, set, size, part and minima. A band of many sets is cut into blocks, each
+    pair of blocks is compared by one task on the minima alone, and only likely pairs come back.
+    """
+    sizes = placed.groupBy("band").agg(
+        F.count("*").alias("sets"), F.min("part").alias("x"), F.max("part").alias("y")
+    )
+    # Bands whose sets are all connected have nothing left to compare.
+    sizes = sizes.where("x <> y").select(
+        "band", F.expr(f"CAST(1 + (sets - 1) div {block} AS INT)").alias("blocks")
+    )
+    rows = placed.join(sizes, "band").withColumn(
+        "block", F.expr("CAST(pmod(xxhash64(set, 1), blocks) AS INT)")
+    )
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "block", "set", "size", "part", "minima",
+    )
+    keys = ["band", "i", "j"]
+    found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        lean(_compare(similarity, agree, best)), "a long, b long"
+    )
+    return found.distinct()
+
+
 def _alike(words: int, similarity: float, seed: int):
     """Those pairs of texts whose sets are similar enough."""
 
@@ -101,66 +229,95 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float,
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 20,
-                width: int = 4, seed: int = 42, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+                width: int = 4, seed: int = 42, keep: tuple[str, ...] = ("doc_id",),
+                budget: int = 2, agree: float = 0.6, block: int = 512) -> DataFrame:
     """Group documents linked by a Jaccard similarity of at least ``similarity`` between their
     sets of ``words``-word shingles.
 
     Returns the columns ``keep`` (doc_id and more) and ``component``, the name of a set that stands
-    for the group, for every row of ``docs``. Documents with equal sets are one class. Classes are
-    compared when they agree in one of ``bands`` bands of ``width`` minima: with the defaults a
-    pair at 0.8 exactly is met with probability 0.99997, a closer one more surely. A pair that is
-    met counts only if the whole sets are similar enough.
-
-    Each class is first compared with the smallest one of each of its bands; then all pairs of a
-    band are compared that no link has connected yet, so many copies of one text cost a star, not
-    all their pairs. NULL and wordless texts are one class.
+    for the group, for every row of ``docs``. Documents with equal sets are one class. Pairs of
+    classes are found in three rounds, and each counts only if the whole sets are similar enough:
+
+    1. SimHash: the trie self-join groups sets whose fingerprints are linked by ``budget`` differing
+       bits or fewer; every set is compared with the smallest of its group. Large groups of copies
+       with few changes are one part from here on.
+    2. Sets of different parts that agree in one of ``bands`` bands of ``width`` minima: each with
+       that earlier set of its band with which it shares the most minima.
+    3. All such pairs that are still in different parts.
+
+    Rounds 2 and 3 compare minima inside tasks and pass on only pairs with a share of at least
+    ``agree`` of all minima equal and sizes that allow the similarity. With the defaults a pair
+    at 0.8 exactly meets in a band with probability 0.99997 and has enough equal minima with
+    0.99999; a closer one more surely. Bands of many sets are compared in pairs of blocks.
+
+    NULL and wordless texts are one class. NULL and repeated ids and repeated rows are rows like
+    any other; an empty table gives none; columns not kept are ignored.
     """
-    named = docs.select(*keep, F.col("text").cast("binary").alias("body"))
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    named = docs.select(*keep, F.col("text").cast("binary"))
+    kept = [f"k{i}" for i in range(len(keep))]
+    fields = [f"`{k}` {docs.schema[c].dataType.simpleString()}" for k, c in zip(
+        kept, keep, strict=True)]
+    named = named.toDF(*kept, "body").select(*kept, "body", F.xxhash64("body").alias("mark"),
+                                             F.xxhash64("body", F.lit(1)).alias("mark2"))
     sets = materialize(
-        named.mapInArrow(lean(_sketches(words, bands, width, seed, list(keep))),
-                         ", ".join([*fields, "set long", "bands array<long>"])),
+        named.select(*kept, "mark", "mark2", "body").mapInArrow(
+            lean(_sketches(words, bands, width, seed, [*kept, "mark", "mark2"])),
+            ", ".join([*fields, "mark long", "mark2 long", _SKETCH_TYPES])),
         "copies-sets",
     )
-    met = sets.select("set", F.explode("bands").alias("band")).distinct()
-    groups = met.groupBy("band").agg(F.min("set").alias("first"), F.count("*").alias("sets"))
-    shared = groups.where("sets > 1").select("band", "first")
-    met = materialize(met.join(shared, "band"), "copies-bands")
-    if met.isEmpty():
-        return sets.select(*keep, F.col("set").alias("component"))
-    # One text of each set that is compared at all.
-    body = materialize(
-        docs.select(F.col("text").cast("binary").alias("body"), *keep)
-        .join(sets.join(met.select("set").distinct(), "set", "left_semi")
-              .groupBy("set").agg(F.min(F.struct(*keep)).alias("row"))
-              .select("set", "row.*"), [*keep])
+    classes = materialize(
+        sets.groupBy("set").agg(
+            F.first("size").alias("size"), F.first("print").alias("print"),
+            F.first("minima").alias("minima"), F.first("bands").alias("bands"),
+            F.min(F.struct("mark", "mark2")).alias("mark"),
+        ),
+        "copies-classes",
+    )
+    marks = classes.select("set", "mark.*")
+    texts = materialize(
+        named.select("mark", "mark2", "body").join(marks, ["mark", "mark2"])
         .select("set", "body").dropDuplicates(["set"]),
         "copies-texts",
     )
-    stars = met.where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b"))
-    stars = materialize(stars.distinct(), "copies-stars")
-    links = materialize(_verified(stars, body, words, similarity, seed), "copies-links")
-    roots = connected_components(links, "copies-parts").select(
-        F.col("node").alias("set"), F.col("component")
-    )
-    placed = met.join(roots, "set", "left").select(
-        "band", "set", F.coalesce("component", "set").alias("part")
+
+    def parts(links):
+        roots = connected_components(links, "copies-parts")
+        return roots.select(F.col("node").alias("set"), "component")
+
+    def placed(links):
+        """The sets in their bands with their parts."""
+        rows = classes.select("set", "size", "minima", F.explode("bands").alias("band"))
+        groups = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+        return rows.join(groups, "band", "left_semi").join(parts(links), "set", "left").select(
+            "band", "set", "size", "minima", F.coalesce("component", "set").alias("part")
+        )
+
+    def checked(pairs):
+        return materialize(_verified(pairs, texts, words, similarity, seed), "copies-links")
+
+    tree = connected_components(
+        simhash.links(classes.select("print").distinct(), budget), "copies-prints"
+    ).select(F.col("node").alias("print"), "component")
+    grouped = classes.select("set", "print").join(tree, "print", "left").select(
+        "set", F.coalesce("component", "print").alias("component")
     )
-    # Bands whose sets are all connected have nothing left to compare.
-    apart = placed.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y"))
-    placed = materialize(
-        placed.join(apart.where("x <> y").select("band"), "band", "left_semi"), "copies-apart"
+    first = grouped.groupBy("component").agg(F.min("set").alias("a"))
+    stars = grouped.join(first, "component").where("a <> set").select(
+        "a", F.col("set").alias("b"))
+    stars = materialize(stars, "copies-stars")
+    links = checked(stars)
+    likely = materialize(
+        _met(placed(links), similarity, agree, True, block).join(stars, ["a", "b"], "left_anti"),
+        "copies-likely",
     )
-    x, y = (placed.select("band", F.col("set").alias(s), F.col("part").alias(f"{s}_part"))
-            for s in "ab")
-    rest = x.hint("merge").join(y, "band").where("a < b AND a_part <> b_part").select("a", "b")
-    rest = rest.distinct().join(stars, ["a", "b"], "left_anti")
-    rest = materialize(_verified(rest, body, words, similarity, seed), "copies-links")
-    roots = connected_components(links.unionByName(rest), "copies-components")
-    roots = roots.select(F.col("node").alias("set"), "component")
-    return sets.join(roots, "set", "left").select(
-        *keep, F.coalesce("component", "set").alias("component")
+    links = links.unionByName(checked(likely))
+    rest = _met(placed(links), similarity, agree, False, block)
+    tried = stars.unionByName(likely)
+    links = links.unionByName(checked(rest.join(tried, ["a", "b"], "left_anti")))
+    found = sets.join(parts(links), "set", "left").select(
+        *kept, F.coalesce("component", "set").alias("component")
     )
+    return found.toDF(*keep, "component")
 
 
 def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8,

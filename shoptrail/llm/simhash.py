@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoptrail.llm.components import connected_components, spanning
-from shoptrail.llm.text import lean, slices
+from shoptrail.llm.text import free_names, lean, slices
 from shoptrail.session import materialize
 
 BITS = 64
@@ -272,15 +272,16 @@ def one_of_each(docs: DataFrame, group) -> DataFrame:
     chosen by a hash; of rows equal in id and text any one.
     """
     body = F.col("text").cast("binary")
+    key, key2 = free_names(docs, "_key", "_key2")
     keyed = docs.withColumns(
-        {"_key": F.xxhash64("doc_id", body), "_key2": F.xxhash64(body, F.lit(1), "doc_id")}
+        {key: F.xxhash64("doc_id", body), key2: F.xxhash64(body, F.lit(1), "doc_id")}
     )
-    groups = group(keyed, ("doc_id", "_key", "_key2"))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key", "_key2")
+    groups = group(keyed, ("doc_id", key, key2))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key, key2)
     chosen = groups.groupBy("component").agg(F.min(order).alias("row"))
-    chosen = chosen.select("row._key", "row._key2")
-    kept = keyed.join(chosen, ["_key", "_key2"], "left_semi")
-    return kept.dropDuplicates(["_key", "_key2"]).select(*docs.columns)
+    chosen = chosen.select(f"row.{key}", f"row.{key2}")
+    kept = keyed.join(chosen, [key, key2], "left_semi")
+    return kept.dropDuplicates([key, key2]).select(*docs.columns)
 
 
 def representatives(docs: DataFrame, words: int = 3, budget: int = 2, seed: int = 42) -> DataFrame:

@@ -8,9 +8,9 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from shoptrail.llm import mixing, queries, toxicity
-from tests.llm.helpers import SF_DIR, components, documents, load, words
+from tests.llm.helpers import SF_DIR, documents, load, words
+from tests.llm.test_near_copies import plain_kept
 from tests.llm.test_packing import check_places, plain_pieces
-from tests.llm.test_simhash import plain_print
 from tests.llm.test_substrings import plain as plain_removal
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -50,12 +50,9 @@ def test_toxic_documents_go(spark, steps):
 
 
 def test_one_document_of_each_group_stays(steps):
+    """Of each group linked by a similarity of 0.8 over 5-word shingles the smallest id."""
     before = rows(steps["toxicity"])
-    prints = {d: plain_print(t) for d, t in before}
-    ids = sorted(prints)
-    links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]
-             if (prints[a] ^ prints[b]).bit_count() <= 2]
-    keep = set(components(ids, links).values())
+    keep = plain_kept(sorted(before))
     assert rows(steps["simhash"]) == {(d, t) for d, t in before if d in keep}
 
 
