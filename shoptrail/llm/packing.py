@@ -18,6 +18,11 @@ from shoptrail.session import materialize
 # The sign that ends most words with a sign; letters and signs are encoded apart.
 _SIGN = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
+# A sign that follows none of the Latin letters and digits may belong to a run of signs.
+_RUN = re.compile(
+    rb"[.,](?<![a-z0-9].)(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].)[ \n]", re.DOTALL
+)
+
 # Words of Latin letters whose lower case is one letter each.
 _LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿŒœ]+")
 
@@ -27,11 +32,12 @@ class _Encoder:
 
     The tokenizer lower-cases, drops white space, and joins no text across it, nor letters with a
     full stop or comma. So texts are cut there, and each distinct part is encoded once and
-    remembered. New parts of letters are encoded together as one text, whose ids are cut where a
-    word ends, which the vocabulary shows.
+    remembered. When more than ``most`` are, those go that were met in one batch of texts only;
+    frequent words stay. New parts of letters are encoded together as one text, whose ids are cut
+    where a word ends, which the vocabulary shows.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -39,6 +45,7 @@ class _Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
+        self.often: set[bytes] = set()
 
     def _encode(self, text: str) -> np.ndarray:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -72,14 +79,23 @@ class _Encoder:
     def _split(text: bytes) -> list[bytes]:
         if b"<|" in text:  # may name a special token, which keeps its case and signs
             return text.split()
-        return _SIGN.sub(rb" \1", text.lower()).split()
+        text = text.lower()
+        if _RUN.search(text):
+            return _SIGN.sub(rb" \1", text).split()
+        for sign in (b". ", b", ", b".\n", b",\n"):
+            text = text.replace(sign, b" " + sign)
+        return text.split()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         split = [self._split(text) for text in texts]
-        new = {word for word in set().union(*split) if word not in self.words}
+        met = set().union(*split)
+        known = met & self.words.keys()
+        new = met - known
+        self.often |= known
         if len(self.words) + len(new) > self.most:
-            self.words.clear()
-            new = set().union(*split)
+            if len(self.often) > 3 * self.most // 4:
+                self.often = known
+            self.words = {word: self.words[word] for word in self.often}
         self._learn(new)
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
