@@ -1,6 +1,7 @@
 """Tables of counts that grow by micro-batches.
 
-A micro-batch adds its own counts under ``live/batch_id=N/date=D``. Old batches are summed into
+A micro-batch adds its own counts under ``live/batch_id=N``, in few files whatever the number of
+days it touches, so that a batch of late clicks costs no more. Old batches are summed into
 ``base/upto=M/date=D``, which stands for all batches up to M of the days it holds. Every folder
 is written as a whole and counts once it is complete; readers take the newest base of each day and
 the batches after the last base.
@@ -50,46 +51,58 @@ def day_folders(
     return found
 
 
+def _live(path: str, batch_id: int) -> str:
+    return f"{path}/live/batch_id={batch_id}"
+
+
 def write_counts(counts: DataFrame, path: str, batch_id: int) -> None:
     """Add the counts of one micro-batch (column ``date`` and more).
 
     A repeated batch replaces all that its first attempt wrote, whatever days either touches.
     """
-    target = f"{path}/live/batch_id={batch_id}"
-    counts.write.mode("overwrite").partitionBy("date").parquet(target)
+    counts.write.mode("overwrite").parquet(_live(path, batch_id))
+
+
+def read_batch(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame:
+    """The counts that one micro-batch wrote."""
+    return spark.read.schema(schema).parquet(_live(path, batch_id))
+
+
+def _days_of(spark: SparkSession, folders: Sequence[str]) -> list[str]:
+    """The days in live folders, from their column ``date`` alone."""
+    if not folders:
+        return []
+    days = spark.read.schema("date string").parquet(*folders).distinct().collect()
+    return sorted(r.date for r in days if r.date is not None)
 
 
 def batch_days(spark: SparkSession, path: str, batch_id: int) -> list[str]:
     """The days that a micro-batch wrote."""
-    folders = glob_paths(spark, f"{path}/live/batch_id={batch_id}/date=*")
-    return sorted(_FOLDER.search(folder)[3] for folder in folders)
+    return _days_of(spark, glob_paths(spark, _live(path, batch_id)))
 
 
 def all_days(spark: SparkSession, path: str) -> list[str]:
     """The days with counts."""
-    folders = glob_paths(spark, f"{path}/base/upto=*/date=*") + glob_paths(
-        spark, f"{path}/live/batch_id=*/date=*"
-    )
-    return sorted({_FOLDER.search(folder)[3] for folder in folders})
+    bases = glob_paths(spark, f"{path}/base/upto=*/date=*")
+    live = [_live(path, n) for n in complete(spark, path, "live/batch_id")]
+    return sorted({_FOLDER.search(f)[3] for f in bases} | set(_days_of(spark, live)))
 
 
 def _chosen(
     spark: SparkSession, path: str, days: Iterable[str] | None, before: int | None = None
 ) -> dict[str, list[str]]:
-    """The day folders that make up the counts, by kind."""
-    days = None if days is None else list(days)
+    """The folders that make up the counts, by kind: those of days, and those of batches."""
     bases = complete(spark, path, "base/upto")
     newest: dict[str, tuple[int, str]] = {}
     for upto, day, folder in day_folders(spark, path, "base/upto", bases, days):
         newest[day] = max(newest.get(day, (-1, "")), (upto, folder))
     last = max(bases, default=-1)
-    live = [
-        n for n in complete(spark, path, "live/batch_id")
-        if n > last and (before is None or n < before)
-    ]
     return {
         "base": sorted(folder for _, folder in newest.values()),
-        "live": [f for _, _, f in day_folders(spark, path, "live/batch_id", live, days)],
+        "live": [
+            _live(path, n) for n in complete(spark, path, "live/batch_id")
+            if n > last and (before is None or n < before)
+        ],
     }
 
 
@@ -99,14 +112,18 @@ def read_counts(
 ) -> DataFrame:
     """The current ``click_count`` of every key, from the folders complete at the call.
 
-    With ``days`` only the folders of these days are listed and read; with ``before`` only
-    batches older than that.
+    With ``days`` only the folders of these days are listed and read, and of the few batches since
+    only their rows; with ``before`` only batches older than that.
     """
+    days = None if days is None else list(days)
     rows = spark.createDataFrame([], schema)
     for kind, folders in _chosen(spark, path, days, before).items():
         if folders:
             reader = spark.read.schema(schema).option("basePath", f"{path}/{kind}")
-            rows = rows.unionByName(reader.parquet(*folders).select(*schema.fieldNames()))
+            part = reader.parquet(*folders).select(*schema.fieldNames())
+            if kind == "live" and days is not None:
+                part = part.where(F.col("date").isin(days))
+            rows = rows.unionByName(part)
     return rows.groupBy(*keys).agg(F.sum("click_count").alias("click_count"))
 
 
@@ -126,13 +143,13 @@ def merge(
     ripe = [n for n in every if last < n < running]
     if len(ripe) < (max_batches or MAX_LIVE_BATCHES):
         return
-    days = sorted({day for _, day, _ in day_folders(spark, path, "live/batch_id", ripe, None)})
+    days = _days_of(spark, [_live(path, n) for n in ripe])
     summed = read_counts(spark, path, schema, keys, days, before=running)
     summed.write.mode("overwrite").partitionBy("date").parquet(f"{path}/base/upto={ripe[-1]}")
     remove = delete or (lambda folder: delete_folder(spark, folder))
     for number in every:
         if number <= last:
-            remove(f"{path}/live/batch_id={number}")
+            remove(_live(path, number))
     older = day_folders(spark, path, "base/upto", bases, None)
     newest: dict[str, int] = {}
     for upto, day, _ in older:

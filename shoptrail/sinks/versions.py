@@ -5,20 +5,22 @@ before stays until later batches make it superfluous, so a repeated batch starts
 attempt started from, and readers that have listed a folder still find it.
 """
 
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from shoptrail.sinks.keyed import complete, day_folders, delete_folder, write_counts
+from shoptrail.sinks.keyed import complete, day_folders, delete_folder
 
 _KIND = "live/batch_id"
 
 
-def write_days(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Replace the days in ``rows`` (column ``date`` and more) as of a micro-batch; a repeated batch
-    replaces all that its first attempt wrote."""
-    write_counts(rows, path, batch_id)
+def write_days(rows: DataFrame, path: str, batch_id: int, days: Collection[str]) -> None:
+    """Replace ``days`` as of a micro-batch by ``rows`` (column ``date`` and more); a repeated batch
+    replaces all that its first attempt wrote. Each day is one small file."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(max(1, min(tasks, len(days))), "date")
+    dealt.write.mode("overwrite").partitionBy("date").parquet(f"{path}/{_KIND}={batch_id}")
 
 
 def _versions(

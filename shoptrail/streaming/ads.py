@@ -18,7 +18,14 @@ from shoptrail import schemas
 from shoptrail.functions.datetimes import format_date
 from shoptrail.operators import ads
 from shoptrail.sinks.blacklist import PinnedBlacklist
-from shoptrail.sinks.keyed import all_days, batch_days, merge, read_counts, write_counts
+from shoptrail.sinks.keyed import (
+    all_days,
+    batch_days,
+    merge,
+    read_batch,
+    read_counts,
+    write_counts,
+)
 from shoptrail.sinks.versions import drop_superseded, read_days, write_days
 
 # Fixed value: the micro-batch interval of the reports.
@@ -78,9 +85,9 @@ def update_province_top3(
     path = f"{stat_path}/province"
     days = batch_days(spark, path, batch_id)
     if not days:
-        write_days(spark.createDataFrame([], _TOP3), top3_path, batch_id)
+        write_days(spark.createDataFrame([], _TOP3), top3_path, batch_id, days)
         return
-    touched = spark.read.schema(_PROVINCE).parquet(f"{path}/live/batch_id={batch_id}")
+    touched = read_batch(spark, path, batch_id, _PROVINCE)
     # The semi-join is pushed below the sum: counts of other ads are not even shuffled.
     totals = read_counts(spark, path, _PROVINCE, _PROVINCE_KEYS, days).join(
         touched.select(*_PROVINCE_KEYS), list(_PROVINCE_KEYS), "left_semi"
@@ -88,7 +95,7 @@ def update_province_top3(
     dated = [str(datetime.strptime(day, "%Y%m%d").date()) for day in days]
     before = read_days(spark, top3_path, _TOP3, dated, before=batch_id)
     best = ads.next_top3(before, ads.with_text_date(totals))
-    write_days(best, top3_path, batch_id)
+    write_days(best, top3_path, batch_id, dated)
     drop_superseded(spark, top3_path, batch_id, dated)
 
 
@@ -106,10 +113,7 @@ def start_ad_stat(
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         city, province = f"{stat_path}/city", f"{stat_path}/province"
         write_counts(ads.ad_stat(_allowed(batch, blacklist, batch_id)), city, batch_id)
-        if batch_days(spark, city, batch_id):
-            written = spark.read.schema(_STAT).parquet(f"{city}/live/batch_id={batch_id}")
-        else:
-            written = spark.createDataFrame([], _STAT)
+        written = read_batch(spark, city, batch_id, _STAT)
         summed = written.groupBy(*_PROVINCE_KEYS).agg(F.sum("click_count").alias("click_count"))
         write_counts(summed, province, batch_id)
         if top3_path is not None:

@@ -104,7 +104,7 @@ def test_versions_of_days(spark, tmp_path):
 
     assert read_days(spark, path, TOP3).count() == 0
     for batch, (d, n) in enumerate([("a", 1), ("b", 2), ("a", 3), ("a", 4), ("a", 5)]):
-        write_days(day(d, n), path, batch)
+        write_days(day(d, n), path, batch, [d])
     assert [r[3] for r in rows(read_days(spark, path, TOP3))] == [5, 2]
     assert [r[3] for r in rows(read_days(spark, path, TOP3, before=4))] == [4, 2]
     opened = read_days(spark, path, TOP3, before=4)

@@ -11,7 +11,7 @@ from shoptrail.sinks import keyed
 from shoptrail.sinks.keyed import all_days, batch_days, merge, read_counts, write_counts
 from shoptrail.sources.streams import file_ad_log
 from shoptrail.streaming import ads as stream
-from tests.helpers import rows
+from tests.helpers import plan, rows
 from tests.test_ads import line, log
 
 NOW = {"availableNow": True}
@@ -161,7 +161,12 @@ def test_last_hour_reads_two_days_at_most(spark, feed, tmp_path):
     run_trend(spark, feed, tmp_path)
     last = stream.read_last_hour(spark, str(tmp_path / "trend"))
     assert [r[:3] for r in rows(last)] == [("2024-01-05", "23", "50"), ("2024-01-06", "00", "20")]
-    assert {f.split("date=")[1][:10] for f in last.inputFiles()} == {"2024-01-05", "2024-01-06"}
+    assert "PushedFilters: [In(date, [2024-01-05,2024-01-06])" in plan(last)
+    # Days of merged batches are folders, and only those needed are listed.
+    merge(spark, str(tmp_path / "trend"), stream._TREND, schemas.AD_CLICK_TREND_KEYS, 1, 1)
+    merged = stream.read_last_hour(spark, str(tmp_path / "trend"))
+    assert rows(merged) == rows(last)
+    assert {f.split("date=")[1][:10] for f in merged.inputFiles()} == {"2024-01-05", "2024-01-06"}
 
 
 def test_trend_can_leave_out_blacklisted_users(spark, feed, tmp_path):
@@ -305,7 +310,7 @@ def test_one_hour_is_written_by_several_tasks(spark, tmp_path):
         merge(spark, str(path), layout, KEYS, 2, max_batches=2)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert len(list(path.glob("live/batch_id=1/date=d1/*.parquet"))) > 2
+    assert len(list(path.glob("live/batch_id=1/*.parquet"))) > 2
     assert len(list(path.glob("base/upto=1/date=d1/*.parquet"))) > 2
     assert current(spark, path)[0][2] == 2
 
