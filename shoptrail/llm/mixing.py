@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoptrail.llm.text import word_count
+from shoptrail.llm.text import free_names, word_count
 from shoptrail.session import materialize
 
 # The draw of a document: the first 48 bits of a digest, as a share of 2**48.
@@ -72,16 +72,17 @@ def mix_plan(docs: DataFrame, weights: DataFrame | None = None, most: float = 3.
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     if weights is None:
         weights = weights_in_turn(sizes)
+    (source,) = free_names(sized, "_source")
     goal = materialize(
-        targets(sizes, weights, most).withColumnRenamed("source", "_source"), "mix-targets"
+        targets(sizes, weights, most).withColumnRenamed("source", source), "mix-targets"
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     draw = F.expr(_DRAW.format(seed=seed))
     whole = F.floor(rate)
     extra = (draw < rate - whole).cast("long")
     return (
-        sized.join(goal, F.col("source").eqNullSafe(F.col("_source")))
-        .drop("_source")
+        sized.join(goal, F.col("source").eqNullSafe(F.col(source)))
+        .drop(source)
         .withColumn("copies", whole + extra)
         .withColumn("taken", F.col("size") * F.col("copies"))
     )
@@ -91,5 +92,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, most: float = 3.0, se
         ) -> DataFrame:
     """The mixed documents themselves: every row as often as ``mix_plan`` takes it."""
     plan = mix_plan(docs, weights, most, seed).where("copies > 0")
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-                           ).select(*docs.columns)
+    (copy,) = free_names(plan, "_copy")
+    return plan.withColumn(
+        copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    ).select(*docs.columns)

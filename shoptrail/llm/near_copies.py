@@ -171,11 +171,13 @@ def _compare(similarity: float, agree: float, best: bool):
     return run
 
 
-def _met(placed: DataFrame, similarity: float, agree: float, best: bool, block: int) -> DataFrame:
+def _met(placed: DataFrame, classes: DataFrame, similarity: float, agree: float, best: bool,
+         block: int) -> DataFrame:
     """(a, b): likely pairs of sets in different parts that share a band.
 
-    ``placed`` has band, set, size, part and minima. A band of many sets is cut into blocks, each
-    pair of blocks is compared by one task on the minima alone, and only likely pairs come back.
+    ``placed`` has band, set and part, ``classes`` set, size and minima. A band of many sets is cut
+    into blocks, each pair of blocks is compared by one task on the minima alone, and only likely
+    pairs come back.
     """
     sizes = placed.groupBy("band").agg(
         F.count("*").alias("sets"), F.min("part").alias("x"), F.max("part").alias("y")
@@ -184,7 +186,8 @@ def _met(placed: DataFrame, similarity: float, agree: float, best: bool, block:
     sizes = sizes.where("x <> y").select(
         "band", F.expr(f"CAST(1 + (sets - 1) div {block} AS INT)").alias("blocks")
     )
-    rows = placed.join(sizes, "band").withColumn(
+    rows = materialize(placed.join(sizes, "band"), "copies-open")
+    rows = rows.join(classes.select("set", "size", "minima"), "set").withColumn(
         "block", F.expr("CAST(pmod(xxhash64(set, 1), blocks) AS INT)")
     )
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -274,25 +277,28 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
         "copies-classes",
     )
     marks = classes.select("set", "mark.*")
-    texts = materialize(
-        named.select("mark", "mark2", "body").join(marks, ["mark", "mark2"])
-        .select("set", "body").dropDuplicates(["set"]),
-        "copies-texts",
-    )
+    bands_of = classes.select("set", F.explode("bands").alias("band"))
+    shared = bands_of.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    bands_of = materialize(bands_of.join(shared, "band", "left_semi"), "copies-bands")
 
     def parts(links):
         roots = connected_components(links, "copies-parts")
         return roots.select(F.col("node").alias("set"), "component")
 
-    def placed(links):
-        """The sets in their bands with their parts."""
-        rows = classes.select("set", "size", "minima", F.explode("bands").alias("band"))
-        groups = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-        return rows.join(groups, "band", "left_semi").join(parts(links), "set", "left").select(
-            "band", "set", "size", "minima", F.coalesce("component", "set").alias("part")
+    def met(links, best):
+        placed = bands_of.join(parts(links), "set", "left").select(
+            "band", "set", F.coalesce("component", "set").alias("part")
         )
+        return _met(placed, classes, similarity, agree, best, block)
 
     def checked(pairs):
+        """Those written pairs that are similar enough, by one text of each set in them."""
+        sets = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+        needed = materialize(sets.join(marks, "set"), "copies-needed")
+        texts = named.select("mark", "mark2", "body").join(needed, ["mark", "mark2"])
+        texts = materialize(
+            texts.select("set", "body").dropDuplicates(["set"]), "copies-texts"
+        )
         return materialize(_verified(pairs, texts, words, similarity, seed), "copies-links")
 
     tree = connected_components(
@@ -306,14 +312,12 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
         "a", F.col("set").alias("b"))
     stars = materialize(stars, "copies-stars")
     links = checked(stars)
-    likely = materialize(
-        _met(placed(links), similarity, agree, True, block).join(stars, ["a", "b"], "left_anti"),
-        "copies-likely",
-    )
+    likely = met(links, True).join(stars, ["a", "b"], "left_anti")
+    likely = materialize(likely, "copies-likely")
     links = links.unionByName(checked(likely))
-    rest = _met(placed(links), similarity, agree, False, block)
     tried = stars.unionByName(likely)
-    links = links.unionByName(checked(rest.join(tried, ["a", "b"], "left_anti")))
+    rest = met(links, False).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(checked(materialize(rest, "copies-rest")))
     found = sets.join(parts(links), "set", "left").select(
         *kept, F.coalesce("component", "set").alias("component")
     )

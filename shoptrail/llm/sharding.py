@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoptrail.llm.text import free_names
+
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     """The shard (from 0) that draws the lowest -ln(u) / weight for ``key``.
@@ -40,17 +42,18 @@ def shard(docs: DataFrame, weights: Sequence[float], key: str = "doc_id",
     """
     rows = docs.drop("shard", "slot").withColumn("shard", rendezvous(F.col(key), weights))
     parts = max(1, docs.count() // (part_rows * max(1, len(weights))))
+    part, size, earlier, place = free_names(rows, "_part", "_rows", "_before", "_own")
     mixed = F.xxhash64(key, *tie, F.lit("slot"))
-    rows = rows.withColumn("_part", F.pmod(mixed, F.lit(parts)).cast("int"))
-    counts = rows.groupBy("shard", "_part").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(
+    rows = rows.withColumn(part, F.pmod(mixed, F.lit(parts)).cast("int"))
+    counts = rows.groupBy("shard", part).agg(F.count("*").alias(size))
+    before = Window.partitionBy("shard").orderBy(part).rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = counts.select(
-        "shard", "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
+        "shard", part, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(earlier)
     )
-    own = Window.partitionBy("shard", "_part").orderBy(key, *tie)
-    numbered = rows.withColumn("_own", F.row_number().over(own) - 1)
-    return numbered.join(offsets, ["shard", "_part"]).withColumn(
-        "slot", (F.col("_before") + F.col("_own")).cast("long")
-    ).drop("_part", "_own", "_before")
+    own = Window.partitionBy("shard", part).orderBy(key, *tie)
+    numbered = rows.withColumn(place, F.row_number().over(own) - 1)
+    return numbered.join(offsets, ["shard", part]).withColumn(
+        "slot", (F.col(earlier) + F.col(place)).cast("long")
+    ).drop(part, place, earlier)

@@ -210,7 +210,9 @@ class ToxicityModel:
     constant: float = 0.0
 
     def annotate(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with a column ``score``; other columns stay, texts included."""
+        """``docs`` with a column ``score``; other columns stay, texts included, except those with
+        names that Spark ML adds on the way: features, raw, vector, rawPrediction, probability,
+        prediction, and an older score."""
         clash = ("features", "raw", "vector", "rawPrediction", "probability", "prediction", "score")
         keep = [c for c in docs.columns if c not in clash]
         return self._score(with_features(docs, self.lexicon, keep))

@@ -79,3 +79,11 @@ def test_edge_rows(spark):
     assert mixed.columns == docs.drop("_source").columns
     assert mixed.count() == sum(r.copies for r in got)
     assert mixing.mix_plan(docs.drop("_source").where("false")).count() == 0
+
+
+def test_clashing_names_stay(spark):
+    docs = documents(spark, [(i, "a b c", "s") for i in range(9)], _source=F.lit("x"),
+                     _COPY=F.lit("y"))
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns
+    assert got.where("_source = 'x' AND _copy = 'y'").count() == got.count() > 0

@@ -1,8 +1,12 @@
 """Rendezvous shards: balance, small moves, slots."""
 
+import math
+import struct
 import zlib
 from collections import Counter
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from shoptrail.llm import queries, sharding
@@ -25,6 +29,39 @@ def test_query(spark):
     assert 5 < moved < 60
 
 
+def plain_shard(key, weights):
+    """The shard with the lowest -ln(u) / weight, from hashes of key and shard."""
+    seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+    draws = []
+    for shard, weight in enumerate(weights):
+        if weight > 0:
+            bits = xxhash.xxh64_intdigest(struct.pack("<i", shard), seed=seed) >> 11
+            draws.append((-math.log((bits + 0.5) / 2**53) / weight, shard))
+    return min(draws)[1]
+
+
+def test_query_equals_plain_rendezvous(spark):
+    for r in queries.op4_sharding(spark, SF_DIR).collect():
+        assert r.shard == plain_shard(r.doc_id, [1.0] * 40)
+        assert r.grown_shard == plain_shard(r.doc_id, [1.0] * 41)
+
+
+@pytest.mark.parametrize("weights", [[1.0], [0.0, 3.0], [1.0, 2.5, 0.0, 0.25, 7.0]])
+def test_weighted_shards_equal_plain_rendezvous(spark, weights):
+    keys = [None, 0, -1, 1, 2**63 - 1, -(2**63), *range(1000, 1300)]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = rows.withColumn("s", sharding.rendezvous(F.col("k"), weights)).collect()
+    assert [r.s for r in got] == [plain_shard(k, weights) for k in keys]
+
+
+def test_clashing_names_stay(spark):
+    clash = dict.fromkeys(["_part", "_OWN", "_before", "_rows"], F.lit("x"))
+    docs = documents(spark, [(i, "t") for i in range(50)], **clash)
+    got = sharding.shard(docs, [1.0] * 3, part_rows=5)
+    assert sorted(got.columns) == sorted([*docs.columns, "shard", "slot"]) and got.count() == 50
+    assert got.where("_part = 'x' AND _own = 'x' AND _before = 'x' AND _rows = 'x'").count() == 50
+
+
 def test_weights_and_moves(spark):
     rows = spark.range(40_000).withColumnRenamed("id", "k")
     heavy = rows.withColumn("s", sharding.rendezvous(F.col("k"), [1.0, 2.0, 0.0, 5.0]))

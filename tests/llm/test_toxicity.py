@@ -1,5 +1,6 @@
 """Toxicity on held-out labels, and edge rows."""
 
+import re
 import zlib
 
 from pyspark.sql import functions as F
@@ -50,3 +51,34 @@ def test_word_kinds():
     assert names["learned_density"] == 1 / 9 and names["stem_density"] == 1 / 9
     assert names["shouted_share"] == 1 / 9 and names["symbol_run_share"] == 1 / 9
     assert names["hits_near_second_person"] == 1 / 9 and names["hits_in_a_window"] == 4
+
+
+def test_features_equal_a_plain_version(spark):
+    """Shares that a regular expression can count, over whole documents."""
+    docs = load(spark).orderBy("doc_id").limit(150)
+    kinds = toxicity._Kinds(toxicity.Lexicon())
+    for r in docs.collect():
+        text = r.text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        bare = [toxicity._EDGES.sub("", w) for w in words]
+        n, size = max(1, len(words)), max(1, len(text.encode()))
+        got = dict(zip(toxicity.FEATURES, toxicity.text_features(text.encode(), kinds),
+                       strict=True))
+        you = [i for i, w in enumerate(bare) if w.lower() in toxicity.SECOND_PERSON]
+        hits = [i for i, w in enumerate(bare) if w.lower() in toxicity.INSULTS]
+        assert got["insult_density"] == len(hits) / n
+        assert got["second_person_density"] == len(you) / n
+        assert got["shouted_share"] == sum(len(w) > 1 and w.isupper() for w in bare) / n
+        assert got["exclamation_rate"] == text.count("!") / n
+        assert got["capital_share"] == len(re.findall("[A-Z]", text)) / size
+
+
+def test_calibrated_scores_rise_with_raw_ones(spark):
+    docs, labels = load(spark), load(spark, "labels")
+    model = toxicity.train(docs, labels)
+    featured = toxicity.with_features(docs, model.lexicon, ["doc_id"])
+    scored = model.annotate(docs).select("doc_id", "score")
+    rows = toxicity._raw(model.trees, featured).select("doc_id", "raw").join(scored, "doc_id")
+    pairs = sorted((r.raw, r.score) for r in rows.collect())
+    assert len({s for _, s in pairs}) > 1
+    assert all(a[1] <= b[1] for a, b in zip(pairs, pairs[1:], strict=False))
