@@ -1,7 +1,6 @@
 """DuckDB SQL of those queries that SQL can express; the others are tested by brute force."""
 
-from shoptrail.llm.licenses import BASE_PHRASES, FREEDOM, NOTICE_PHRASES
-
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SPACE = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -57,27 +56,36 @@ SELECT doc_id, size, source_size, target,
 FROM rated"""
 
 
+# Stated here anew, not taken from the library: phrases with their labels and values.
+_BASE = [("cc by", "cc-by", 0.9), ("general public license", "gpl", 0.4),
+         ("all rights reserved", "reserved", 0.0)]
+_NOTICES = [
+    ("mit license", "mit", 1.0), ("permission is hereby granted free of charge", "mit", 1.0),
+    ("apache license", "apache", 1.0), ("bsd license", "bsd", 1.0),
+    ("redistribution and use in source and binary forms", "bsd", 1.0),
+    ("isc license", "isc", 1.0), ("mozilla public license", "mpl", 0.7),
+    ("eclipse public license", "epl", 0.7), ("lesser general public license", "lgpl", 0.6),
+    ("affero general public license", "agpl", 0.2), ("cc by nc", "cc-by-nc", 0.2),
+    ("cc by nd", "cc-by-nd", 0.3), ("cc by sa", "cc-by-sa", 0.6), ("cc0 1 0", "cc0", 1.0),
+    ("public domain", "public-domain", 1.0), ("proprietary and confidential", "proprietary", 0.0),
+]
+
+
 def _licenses() -> str:
     base = " UNION ALL ".join(
         f"SELECT r, CAST(i - 1 AS BIGINT) AS word, '{label}' AS label FROM split,"
         f" unnest(range(1, len(w) + 1)) AS t(i)"
         f" WHERE w[i:i + {len(phrase.split()) - 1}] = {phrase.split()}"
-        for phrase, label in BASE_PHRASES.items()
+        for phrase, label, _ in _BASE
     )
-
-    def value(label: str) -> float:
-        return FREEDOM[max((p for p in FREEDOM if label.startswith(p)), key=len)]
-
     every = ", ".join(
-        f"CASE WHEN contains(s, ' {phrase} ') THEN struct_pack(l := '{label}', f := {value(label)})"
-        " END"
-        for phrase, label in (NOTICE_PHRASES | BASE_PHRASES).items()
+        f"CASE WHEN contains(s, ' {phrase} ') THEN struct_pack(l := '{label}', f := {value}) END"
+        for phrase, label, value in _NOTICES + _BASE
     )
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return rf"""
 WITH split AS (
     SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
-        translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{_ALNUM}') AS w
+        translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_ALNUM}') AS w
     FROM documents),
 places AS ({base}),
 found AS (
@@ -173,8 +181,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR word_chars > 15 * n_words OR word_chars < 2 * n_words) AS kept
 FROM counted"""
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
 _PHRASES = rf"""
 WITH pieces AS (
     SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
