@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,89 +16,102 @@ from shoptrail.llm.text import lean, slices
 from shoptrail.session import materialize
 
 
-# The sign that ends most words with a sign; letters and signs are encoded apart.
-_SIGN = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
-
-# A sign that follows none of the Latin letters and digits may belong to a run of signs.
-_RUN = re.compile(
-    rb"[.,](?<![a-z0-9].)(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].)[ \n]", re.DOTALL
-)
-
-# Words of Latin letters whose lower case is one letter each.
-_LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿŒœ]+")
+# Words of Latin letters whose lower case is one letter each, and the signs that may follow.
+_LETTERS = re.compile(r"([a-zÀ-ÖØ-öø-ÿŒœ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class _Encoder:
     """Ids of words as packed 32-bit numbers, by a tokenizer of the tokenizers library.
 
-    The tokenizer lower-cases, drops white space, and joins no text across it, nor letters with a
-    full stop or comma. So texts are cut there, and each distinct part is encoded once and
-    remembered. When more than ``most`` are, those go that were met in one batch of texts only;
-    frequent words stay. New parts of letters are encoded together as one text, whose ids are cut
-    where a word ends, which the vocabulary shows.
+    The tokenizer lower-cases, drops white space, and joins no text across it, nor letters with
+    signs. So texts are cut at white space, and each distinct word is encoded once and remembered.
+    When ``most`` are, those go that half as many others were met without them; frequent words
+    stay. New words of letters are encoded many at a time as one text, whose ids are cut where a
+    word ends, which the vocabulary shows; they need none of the tokenizer's patterns, so its model
+    encodes them behind a split at blanks. Signs that follow them are encoded apart.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 600_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(),
+            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+        ])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # Words met lately, and those met before them.
         self.words: dict[bytes, bytes] = {}
-        self.often: set[bytes] = set()
+        self.before: dict[bytes, bytes] = {}
+
+    def _letters(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each of ``texts``, all of letters only."""
+        for start in range(0, len(texts), 200):
+            text = " ".join(texts[start : start + 200]).lower()
+            found = self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            ids = np.array(found, "<u4")
+            data, at = ids.tobytes(), 0
+            for cut in (4 * np.flatnonzero(self.ends[ids]) + 4).tolist():
+                yield data[at:cut]
+                at = cut
 
-    def _encode(self, text: str) -> np.ndarray:
-        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return np.array(found, "<u4")
+    def _others(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each of ``texts``."""
+        for start in range(0, len(texts), 5_000):
+            for found in self.tokenizer.encode_batch_fast(
+                texts[start : start + 5_000], add_special_tokens=False
+            ):
+                yield np.array(found.ids, "<u4").tobytes()
 
-    def _learn(self, new: set[bytes]) -> None:
-        letters, texts, rest = [], [], []
+    def _learn(self, new: list[bytes]) -> None:
+        letters, heads, tails, rest, texts = [], [], [], [], []
         for word in new:
             text = word.decode("utf-8", "replace")
-            if _LETTERS.fullmatch(text):
+            found = _LETTERS.fullmatch(text)
+            if found:
                 letters.append(word)
+                heads.append(found[1])
+                tails.append(found[2])
+            else:
+                rest.append(word)
                 texts.append(text)
+        signs = list(set(tails) - {""})
+        signs = dict(zip(signs, self._others(signs), strict=True)) | {"": b""}
+        for word, ids, tail in zip(letters, self._letters(heads), tails, strict=True):
+            self.words[word] = ids + signs[tail]
+        self.words.update(zip(rest, self._others(texts), strict=True))
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        missing = [word for word in words if word not in self.words]
+        if len(self.words) + len(missing) > self.most // 2:
+            self.before, self.words, missing = self.words, {}, words
+        new = []
+        for word in missing:
+            ids = self.before.get(word)
+            if ids is None:
+                new.append(word)
             else:
-                rest.append((word, text))
-        for start in range(0, len(rest), 5_000):
-            part = rest[start : start + 5_000]
-            found = self.tokenizer.encode_batch_fast(
-                [text for _, text in part], add_special_tokens=False
-            )
-            for (word, _), encoding in zip(part, found, strict=True):
-                self.words[word] = np.array(encoding.ids, "<u4").tobytes()
-        for start in range(0, len(texts), 20_000):
-            ids = self._encode(" ".join(texts[start : start + 20_000]))
-            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            data, at = ids.tobytes(), 0
-            for word, cut in zip(letters[start : start + 20_000], cuts, strict=True):
-                self.words[word] = data[at:cut]
-                at = cut
-
-    @staticmethod
-    def _split(text: bytes) -> list[bytes]:
-        if b"<|" in text:  # may name a special token, which keeps its case and signs
-            return text.split()
-        text = text.lower()
-        if _RUN.search(text):
-            return _SIGN.sub(rb" \1", text).split()
-        for sign in (b". ", b", ", b".\n", b",\n"):
-            text = text.replace(sign, b" " + sign)
-        return text.split()
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [self._split(text) for text in texts]
-        met = set().union(*split)
-        known = met & self.words.keys()
-        new = met - known
-        self.often |= known
-        if len(self.words) + len(new) > self.most:
-            if len(self.often) > 3 * self.most // 4:
-                self.often = known
-            self.words = {word: self.words[word] for word in self.often}
+                self.words[word] = ids
         self._learn(new)
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+        return [self.words[word] for word in words]
+
+    def ids(self, bodies: pa.Array) -> list[bytes]:
+        """The ids of every text (binary; NULL has none)."""
+        texts = bodies.fill_null(b"").view(pa.string())
+        # What may name a special token keeps its case.
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        ids = self._known(words.dictionary.view(pa.binary()).to_pylist())
+        ids = pa.array(ids, pa.large_binary()).take(words.indices)
+        edges = np.frombuffer(ids.buffers()[1], np.int64, count=len(ids) + 1)
+        cuts = edges[split.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        return [bytes(data[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 @lru_cache(maxsize=1)
@@ -116,8 +130,7 @@ def _pieces(path: str, capacity: int, end: int, keep: list[str]):
         step = 4 * capacity
         for batch in slices(batches, "body", 4 << 20):
             row, piece, ids = [], [], []
-            bodies = [body or b"" for body in batch.column("body").to_pylist()]
-            for i, found in enumerate(encoder.ids(bodies)):
+            for i, found in enumerate(encoder.ids(batch.column("body"))):
                 found += last
                 for k in range(0, len(found), step):
                     row.append(i), piece.append(k // step), ids.append(found[k : k + step])

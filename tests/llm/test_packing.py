@@ -1,9 +1,11 @@
 """Packing: round trips, capacity, and the lower bound."""
 
+import random
 import zlib
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -92,3 +94,36 @@ def test_lower_bound_never_exceeds_the_best_packing():
         met += low == want
     assert met > 50
     assert packing.lower_bound(np.array([7, 7, 7]), 12) == 3  # more than the sum says
+
+
+class _Counted:
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_letters_need_no_pattern_and_signs_are_encoded_once():
+    encoder = packing._Encoder(queries.tokenizer_path())
+    encoder.tokenizer = counted = _Counted(encoder.tokenizer)
+    texts = [f"Word{'x' * i}$$$ über{'é' * i}. plain{'y' * i}" for i in range(1, 60)] + [None]
+    found = encoder.ids(pa.array([t and t.encode() for t in texts], pa.binary()))
+    assert sorted(filter(None, counted.texts)) == ["$$$", "."]
+    want = counted.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+    assert found == [np.array(w.ids, "<u4").tobytes() for w in want]
+
+
+@pytest.mark.parametrize("most", [8, 600_000])
+def test_encoder_equals_the_tokenizer(tokenizer, most):
+    rng = random.Random(1)
+    signs = "\x0b\x1c\x85\xa0abzAÀÉßŒ.,!?$%&'()<|>*+-/:;=@[]\\^_`{}~#\"0 9x́ \n\t"
+    texts = ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(3000)]
+    texts += ["It's don't''ll a<|endoftext|>b A.<|startoftext|> x$$$ Y.,' z.'s"]
+    encoder = packing._Encoder(queries.tokenizer_path(), most)
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        want = tokenizer.encode_batch_fast(part, add_special_tokens=False)
+        found = encoder.ids(pa.array([t.encode() for t in part], pa.binary()))
+        assert found == [np.array(w.ids, "<u4").tobytes() for w in want]
