@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoptrail.llm.text import lean, lean_group, slices
+from shoptrail.llm.text import give_back, lean, lean_group, slices
 from shoptrail.session import materialize
 
 # Characters that end a piece of a text, and those between words.
@@ -144,29 +145,48 @@ def _seed(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode(), seed=42)
 
 
+# Counts that a task holds before it passes them on, and those it passes on at once.
+_HELD_COUNTS = 100_000
+_OUT_COUNTS = 20_000
+
+# A batch of buckets has about so many bytes.
+_OUT_BYTES = 2 << 20
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words of each language, and of all its words under NULL."""
+    """Counts of the words of each language, and of all its words under NULL.
+
+    They leave in small batches and column by column, so that a worker holds little more than the
+    counts.
+    """
 
     def out():
-        rows = [(lang, word, n) for lang, c in counts.items() for word, n in c.items()]
-        rows += [(lang, None, sum(c.values())) for lang, c in counts.items()]
-        columns = zip(*rows, strict=True) if rows else [[], [], []]
-        types = (pa.string(), pa.string(), pa.int64())
+        while counts:
+            lang, found = counts.popitem()
+            total = sum(found.values())
+            words, numbers = iter(found), iter(found.values())
+            for start in range(0, len(found), _OUT_COUNTS):
+                n = min(_OUT_COUNTS, len(found) - start)
+                yield batch_of(lang, list(islice(words, n)), list(islice(numbers, n)))
+            yield batch_of(lang, [None], [total])
+
+    def batch_of(lang, words, numbers):
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+            [pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()),
+             pa.array(numbers, pa.int64())],
             names=["lang", "word", "f"],
         )
 
     counts: dict[str, Counter] = defaultdict(Counter)
-    for batch in slices(batches, 1):
+    for batch in slices(batches, 1, 1 << 20):
         for lang, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-            for run in tokens(text or b""):
+            for run in tokens(text or b"", 1 << 18):
                 counts[lang].update(run)
             counts[lang].pop(_END, None)
-        if sum(map(len, counts.values())) > 300_000:
-            yield out()
-            counts.clear()
-    yield out()
+        if sum(map(len, counts.values())) > _HELD_COUNTS:
+            yield from out()
+            give_back()
+    yield from out()
 
 
 class _WordIds(dict):
@@ -259,7 +279,9 @@ def _shards(shared: Broadcast, depth: int, most: int, bits: int):
         def rows(shard):
             found = shard.buckets(depth, bits)
             if found is not None:
-                yield found
+                step = max(1, _OUT_BYTES * found.num_rows // found.nbytes)
+                for start in range(0, found.num_rows, step):
+                    yield found.slice(start, step)
 
         for batch in slices(batches, 1, 1 << 20):
             for lang, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):

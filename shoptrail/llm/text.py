@@ -58,7 +58,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20):
             yield batch.slice(start)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -72,7 +72,7 @@ def lean(run):
     @wraps(run)
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        _give_back()
+        give_back()
 
     return task
 
@@ -83,7 +83,7 @@ def lean_group(run):
     @wraps(run)
     def task(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         out = run(key, rows)
-        _give_back()
+        give_back()
         return out
 
     return task

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -138,3 +139,16 @@ def test_bitmap_misses_no_word(spark):
         assert phrases._WordIds(lang, bits)[word.encode()] == 1
     others = phrases._WordIds("en", bits)
     assert sum(others[f"other{i}".encode()] > 0 for i in range(2000)) < 400
+
+
+def test_counts_leave_in_small_batches():
+    """However many words a task has, no batch of theirs is large."""
+    texts = [" ".join(f"w{i}" for i in range(start, start + 75_000)) for start in (0, 50_000)]
+    rows = pa.RecordBatch.from_pydict({"lang": ["en", "en"], "body": [t.encode() for t in texts]})
+    found = list(phrases._words(iter([rows])))
+    assert max(b.num_rows for b in found) <= 20_000
+    counts = Counter()
+    for b in found:
+        for r in b.to_pylist():
+            counts[r["word"]] += r["f"]
+    assert counts.pop(None) == 150_000 and counts == Counter(" ".join(texts).split())
