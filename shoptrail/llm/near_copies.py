@@ -16,9 +16,12 @@ from shoptrail.llm.components import connected_components
 from shoptrail.llm.text import lean, slices
 from shoptrail.session import materialize
 
-# Shingles whose minima are taken in one step.
+# Shingles whose minima are taken in one step, or pairs compared in one.
 _STEP = 2048
 
+# Shingles of the sets of a block, about.
+_SHINGLES = 1 << 21
+
 
 def shingle_set(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
     """The sorted distinct 64-bit hashes of all ``words``-word shingles.
@@ -70,7 +73,8 @@ def _sketches(words: int, bands: int, width: int, seed: int, keep: list[str]):
                     continue
                 least = np.min([(odd * shingles[i : i + _STEP]).min(axis=1)
                                 for i in range(0, len(shingles), _STEP)], axis=0)
-                minima.append((least >> np.uint64(32)).astype(np.uint32).tobytes())
+                least = (least >> np.uint64(32)).astype(np.uint32)
+                minima.append(least.tobytes())
                 found.append([
                     np.uint64(xxhash.xxh64_intdigest(band.tobytes(), seed=no)).astype(np.int64)
                     for no, band in enumerate(least.reshape(bands, width))
@@ -124,30 +128,110 @@ def likely_pairs(left: np.ndarray, right: np.ndarray, sizes: tuple, parts: tuple
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def _compare(similarity: float, agree: float, best: bool):
-    """Likely pairs of sets from rows that come sorted by band and pair of blocks."""
+def first_met(left: np.ndarray, right: np.ndarray, width: int, no: np.ndarray) -> np.ndarray:
+    """Whether band ``no`` is the first one in which minima, paired row by row, agree."""
+    out = np.empty(len(no), bool)
+    for at in range(0, len(no), _STEP):
+        rows = slice(at, at + _STEP)
+        agree = (left[rows] == right[rows]).reshape(len(no[rows]), -1, width).all(axis=2)
+        out[rows] = agree.any(axis=1) & (agree.argmax(axis=1) == no[rows])
+    return out
+
+
+class _Block:
+    """Two blocks of a band, or one: their sets and the likely pairs (places) among them."""
+
+    def __init__(self, rows: pa.Table, i: int, j: int, width: int, similarity: float,
+                 agree: float):
+        self.rows, self.width, self.own = rows, width, i == j
+        self.names, self.parts, self.no, block, self.sizes = (
+            rows.column(c).to_numpy() for c in ("set", "part", "no", "block", "size"))
+        minima = np.frombuffer(b"".join(rows.column("minima").to_pylist()), np.uint32)
+        self.minima = minima.reshape(len(self.names), -1)
+        self.x, self.y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        self.similarity, self.agree = similarity, agree
+
+    def pairs(self, best: bool) -> tuple[np.ndarray, np.ndarray]:
+        x, y = self.x, self.y
+        a, b = likely_pairs(self.minima[x], self.minima[y], (self.sizes[x], self.sizes[y]),
+                            (self.parts[x], self.parts[y]), self.own, self.similarity,
+                            self.agree, best)
+        return x[a], y[b]
+
+    def first_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Those likely pairs that meet in no earlier band."""
+        a, b = self.pairs(False)
+        new = first_met(self.minima[a], self.minima[b], self.width, self.no[a])
+        return a[new], b[new]
+
+    def links(self, a: np.ndarray, b: np.ndarray) -> pa.Table:
+        a, b = self.names[a], self.names[b]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _partners(block: _Block) -> pa.Table:
+    """Each set with its likeliest partner, and the hub of the block, the set with the most likely
+    partners, with all of them."""
+    a, b = block.pairs(True)
+    if len(a) > 1:
+        c, d = block.first_pairs()
+        if len(c):
+            hub = np.bincount(np.concatenate([c, d])).argmax()
+            near = (c == hub) | (d == hub)
+            a, b = np.concatenate([a, c[near]]), np.concatenate([b, d[near]])
+    return block.links(a, b)
+
+
+def _ends(block: _Block) -> pa.Table:
+    """The rows of all sets in likely pairs that meet in no earlier band."""
+    return block.rows.take(pa.array(np.unique(np.concatenate(block.first_pairs()))))
+
+
+def _similar(words: int, seed: int):
+    def run(block: _Block) -> pa.Table:
+        """Links between parts: likely pairs whose whole sets are similar enough, the likeliest
+        first. What links have joined is not compared again."""
+        a, b = block.first_pairs()
+        equal = np.empty(len(a), np.int64)
+        for at in range(0, len(a), _STEP):
+            rows = slice(at, at + _STEP)
+            equal[rows] = (block.minima[a[rows]] == block.minima[b[rows]]).sum(axis=1)
+        bodies = block.rows.column("body")
+        sets, root, found = {}, {}, []
+
+        def part(x):
+            x = parts[x]
+            while x in root:
+                x = root[x]
+            return x
+
+        def shingles(x):
+            if x not in sets:
+                sets[x] = shingle_set(bodies[x].as_py(), words, seed)
+            return sets[x]
+
+        parts = block.parts.tolist()
+        for k in np.argsort(-equal, kind="stable").tolist():
+            x, y = int(a[k]), int(b[k])
+            u, v = part(x), part(y)
+            if u != v and similarity_of(shingles(x), shingles(y)) >= block.similarity:
+                root[u] = v
+                found.append(k)
+        return block.links(a[found], b[found])
 
-    def pairs(group: pa.Table, i: int, j: int):
-        block, names, sizes, parts = (
-            group.column(c).to_numpy() for c in ("block", "set", "size", "part"))
-        minima = np.frombuffer(b"".join(group.column("minima").to_pylist()), np.uint32)
-        minima = minima.reshape(len(names), -1)
-        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = likely_pairs(minima[x], minima[y], (sizes[x], sizes[y]), (parts[x], parts[y]),
-                            i == j, similarity, agree, best)
-        a, b = names[x[a]], names[y[b]]
-        return np.minimum(a, b), np.maximum(a, b)
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(found):
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+def _by_blocks(of, width: int, similarity: float, agree: float):
+    """``of`` every pair of blocks, from rows that come sorted by band and pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, found = [], None, []
 
         def close():
             if key is not None:
-                found.append(pairs(pa.Table.from_batches(held), *key[1:]))
+                rows = pa.Table.from_batches(held)
+                found.append(of(_Block(rows, *key[1:], width, similarity, agree)))
 
         for batch in batches:
             columns = [batch.column(c).to_numpy() for c in ("band", "i", "j")]
@@ -161,45 +245,48 @@ def _compare(similarity: float, agree: float, best: bool):
                     close()
                     held, key = [], own
                 held.append(batch.slice(start, end - start))
-            if sum(len(a) for a, _ in found) > 100_000:
-                yield flush(found)
+            if sum(x.num_rows for x in found) > 20_000:
+                yield from pa.concat_tables(found).combine_chunks().to_batches()
                 found.clear()
         close()
         if found:
-            yield flush(found)
+            yield from pa.concat_tables(found).combine_chunks().to_batches()
 
     return run
 
 
-def _met(placed: DataFrame, classes: DataFrame, similarity: float, agree: float, best: bool,
-         block: int) -> DataFrame:
-    """(a, b): likely pairs of sets in different parts that share a band.
+_ROWS = ("band long, i int, j int, no int, block int, set long, size long, part long, "
+         "minima binary")
 
-    ``placed`` has band, set and part, ``classes`` set, size and minima. A band of many sets is cut
-    into blocks, each pair of blocks is compared by one task on the minima alone, and only likely
-    pairs come back.
+
+def _blocks(placed: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """Sets of bands that hold several parts, once for each pair of blocks that they are in.
+
+    ``placed`` has no and band, set, size and part, ``classes`` set and minima. A band of many or
+    large sets is cut into blocks, so a pair of blocks fits a task.
     """
     sizes = placed.groupBy("band").agg(
-        F.count("*").alias("sets"), F.min("part").alias("x"), F.max("part").alias("y")
+        F.count("*").alias("sets"), F.sum("size").alias("shingles"),
+        F.min("part").alias("x"), F.max("part").alias("y"),
     )
     # Bands whose sets are all connected have nothing left to compare.
-    sizes = sizes.where("x <> y").select(
-        "band", F.expr(f"CAST(1 + (sets - 1) div {block} AS INT)").alias("blocks")
-    )
+    sizes = sizes.where("x <> y").select("band", F.expr(
+        f"CAST(1 + greatest((sets - 1) div {block}, shingles div {_SHINGLES}) AS INT)"
+    ).alias("blocks"))
     rows = materialize(placed.join(sizes, "band"), "copies-open")
-    rows = rows.join(classes.select("set", "size", "minima"), "set").withColumn(
+    rows = rows.join(classes.select("set", "minima"), "set").withColumn(
         "block", F.expr("CAST(pmod(xxhash64(set, 1), blocks) AS INT)")
     )
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
+    return rows.select(
         "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "set", "size", "part", "minima",
+        "no", "block", "set", "size", "part", "minima",
     )
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
     keys = ["band", "i", "j"]
-    found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
-        lean(_compare(similarity, agree, best)), "a long, b long"
-    )
-    return found.distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
 def _alike(words: int, similarity: float, seed: int):
@@ -245,13 +332,16 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
        bits or fewer; every set is compared with the smallest of its group. Large groups of copies
        with few changes are one part from here on.
     2. Sets of different parts that agree in one of ``bands`` bands of ``width`` minima: each with
-       that earlier set of its band with which it shares the most minima.
-    3. All such pairs that are still in different parts.
+       that earlier set of its band with which it shares the most minima, and the hub of a band,
+       the set with the most likely partners, with all of them.
+    3. All such pairs that are still in different parts, each in the first band that it shares.
 
-    Rounds 2 and 3 compare minima inside tasks and pass on only pairs with a share of at least
+    Rounds 2 and 3 compare minima inside tasks and go on with only pairs with a share of at least
     ``agree`` of all minima equal and sizes that allow the similarity. With the defaults a pair
     at 0.8 exactly meets in a band with probability 0.99997 and has enough equal minima with
-    0.99999; a closer one more surely. Bands of many sets are compared in pairs of blocks.
+    0.99999; a closer one more surely. Bands of many sets are compared in pairs of blocks. The
+    pairs of round 3 never leave their task: the texts of their sets are brought there, and only
+    links that join parts come back, fewer than there are sets.
 
     NULL and wordless texts are one class. NULL and repeated ids and repeated rows are rows like
     any other; an empty table gives none; columns not kept are ignored.
@@ -277,7 +367,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
         "copies-classes",
     )
     marks = classes.select("set", "mark.*")
-    bands_of = classes.select("set", F.explode("bands").alias("band"))
+    bands_of = classes.select("set", "size", F.posexplode("bands").alias("no", "band"))
     shared = bands_of.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     bands_of = materialize(bands_of.join(shared, "band", "left_semi"), "copies-bands")
 
@@ -285,22 +375,33 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
         roots = connected_components(links, "copies-parts")
         return roots.select(F.col("node").alias("set"), "component")
 
-    def met(links, best):
+    def blocks(links, most):
         placed = bands_of.join(parts(links), "set", "left").select(
-            "band", "set", F.coalesce("component", "set").alias("part")
+            "no", "band", "set", "size", F.coalesce("component", "set").alias("part")
         )
-        return _met(placed, classes, similarity, agree, best, block)
+        return _dealt(_blocks(placed, classes, most))
+
+    def by_blocks(of):
+        return lean(_by_blocks(of, width, similarity, agree))
+
+    def texts_of(sets, name):
+        """set and body: one text of each of the given sets."""
+        needed = materialize(sets.distinct().join(marks, "set"), "copies-needed")
+        texts = named.select("mark", "mark2", "body").join(needed, ["mark", "mark2"])
+        return materialize(texts.select("set", "body").dropDuplicates(["set"]), name)
 
     def checked(pairs):
         """Those written pairs that are similar enough, by one text of each set in them."""
-        sets = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-        needed = materialize(sets.join(marks, "set"), "copies-needed")
-        texts = named.select("mark", "mark2", "body").join(needed, ["mark", "mark2"])
-        texts = materialize(
-            texts.select("set", "body").dropDuplicates(["set"]), "copies-texts"
-        )
+        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("set")), "copies-texts")
         return materialize(_verified(pairs, texts, words, similarity, seed), "copies-links")
 
+    def joined(ends):
+        """Links between parts among the likely pairs of the given rows of blocks."""
+        texts = texts_of(ends.select("set"), "copies-rest-texts")
+        whole = ends.hint("merge").join(texts.hint("merge"), "set")  # texts are never broadcast
+        found = _dealt(whole).mapInArrow(by_blocks(_similar(words, seed)), "a long, b long")
+        return materialize(found, "copies-rest-links")
+
     tree = connected_components(
         simhash.links(classes.select("print").distinct(), budget), "copies-prints"
     ).select(F.col("node").alias("print"), "component")
@@ -312,12 +413,12 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
         "a", F.col("set").alias("b"))
     stars = materialize(stars, "copies-stars")
     links = checked(stars)
-    likely = met(links, True).join(stars, ["a", "b"], "left_anti")
-    likely = materialize(likely, "copies-likely")
+    likely = blocks(links, block).mapInArrow(by_blocks(_partners), "a long, b long").distinct()
+    likely = materialize(likely.join(stars, ["a", "b"], "left_anti"), "copies-likely")
     links = links.unionByName(checked(likely))
-    tried = stars.unionByName(likely)
-    rest = met(links, False).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(checked(materialize(rest, "copies-rest")))
+    # Smaller blocks, since whole texts go with their rows.
+    rest = blocks(links, max(1, block // 2)).mapInArrow(by_blocks(_ends), _ROWS)
+    links = links.unionByName(joined(materialize(rest, "copies-rest")))
     found = sets.join(parts(links), "set", "left").select(
         *kept, F.coalesce("component", "set").alias("component")
     )

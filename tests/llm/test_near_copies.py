@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shoptrail.llm import near_copies
+from shoptrail.session import materialize
 from tests.llm.helpers import SF_DIR, ascii_lower, components, documents, load, words
 
 
@@ -166,3 +167,29 @@ def test_recall_by_share_of_changed_words(spark):
     assert len(near) >= 6 and len(far) >= 10
     assert all(a in kept and b not in kept for a, b in near)
     assert all(a in kept and b in kept for a, b in far)
+
+
+def test_pairs_of_a_family_stay_in_their_tasks(spark, monkeypatch):
+    """Copies that are each changed elsewhere: tables grow with the family, not with its square."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for at in rng.sample(range(10, 290, 10), 6):
+            copy[at] = f"x{i}-{at}"
+        rows.append((i + 1, " ".join(copy)))
+    written = []
+
+    def counted(df, name, folder=None):
+        out = materialize(df, name, folder)
+        written.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", counted)
+    for more in ([], [(0, " ".join(base))]):
+        written.clear()
+        docs = rows + more
+        got = {r.doc_id for r in near_copies.representatives(documents(spark, docs)).collect()}
+        assert got == plain_kept(docs) and (got == {0} if more else len(got) > 110)
+        assert max(written)[0] <= 20 * len(docs), max(written)
