@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shoptrail.llm import simhash
 from shoptrail.llm.components import connected_components
 from shoptrail.llm.text import lean, slices
+from shoptrail.operators.membership import split_by_keys
 from shoptrail.session import materialize
 
 # Shingles whose minima are taken in one step, or pairs compared in one.
@@ -385,9 +386,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
         return lean(_by_blocks(of, width, similarity, agree))
 
     def texts_of(sets, name):
-        """set and body: one text of each of the given sets."""
+        """set and body: one text of each of the given sets. Bitmaps of their marks tell most
+        other texts, which are not shuffled."""
         needed = materialize(sets.distinct().join(marks, "set"), "copies-needed")
-        texts = named.select("mark", "mark2", "body").join(needed, ["mark", "mark2"])
+        _, texts = split_by_keys(named.select("mark", "mark2", "body"), needed, "mark")
+        texts = texts.join(needed, ["mark", "mark2"])
         return materialize(texts.select("set", "body").dropDuplicates(["set"]), name)
 
     def checked(pairs):

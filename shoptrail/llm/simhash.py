@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shoptrail.llm.components import connected_components, spanning
 from shoptrail.llm.text import free_names, lean, slices
+from shoptrail.operators.membership import split_by_keys
 from shoptrail.session import materialize
 
 BITS = 64
@@ -270,18 +271,30 @@ def one_of_each(docs: DataFrame, group) -> DataFrame:
 
     It is the row with the smallest doc_id (NULL last); of several such rows with other texts, one
     chosen by a hash; of rows equal in id and text any one.
+
+    Rows that are alone under their id and text and are chosen pass as they are, told by bitmaps
+    of the keys of all others; only the others and a few more are shuffled with their texts.
     """
     body = F.col("text").cast("binary")
-    key, key2 = free_names(docs, "_key", "_key2")
+    key, key2, rows, kept, hit = free_names(docs, "_key", "_key2", "_rows", "_kept", "_hit")
     keyed = docs.withColumns(
         {key: F.xxhash64("doc_id", body), key2: F.xxhash64(body, F.lit(1), "doc_id")}
     )
     groups = group(keyed, ("doc_id", key, key2))
+    groups = materialize(
+        groups.groupBy("component", "doc_id", key, key2).agg(F.count("*").alias(rows)), "groups"
+    )
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key, key2)
     chosen = groups.groupBy("component").agg(F.min(order).alias("row"))
-    chosen = chosen.select(f"row.{key}", f"row.{key2}")
-    kept = keyed.join(chosen, [key, key2], "left_semi")
-    return kept.dropDuplicates([key, key2]).select(*docs.columns)
+    chosen = chosen.select(f"row.{key}", f"row.{key2}", F.lit(True).alias(kept))
+    others = groups.join(chosen, [key, key2], "left").where(F.col(kept).isNull() | (F.col(rows) > 1))
+    others = materialize(
+        others.select(key, key2, F.coalesce(kept, F.lit(False)).alias(kept)), "groups-others"
+    )
+    alone, rest = split_by_keys(keyed, others, key, hit)
+    rest = rest.join(others, [key, key2], "left").where(F.coalesce(kept, F.lit(True)))
+    rest = rest.dropDuplicates([key, key2])
+    return alone.select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def representatives(docs: DataFrame, words: int = 3, budget: int = 2, seed: int = 42) -> DataFrame:

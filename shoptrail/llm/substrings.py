@@ -10,7 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoptrail.llm.text import WordHashes, lean, lean_group, slices
+from shoptrail.llm.text import WordHashes, free_names, lean, lean_group, slices
+from shoptrail.operators.membership import split_by_keys
+from shoptrail.session import materialize
 
 _BASE = 0x9E3779B97F4A7C15 | 1  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -272,18 +274,26 @@ def remove_repeated(docs: DataFrame, width: int = 35, keep: tuple[str, ...] = ("
     compared unchanged. NULL and empty texts have no words; shorter texts than a window stay whole;
     repeated rows lose all their windows, as each stands elsewhere; NULL and repeated ids are told
     apart by their texts; an empty table gives no rows; other columns are ignored.
+
+    The ranges are written once; texts that certainly have none, told by bitmaps of the prints of
+    those that do, stay where they are, the others are joined with their ranges.
     """
-    ranges = (
+    ranges = materialize(
         repeated_ranges(docs, width)
         .groupBy("doc_id", "print")
-        .agg(F.collect_set(F.struct("starts", "ends")).alias("ranges"))
-        .withColumnsRenamed({"doc_id": "_doc_id", "print": "_print"})
+        .agg(F.collect_set(F.struct("starts", "ends")).alias("ranges")),
+        "repeated-ranges",
     )
     texts = _print(docs, keep)
-    same = texts["doc_id"].eqNullSafe(ranges["_doc_id"]) & (texts["print"] == ranges["_print"])
-    joined = texts.join(ranges, same, "left").select(
-        *(texts[c] for c in keep), "body", "ranges.starts", "ranges.ends"
+    whole, rest = split_by_keys(texts, ranges, "print", *free_names(texts, "_hit"))
+    ranges = ranges.withColumnsRenamed({"doc_id": "_doc_id", "print": "_print"})
+    same = rest["doc_id"].eqNullSafe(ranges["_doc_id"]) & (rest["print"] == ranges["_print"])
+    joined = rest.join(ranges, same, "left").select(
+        *(rest[c] for c in keep), "body", "ranges.starts", "ranges.ends"
     )
+    none = F.lit(None).cast("array<binary>")
+    whole = whole.select(*keep, "body", none.alias("starts"), none.alias("ends"))
+    joined = whole.unionByName(joined)
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     schema = ", ".join([*fields, "n_words long", "n_removed long", "kept binary"])
     return joined.mapInArrow(lean(_cut(list(keep))), schema)

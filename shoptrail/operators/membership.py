@@ -49,6 +49,18 @@ def with_possible_hit(rows: DataFrame, column: str, bitmaps: DataFrame, bits: in
     ).drop(part, word, spot)
 
 
+def split_by_keys(rows: DataFrame, keys: DataFrame, column: str, name: str = "possible_hit"
+                  ) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``column`` is certainly none of ``keys`` (a written
+    table), and possible hits, which need an exact join. No row is shuffled; the rows are read
+    once per part. ``name`` is a helper column that ``rows`` must not have."""
+    keys = keys.select(column).where(F.col(column).isNotNull())
+    size = filter_bits(keys.count())
+    flagged = with_possible_hit(rows, column, bitmap_filter(keys, column, size), size, name)
+    hit = F.col(name)
+    return tuple(flagged.where(x).select(*rows.columns) for x in (~hit, hit))
+
+
 def filtered_anti_join(rows: DataFrame, keys: DataFrame, column: str, bits: int | None = None
                        ) -> DataFrame:
     """Rows whose ``column`` is none of ``keys``, where the keys are too many to broadcast.
